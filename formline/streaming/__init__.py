@@ -1,0 +1,2 @@
+"""No streaming jobs: every source is a finite table, and events that share a
+kickoff are isolated by the batch windows in ``formline.operators``."""
