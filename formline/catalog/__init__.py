@@ -1,4 +1,4 @@
 """Named queries over the given tables."""
 
-from formline.catalog import form, probability  # noqa: F401
+from formline.catalog import form, models, probability, profiling, text  # noqa: F401
 from formline.catalog.registry import ORACLES, QUERIES  # noqa: F401

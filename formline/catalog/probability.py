@@ -146,12 +146,12 @@ def prob_shin_cols(spark, sf_dir):
 
 
 @query("prob_shrink", with_ctes(["flat_goals"], f"""
-SELECT match_id, {r('(xG_home * hg + 1.15 * 5) / (hg + 5)', P)} AS shrunk_home,
-       {r('(xG_away * ag + 1.15 * 5) / (ag + 5)', P)} AS shrunk_away FROM flat_goals"""))
+SELECT match_id, {r('(xG_home * hg + 1.15 * 5) / (hg + 5)', 12)} AS shrunk_home,
+       {r('(xG_away * ag + 1.15 * 5) / (ag + 5)', 12)} AS shrunk_away FROM flat_goals"""))
 def prob_shrink(spark, sf_dir):
     rows = flat(spark, sf_dir).withColumns({"h": S.shrunk(F.col("xG_home"), F.col("hg")),
                                             "a": S.shrunk(F.col("xG_away"), F.col("ag"))})
-    return rounded(rows, "match_id", digits=P, shrunk_home="h", shrunk_away="a")
+    return rounded(rows, "match_id", digits=12, shrunk_home="h", shrunk_away="a")
 
 
 def tau_sql(h: str, a: str, lh: str, la: str, rho: str) -> str:
@@ -160,11 +160,11 @@ def tau_sql(h: str, a: str, lh: str, la: str, rho: str) -> str:
 
 
 @query("prob_dc_tau", with_ctes(["flat_goals"], f"""
-SELECT match_id, {r(tau_sql('hg', 'ag', 'xG_home', 'xG_away', '0.1'), P)} AS tau FROM flat_goals"""))
+SELECT match_id, {r(tau_sql('hg', 'ag', 'xG_home', 'xG_away', '0.1'))} AS tau FROM flat_goals"""))
 def prob_dc_tau(spark, sf_dir):
     rows = flat(spark, sf_dir)
     tau = S.dc_tau(F.col("hg"), F.col("ag"), F.col("xG_home"), F.col("xG_away"), F.lit(0.1))
-    return rounded(rows.withColumn("t", tau), "match_id", digits=P, tau="t")
+    return rounded(rows.withColumn("t", tau), "match_id", tau="t")
 
 
 def cells_sql(source: str, lh: str, la: str, factor: str, floor: str) -> str:
@@ -229,7 +229,7 @@ def prob_biv_lambda(spark, sf_dir):
 
 
 _PICK = """CASE WHEN ph >= pd AND ph >= pa THEN 2 WHEN pa >= pd AND pa >= ph THEN 0 ELSE 1 END"""
-_P3 = "SELECT *, Poisson_Home_Win AS ph, Poisson_Draw AS pd, Poisson_Away_Win AS pa FROM flat_outcome"
+_P3 = "SELECT * EXCLUDE (ph, pa), Poisson_Home_Win AS ph, Poisson_Draw AS pd, Poisson_Away_Win AS pa FROM flat_outcome"
 _SCORELINE = f"""
 SELECT *, CASE WHEN mx >= 0.35 AND pred = 2 THEN CASE WHEN mh <= ma THEN ma + 1 WHEN ph >= 0.5 THEN least(6, mh + 1) ELSE mh END
                WHEN mx >= 0.35 AND pred = 1 THEN greatest(mh, ma) ELSE mh END AS sh,

@@ -328,8 +328,8 @@ def top_pick(p_h: Column, p_d: Column, p_a: Column) -> Column:
 
 
 def percent(p: Column) -> Column:
-    """One-decimal percentage, rounded half away from zero."""
-    return F.format_string("%.1f%%", p * 100.0)
+    """One-decimal percentage; halves go to the even digit."""
+    return F.format_string("%.1f%%", F.bround(p * 100.0, 1))
 
 
 def triple_text(p_a: Column, p_d: Column, p_h: Column) -> Column:

@@ -13,6 +13,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from formline.functions import text as T
 
@@ -75,7 +76,10 @@ def match_feed_label(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, T.feed_club(F.col(column)))
 
 
-@F.pandas_udf("array<struct<score:double,target:string>>")
+_HIT = T_.ArrayType(T_.StructType([T_.StructField("score", T_.DoubleType()), T_.StructField("target", T_.StringType())]))
+
+
+@F.pandas_udf(_HIT)
 def _closest(names: pd.Series, targets: pd.Series) -> pd.Series:
     """Up to three targets of a block closest to the name, best first.
 

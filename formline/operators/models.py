@@ -91,52 +91,82 @@ def importances(model, features: list[str], spark) -> DataFrame:
 
 
 class PoissonFit:
-    """Coefficients of a log-linear goal model."""
+    """Coefficients of log-linear goal models, one set per group 1..k."""
 
-    def __init__(self, features: list[str], beta: np.ndarray):
-        self.features, self.beta = features, beta
+    def __init__(self, features: list[str], betas: list[np.ndarray]):
+        self.features, self.betas = features, betas
 
-    def rate(self) -> Column:
-        return F.exp(scores.total([F.lit(float(self.beta[0]))] + [
-            F.col(f) * float(b) for f, b in zip(self.features, self.beta[1:])]))
+    @property
+    def beta(self) -> np.ndarray:
+        return self.betas[0]
 
+    def log_rate(self, group: str | None = None) -> Column:
+        terms = [F.lit(1.0)] + [F.col(f).cast("double") for f in self.features]
+        return scores.total(x * _by_group([b[i] for b in self.betas], group) for i, x in enumerate(terms))
 
-def fit_poisson(train: DataFrame, features: list[str], label: str, penalty: float,
-                max_iter: int = 50, tolerance: float = 1e-9) -> PoissonFit:
-    """Penalised Poisson regression by Newton steps.
+    def rate(self, group: str | None = None) -> Column:
+        return F.exp(self.log_rate(group))
 
-    Minimises mean(mu - y*eta) + penalty/2*|b|^2 (intercept free). Every step is
-    one native aggregate of the gradient and the curvature, whose size depends
-    on the number of features only.
+
+def _by_group(values, group: str | None) -> Column:
+    """The value of a row's group (1..k), or the only value."""
+    if group is None or len(values) == 1:
+        return F.lit(float(values[0]))
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col(group))
+
+
+def fit_poisson(train: DataFrame, specs: list[tuple[list[str], str]], penalty: float, group: str | None = None,
+                n_groups: int = 1, max_iter: int = 50, tolerance: float = 1e-9) -> list[PoissonFit]:
+    """Penalised Poisson regressions by Newton steps, all at once.
+
+    Each (features, label) is fitted in every group 1..``n_groups``, minimising
+    mean(mu - y*eta) + penalty/2*|b|^2 with a free intercept. A step is one
+    native aggregate of gradients and curvatures for all models together; its
+    size depends on the numbers of features and groups only.
     """
-    xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
-    size = len(xs)
-    beta = np.zeros(size)
-    mean = train.agg(F.avg(label)).first()[0]
-    beta[0] = math.log(max(mean, 1e-9))
-    ridge = np.diag([0.0] + [penalty] * (size - 1))
+    rows = train.withColumn("_g", F.col(group).cast("int") if group else F.lit(1))
+    means = {r["_g"]: r for r in rows.groupBy("_g").agg(
+        *[F.avg(label).alias(f"m{k}") for k, (_, label) in enumerate(specs)]).collect()}
+    fits = []
+    for k, (features, _) in enumerate(specs):
+        start = [math.log(max(means[g + 1][f"m{k}"], 1e-9)) for g in range(n_groups)]
+        fits.append(PoissonFit(features, [np.array([s] + [0.0] * len(features)) for s in start]))
     for _ in range(max_iter):
-        eta = scores.total(x * float(b) for x, b in zip(xs, beta))
-        step = train.withColumn("_mu", F.exp(F.least(eta, F.lit(30.0))))
-        mu = F.col("_mu")
-        cells = [F.avg((mu - F.col(label)) * x) for x in xs]
-        cells += [F.avg(mu * xs[i] * xs[j]) for i in range(size) for j in range(i + 1)]
-        got = list(step.agg(*[c.alias(f"c{k}") for k, c in enumerate(cells)]).first())
-        gradient = np.array(got[:size]) + ridge @ beta
-        curve = np.zeros((size, size))
-        low = np.tril_indices(size)
-        curve[low] = got[size:]
-        curve = curve + np.tril(curve, -1).T + ridge
-        move = np.linalg.lstsq(curve, gradient, rcond=None)[0]
-        beta = beta - move
-        if np.abs(move).max() < tolerance:
+        step, cells = rows, []
+        for k, ((features, label), fit) in enumerate(zip(specs, fits)):
+            step = step.withColumn(f"_mu{k}", F.exp(F.least(fit.log_rate("_g"), F.lit(30.0))))
+            xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
+            mu = F.col(f"_mu{k}")
+            cells += [F.avg((mu - F.col(label)) * x) for x in xs]
+            cells += [F.avg(mu * xs[i] * xs[j]) for i in range(len(xs)) for j in range(i + 1)]
+        moved = 0.0
+        for row in step.groupBy("_g").agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).collect():
+            values = list(row)[1:]
+            for fit in fits:
+                size = len(fit.features) + 1
+                used = size + size * (size + 1) // 2
+                delta = _newton_step(values[:used], fit.betas[row["_g"] - 1], penalty)
+                values = values[used:]
+                fit.betas[row["_g"] - 1] = fit.betas[row["_g"] - 1] - delta
+                moved = max(moved, float(np.abs(delta).max()))
+        if moved < tolerance:
             break
-    return PoissonFit(features, beta)
+    return fits
+
+
+def _newton_step(cells: list[float], beta: np.ndarray, penalty: float) -> np.ndarray:
+    size = len(beta)
+    ridge = np.diag([0.0] + [penalty] * (size - 1))
+    curve = np.zeros((size, size))
+    curve[np.tril_indices(size)] = cells[size:]
+    curve = curve + np.tril(curve, -1).T + ridge
+    return np.linalg.lstsq(curve, np.array(cells[:size]) + ridge @ beta, rcond=None)[0]
 
 
-def fit_goal_models(train: DataFrame, mode: str = "mixed") -> tuple[PoissonFit, PoissonFit]:
+def fit_goal_models(train: DataFrame, mode: str = "mixed", group: str | None = None,
+                    n_groups: int = 1) -> tuple[PoissonFit, PoissonFit]:
     home, away = GOAL_FEATURES[mode]
-    return (fit_poisson(train, home, "hg", GOAL_PENALTY[mode]), fit_poisson(train, away, "ag", GOAL_PENALTY[mode]))
+    return tuple(fit_poisson(train, [(home, "hg"), (away, "ag")], GOAL_PENALTY[mode], group, n_groups))
 
 
 def minimal_frame(df: DataFrame) -> DataFrame:
@@ -146,12 +176,13 @@ def minimal_frame(df: DataFrame) -> DataFrame:
 RHO_STEPS = (0.02, 0.002, 0.0002, 0.00002)
 
 
-def estimate_rho(rows: DataFrame, lam_h: str, lam_a: str, hg: str = "hg", ag: str = "ag",
-                 bound: float = 0.3, floor: float = 1e-15) -> float:
-    """Low-score rho of highest likelihood on [-bound, bound].
+def estimate_rho(rows: DataFrame, lam_h: str, lam_a: str, hg: str = "hg", ag: str = "ag", bound: float = 0.3,
+                 floor: float = 1e-15, group: str | None = None, n_groups: int = 1) -> list[float]:
+    """Low-score rho of highest likelihood on [-bound, bound], per group.
 
-    Only scores up to 1:1 depend on rho. The likelihood is concave, so a grid of
-    sums, one aggregate per pass, is narrowed around its best point.
+    Only scores up to 1:1 depend on rho, and their factor is linear in it. The
+    likelihood is concave, so a grid of sums, one aggregate per pass for all
+    groups, is narrowed around its best point.
     """
     low = rows.filter((F.col(hg) <= 1) & (F.col(ag) <= 1))
     lh, la = (F.greatest(F.col(c), F.lit(floor)) for c in (lam_h, lam_a))
@@ -159,49 +190,51 @@ def estimate_rho(rows: DataFrame, lam_h: str, lam_a: str, hg: str = "hg", ag: st
     def goal_mass(goals: str, lam: Column) -> Column:
         return F.exp(-lam) * F.when(F.col(goals) == 1, lam).otherwise(1.0)
 
-    low = low.select(lh.alias("_lh"), la.alias("_la"), F.col(hg).alias("_h"), F.col(ag).alias("_a"),
-                     (goal_mass(hg, lh) * goal_mass(ag, la)).alias("_p"))
-    # tau is linear in rho: 1 + rho * slope
-    slope = scores.dc_tau(F.col("_h"), F.col("_a"), F.col("_lh"), F.col("_la"), F.lit(1.0)) - 1.0
-    low = low.select("_p", slope.alias("_s"))
-    best, left, right = 0.0, -bound, bound
+    slope = scores.dc_tau(F.col(hg), F.col(ag), lh, la, F.lit(1.0)) - 1.0
+    low = low.select((F.col(group).cast("int") if group else F.lit(1)).alias("_g"),
+                     (goal_mass(hg, lh) * goal_mass(ag, la)).alias("_p"), slope.alias("_s"))
+    best = [0.0] * n_groups
+    spans = [(-bound, bound)] * n_groups
     for step in RHO_STEPS:
-        grid = [left + i * step for i in range(int(round((right - left) / step)) + 1)]
-        sums = low.agg(*[
-            F.sum(F.log(F.greatest(F.col("_p") * (F.col("_s") * r + 1.0), F.lit(floor)))).alias(f"g{i}")
-            for i, r in enumerate(grid)]).first()
-        if sums[0] is None:
-            return 0.0
-        best = grid[max(range(len(grid)), key=lambda i: sums[i])]
-        left, right = max(best - step, -bound), min(best + step, bound)
+        grids = [[a + i * step for i in range(int(round((b - a) / step)) + 1)] for a, b in spans]
+        width = max(len(g) for g in grids)
+        padded = [g + [g[-1]] * (width - len(g)) for g in grids]
+        sums = low.groupBy("_g").agg(*[
+            F.sum(F.log(F.greatest(F.col("_p") * (F.col("_s") * _by_group([g[i] for g in padded], "_g") + 1.0),
+                                   F.lit(floor)))).alias(f"g{i}") for i in range(width)]).collect()
+        for row in sums:
+            g = row["_g"] - 1
+            values = list(row)[1:]
+            best[g] = padded[g][max(range(width), key=lambda i: values[i])]
+            spans[g] = (max(best[g] - step, -bound), min(best[g] + step, bound))
     return best
 
 
 def goal_model_cv(folds: DataFrame, mode: str = "mixed", rho: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold probabilities of the goal models, and the rho of each fold.
 
-    Per fold: two regressions and rho on the rows before it (the minimal mode
-    has a fixed rho and scales the whole diagonal instead).
+    The regressions and the rhos of all folds are fitted together: a training
+    row counts for every later fold, so it is repeated at most once per fold.
+    The minimal mode has a fixed rho and scales the whole diagonal instead.
     """
-    starts = folds.filter(F.col("fold") >= 1).groupBy("fold").agg(F.min("pos").alias("start"))
-    parts, fitted = [], []
-    for fold, start in sorted((r["fold"], r["start"]) for r in starts.collect()):
-        train = folds.filter(F.col("pos") < start)
-        home, away = fit_goal_models(train, mode)
-
-        def rated(df: DataFrame) -> DataFrame:
-            return df.withColumns({"lam_h": home.rate(), "lam_a": away.rate()})
-
-        tested = rated(folds.filter(F.col("fold") == fold))
-        if mode == "minimal":
-            value = K.DIAGONAL_RHO
-            parts.append(scores.with_diagonal_grid(tested, "lam_h", "lam_a", value))
-        else:
-            value = estimate_rho(rated(train), "lam_h", "lam_a") if rho is None else rho
-            parts.append(scores.with_dc_grid(tested, "lam_h", "lam_a", value))
-        fitted.append((fold, float(value)))
-    scored = reduce(DataFrame.unionByName, parts)
+    n_folds = folds.agg(F.max("fold")).first()[0]
+    later = F.when(F.col("fold") < n_folds, F.sequence(F.col("fold") + 1, F.lit(n_folds)))
+    train = folds.withColumn("model", F.explode(later))
+    home, away = fit_goal_models(train, mode, "model", n_folds)
+
+    def rated(df: DataFrame, group: str) -> DataFrame:
+        return df.withColumns({"lam_h": home.rate(group), "lam_a": away.rate(group)})
+
+    tested = rated(folds.filter(F.col("fold") >= 1), "fold")
+    if mode == "minimal":
+        values = [K.DIAGONAL_RHO] * n_folds
+        scored = scores.with_diagonal_grid(tested, "lam_h", "lam_a", K.DIAGONAL_RHO)
+    else:
+        values = [rho] * n_folds if rho is not None else estimate_rho(
+            rated(train, "model"), "lam_h", "lam_a", group="model", n_groups=n_folds)
+        scored = scores.with_dc_grid(tested, "lam_h", "lam_a", _by_group(values, "fold"))
     oof = scored.select("pos", "fold", F.col("res").cast("int").alias("y_true"), "p_away", "p_draw", "p_home")
+    fitted = [(f + 1, float(v)) for f, v in enumerate(values)]
     return oof, folds.sparkSession.createDataFrame(fitted, "fold int, rho double")
 
 

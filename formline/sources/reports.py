@@ -69,7 +69,7 @@ def _pairs(text: Column, pattern: str, groups: list[tuple[str, int]]) -> Column:
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for _, g in groups]
     zipped = F.arrays_zip(*[f.alias(n) for f, (n, _) in zip(found, groups)])
     return F.transform(zipped, lambda x: F.struct(*[
-        F.trim(F.regexp_replace(x[str(i)], r"^\s+|\s+$", "")).alias(n) for i, (n, _) in enumerate(groups)]))
+        F.regexp_replace(x[n], r"^\s+|\s+$", "").alias(n) for n, _ in groups]))
 
 
 def squad_lists(docs: DataFrame, text: str = "text") -> DataFrame:
