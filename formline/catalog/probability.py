@@ -117,11 +117,11 @@ def prob_balances(spark, sf_dir):
     return rounded(goal_features(T.matches(spark, sf_dir)), "match_id", **{n: n for n in _BALANCE})
 
 
-_ALL24 = {c: c for c in K.FEATURE_COLUMNS} | _FEAT9 | _BALANCE
+ALL24 = {c: c for c in K.FEATURE_COLUMNS} | _FEAT9 | _BALANCE
 
 
 @query("features", with_ctes(["outcome", "shin"], "SELECT match_id, " + ", ".join(
-    f"{r(e)} AS {n}" for n, e in _ALL24.items()) + """
+    f"{r(e)} AS {n}" for n, e in ALL24.items()) + """
 FROM outcome JOIN (SELECT match_id, Shin_Prob_H, Shin_Prob_D, Shin_Prob_A FROM shin) USING (match_id)"""))
 def features(spark, sf_dir):
     """The full 24-column model frame."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formline import constants as K
 from formline.catalog import tables as T
 from formline.catalog.form import batched
+from formline.catalog.probability import ALL24
 from formline.catalog.registry import query
 from formline.catalog.sql import CTES, DEPENDS, r, with_ctes
 from formline.catalog.text import cust, glossary
@@ -109,7 +110,20 @@ def val_features(spark, sf_dir):
     return Q.validate_features(rows.withColumn("Odds_Home", F.col("odds_h")), _CHECKED)
 
 
-@query("val_model_frame")
+def _frame_checks() -> str:
+    rows = [("empty", "error", "count(*) = 0", "'no feature rows'")]
+    for c in K.FEATURE_COLUMNS:
+        rows += [(f"nulls:{c}", "warning", f"count(*) FILTER ({c} IS NULL)", "'null values'"),
+                 (f"many_nulls:{c}", "error", f"count(*) FILTER ({c} IS NULL) > count(*) * 0.1", "'more than 10% null'"),
+                 (f"infinite:{c}", "error", f"count(*) FILTER (isinf({c}))", "'infinite values'")]
+        if c in Q.BOUNDS:
+            low, high = Q.BOUNDS[c]
+            rows.append((f"bounds:{c}", "warning", f"count(*) FILTER ({c} < {low} OR {c} > {high})", f"'values outside [{low:g}, {high:g}]'"))
+    return check("frame", rows + [("total_samples", "stat", "count(*)", f"'rows with {len(K.FEATURE_COLUMNS)} features'")])
+
+
+@query("val_model_frame", with_ctes(["outcome", "shin"], _frame_checks(), {"frame": "SELECT " + ", ".join(
+    f"CAST({e} AS DOUBLE) AS {n}" for n, e in ALL24.items()) + " FROM outcome JOIN (SELECT match_id, Shin_Prob_H, Shin_Prob_D, Shin_Prob_A FROM shin) USING (match_id)"}))
 def val_model_frame(spark, sf_dir):
     """Checks of the stored 24-column model frame."""
     return Q.validate_features(feature_table(spark, sf_dir), K.FEATURE_COLUMNS)
@@ -246,9 +260,7 @@ def tbl_clean(spark, sf_dir):
     return ST.clean_table(stat_table(spark, sf_dir))
 
 
-@query("tbl_clean_enhanced", with_ctes(["cust"], """
-SELECT CASE WHEN k % 50 = 0 THEN 'Team' ELSE k || '. ' || c_name || ' (H)' END AS "Squad", CASE WHEN k % 50 <> 0 THEN CAST(k % 38 AS DOUBLE) END AS "MP",
-  CASE WHEN k % 50 <> 0 AND k % 7 <> 0 THEN CAST(k % 90 AS DOUBLE) END AS "GF", CASE WHEN k % 50 <> 0 THEN k % 60 + CAST(0.5 AS DOUBLE) END AS "GA" FROM cust"""))
+@query("tbl_clean_enhanced", with_ctes(["cust"], _CLEAN.replace("c_name", "k || '. ' || c_name || ' (H)'")))
 def tbl_clean_enhanced(spark, sf_dir):
     return ST.clean_table(stat_table(spark, sf_dir), "enhanced")
 

@@ -20,6 +20,18 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
+def sealed(df: DataFrame, names: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Emit computed columns through a one-row generator.
+
+    The optimizer would otherwise write a formula out in full wherever its column
+    is used by a filter, or by the next formula if its inputs are constants; over
+    several steps that grows without bound. Filters on all other columns still
+    pass through to the scan.
+    """
+    kept = [c for c in df.columns if c not in names and c not in drop]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*names))))
+
+
 def expected_result(team: Column, opponent: Column) -> Column:
     return 1.0 / (1.0 + F.pow(F.lit(10.0), (opponent - team) / K.ELO_DIVISOR))
 
@@ -69,8 +81,8 @@ def _raw_shares(df: DataFrame, lam_h: Column, lam_a: Column) -> DataFrame:
     """Win/draw/loss mass and goal moments of the independent grid, up to a
     common factor. Missing intensities count as zero here; callers null them."""
     goals = range(1, K.MAX_GOALS + 1)
-    df = df.withColumns({"_lh": F.coalesce(lam_h.cast("double"), F.lit(0.0)),
-                         "_la": F.coalesce(lam_a.cast("double"), F.lit(0.0))})
+    df = sealed(df.withColumns({"_lh": F.coalesce(lam_h.cast("double"), F.lit(0.0)),
+                                "_la": F.coalesce(lam_a.cast("double"), F.lit(0.0))}), ["_lh", "_la"])
     lh, la = F.col("_lh"), F.col("_la")
     df = df.withColumns({f"_H{k}": _up_to(k, lh) for k in goals} | {f"_A{k}": _up_to(k, la) for k in goals})
     below_h = [F.lit(1.0)] + [F.col(f"_H{k}") for k in goals]
@@ -88,6 +100,10 @@ def _raw_shares(df: DataFrame, lam_h: Column, lam_a: Column) -> DataFrame:
 _SHARES = ("_lh", "_la", "_win", "_tie", "_loss", "_gh", "_ga")
 
 
+OUTCOME = ["Poisson_Home_Win", "Poisson_Draw", "Poisson_Away_Win",
+           "Expected_Home_Goals", "Expected_Away_Goals", "Expected_Total_Goals"]
+
+
 def with_outcome(df: DataFrame, lam_h: str = "xG_home", lam_a: str = "xG_away") -> DataFrame:
     """Calibrated home/draw/away probabilities and expected goals per row."""
     df = _raw_shares(df, F.col(lam_h), F.col(lam_a))
@@ -116,7 +132,7 @@ def with_outcome(df: DataFrame, lam_h: str = "xG_home", lam_a: str = "xG_away")
         "Expected_Away_Goals": F.when(known, F.col("_ga") * inv),
         "Expected_Total_Goals": F.when(known, (F.col("_gh") + F.col("_ga")) * inv),
     })
-    return df.drop(*_SHARES, "_inv", "_pd", "_sh", "_ph", "_pa", "_pt")
+    return sealed(df, OUTCOME, (*_SHARES, "_inv", "_pd", "_sh", "_ph", "_pa", "_pt"))
 
 
 def with_poisson_features(df: DataFrame) -> DataFrame:
@@ -136,7 +152,25 @@ def with_balances(df: DataFrame) -> DataFrame:
     })
 
 
-SHIN_STEPS = 30
+SHIN_STEPS = 8
+SHIN_MORE_STEPS = 60
+SHIN_SETTLED = 1e-13
+
+
+def _shin_root(w: Column, pi: Column) -> Column:
+    return F.sqrt(w * w + (w + 1.0) * 4.0 * pi)
+
+
+def _shin_excess(w: Column, pis: list[Column]) -> Column:
+    """Sum of the three probabilities at ``w``, minus one."""
+    halves = ((_shin_root(w, p) - w) * 0.5 for p in pis)
+    return total(g * g for g in halves) - 1.0
+
+
+def _shin_step(w: Column, pis: list[Column]) -> Column:
+    """One Newton step; never leaves a root that has been reached."""
+    slope = total((_shin_root(w, p) - w) * 0.5 * ((w + p * 2.0) / _shin_root(w, p) - 1.0) for p in pis)
+    return F.coalesce(w - F.try_divide(_shin_excess(w, pis), slope), w)
 
 
 def with_shin(df: DataFrame, odds=("odds_h", "odds_d", "odds_a"),
@@ -144,54 +178,38 @@ def with_shin(df: DataFrame, odds=("odds_h", "odds_d", "odds_a"),
               missing=(1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
     """Market probabilities net of the insider share ``z``.
 
-    ``z`` is found by Newton steps kept inside a shrinking bracket, as a native
-    fold; only rows with usable odds run it.
+    In ``w = z/(1-z)`` each probability is ((sqrt(w^2+4(1+w)pi)-w)/2)^2, so their
+    sum is convex and falls with ``w``: Newton steps from zero rise to the root
+    and cannot pass it. They run as a native fold, a short one for all rows and a
+    long one for rows of extreme markets that need it.
     """
-    pis = ["_pi0", "_pi1", "_pi2"]
     valid = F.lit(True)
     for o in odds:
         valid = valid & F.coalesce((F.col(o) > 0) & ~F.isnan(F.col(o).cast("double")), F.lit(False))
     df = df.withColumn("_ok", valid)
-    df = df.withColumns({p: F.when(F.col("_ok"), 1.0 / F.col(o)) for p, o in zip(pis, odds)})
-    book = total(F.col(p) for p in pis)
-    # As z nears 1 each probability nears pi^2, which tells whether a root exists.
-    root = F.col("_ok") & (book >= 1.0) & (total(F.col(p) * F.col(p) for p in pis) < 1.0)
-
-    def fair(z: Column, p: str) -> Column:
-        g = (F.sqrt(z * z + (1.0 - z) * 4.0 * F.col(p)) - z) / ((1.0 - z) * 2.0)
-        return g * g
-
-    def excess(z: Column) -> tuple[Column, Column]:
-        rest = 1.0 - z
-        value, slope = F.lit(-1.0), F.lit(0.0)
-        for p in pis:
-            s = F.sqrt(z * z + rest * 4.0 * F.col(p))
-            g = (s - z) / (rest * 2.0)
-            dg = (((z - F.col(p) * 2.0) / s - 1.0) * rest + s - z) / (rest * rest * 2.0)
-            value, slope = value + g * g, slope + g * dg * 2.0
-        return value, slope
-
-    def step(acc: Column, _: Column) -> Column:
-        z = acc["z"]
-        value, slope = excess(z)
-        low = F.when(value > 0, z).otherwise(acc["low"])
-        high = F.when(value > 0, acc["high"]).otherwise(z)
-        newton = F.try_divide(value, slope)
-        near = z - newton
-        inside = F.coalesce((near >= low) & (near <= high), F.lit(False))
-        return F.struct(F.when(inside, near).otherwise((low + high) / 2.0).alias("z"),
-                        low.alias("low"), high.alias("high"))
-
-    start = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("low"), F.lit(1.0 - 1e-10).alias("high"))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(SHIN_STEPS)), start, step, lambda acc: acc["z"])
-    df = df.withColumn(z_name, F.when(root, solved))
-    z = F.col(z_name)
+    df = df.withColumns({f"_pi{i}": F.coalesce(F.when(F.col("_ok"), F.try_divide(F.lit(1.0), F.col(o))), F.lit(0.3))
+                         for i, o in enumerate(odds)})
+    df = sealed(df, ["_ok", "_pi0", "_pi1", "_pi2"])
+    pis = [F.col(f"_pi{i}") for i in range(3)]
+    book = total(pis)
+    # For w -> infinity each probability falls to pi^2, which tells whether a root exists.
+    root = F.col("_ok") & (book >= 1.0) & (total(p * p for p in pis) < 1.0)
+
+    def steps(n: int, start: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda acc, _: _shin_step(acc, pis))
+
+    df = sealed(df.withColumns({"_root": root, "_w": F.when(root, steps(SHIN_STEPS, F.lit(0.0))).otherwise(0.0)}),
+                ["_root", "_w"])
+    w = F.col("_w")
+    far = F.col("_root") & (_shin_excess(w, pis) > SHIN_SETTLED)
+    df = sealed(df.withColumn("_w", F.when(far, steps(SHIN_MORE_STEPS, w)).otherwise(w)), ["_w"])
     out = {}
     for p, name, default in zip(pis, names, missing):
-        probability = F.when(z.isNotNull(), fair(z, p)).otherwise(F.col(p) / book)
-        out[name] = F.when(F.col("_ok"), probability).otherwise(F.lit(default))
-    return (df.withColumns(out).withColumn(z_name, F.coalesce(z, F.lit(0.0)))
-            .drop("_ok", *pis))
+        half = (_shin_root(w, p) - w) * 0.5
+        fair = F.when(F.col("_root"), half * half).otherwise(p / book)
+        out[name] = F.when(F.col("_ok"), fair).otherwise(F.lit(default))
+    out[z_name] = F.when(F.col("_root"), w / (w + 1.0)).otherwise(0.0)
+    return sealed(df.withColumns(out), list(out), ("_ok", "_root", "_w", "_pi0", "_pi1", "_pi2"))
 
 
 def shrunk(x: Column, matchday: Column, mean: float = K.LEAGUE_MEAN_XG, c: float = K.SHRINKAGE_C) -> Column:
@@ -254,7 +272,7 @@ def with_dc_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float | Column, flo
             for i in size for j in size
         ]
         out[matrix] = F.array(*cells)
-    return df.withColumns(out).drop(*_SHARES, "_rho", *factors, "_w", "_d", "_l", "_t", "_eh", "_ea")
+    return sealed(df.withColumns(out), list(out), (*_SHARES, "_rho", *factors, "_w", "_d", "_l", "_t", "_eh", "_ea"))
 
 
 def with_diagonal_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float = K.DIAGONAL_RHO,
@@ -265,7 +283,7 @@ def with_diagonal_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float = K.DIA
                          "_l": F.col("_loss") * (1.0 + rho)})
     df = df.withColumn("_t", F.col("_w") + F.col("_d") + F.col("_l"))
     df = df.withColumns(dict(zip(names, (F.col(x) / F.col("_t") for x in ("_l", "_d", "_w")))))
-    return df.drop(*_SHARES, "_w", "_d", "_l", "_t")
+    return sealed(df, list(names), (*_SHARES, "_w", "_d", "_l", "_t"))
 
 
 def with_bivariate_lambdas(df: DataFrame, elo_h: str, elo_a: str, h_gf: str, h_ga: str, a_gf: str,

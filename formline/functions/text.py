@@ -86,12 +86,8 @@ def header_date(c: Column) -> Column:
 
 
 def has_any(c: Column, words: list[str]) -> Column:
-    """True when the lower-cased text contains one of the words."""
-    low = F.lower(c)
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | low.contains(word)
-    return F.coalesce(hit, F.lit(False))
+    """True when the text contains one of the words, whatever the case."""
+    return F.coalesce(c.rlike("(?i)" + "|".join(words)), F.lit(False))
 
 
 def blocked_page(c: Column) -> Column:

@@ -59,9 +59,13 @@ def parse_result_lines(rows: DataFrame, column: str = "line") -> DataFrame:
 
 
 def report_results(docs: DataFrame, pages: str = "pages") -> DataFrame:
-    """Dated result rows of all report documents."""
-    rows = result_section(docs, pages).withColumn("line", F.explode("lines"))
-    return parse_result_lines(rows.drop("lines", pages))
+    """Dated result rows of all report documents.
+
+    The outer explode keeps the optimizer from adding a size filter, for which
+    it would work out every section a second time.
+    """
+    rows = result_section(docs, pages).withColumn("line", F.explode_outer("lines"))
+    return parse_result_lines(rows.drop("lines", pages).filter(F.col("line").isNotNull()))
 
 
 def _pairs(text: Column, pattern: str, groups: list[tuple[str, int]]) -> Column:
