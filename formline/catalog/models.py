@@ -301,7 +301,7 @@ STAMP = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
 def _records(spark, sf_dir) -> DataFrame:
     """Run records of the goal model, one of them failed, through JSON lines."""
-    folds = materialize(goal_folds(spark, sf_dir))
+    folds = goal_folds(spark, sf_dir)
     oof = folds.filter("fold >= 1")
     good = run_record("goals", oof, folds, 2, 1.0, "goal_model", stamp=STAMP)
     bad = good.withColumns({"name": F.lit("broken"), "error": F.lit("no data")})
@@ -322,7 +322,7 @@ def met_leaderboard(spark, sf_dir):
 
 def _variant(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Baseline and low-score corrected predictions of the same stored matches."""
-    folds = materialize(goal_folds(spark, sf_dir).filter("fold >= 1"))
+    folds = goal_folds(spark, sf_dir).filter("fold >= 1")
     cols = ["pos", "fold", "y_true", "p_away", "p_draw", "p_home"]
     return folds.select(*cols), S.with_dc_grid(folds.drop("p_away", "p_draw", "p_home"), "xG_home", "xG_away", -0.06).select(*cols)
 
@@ -407,7 +407,7 @@ SELECT 'goals' AS name, count(*) AS oof_n, {r('avg(br)')} AS brier_multiclass, 5
 def snk_runlog(spark, sf_dir):
     """Run records appended as JSON lines; the latest one of a name read back."""
     path = _new_path(spark)
-    folds = materialize(goal_folds(spark, sf_dir))
+    folds = goal_folds(spark, sf_dir)
     oof = folds.filter("fold >= 1")
     for day in (1, 2):
         RN.append_run(run_record("goals", oof, folds, 2, stamp=STAMP.replace(day=day)), path)

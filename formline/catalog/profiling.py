@@ -58,12 +58,13 @@ _HISTORY_CHECKS = check("dirty", [
     ("empty", "error", "count(*) = 0", "'history is empty'"),
     *[(f"null_{c}", "error", f"count(*) FILTER ({c} IS NULL)", f"'missing values in {c}'") for c in ("home", "away", "res")],
     ("result_codes", "error", "count(*) FILTER (res NOT IN ('0', '1', '2', 'A', 'D', 'H'))",
-     "'invalid codes: ' || coalesce(string_agg(DISTINCT res, ',' ORDER BY res) FILTER (res NOT IN ('0', '1', '2', 'A', 'D', 'H')), '')"),
+     "'rows with invalid codes'"),
     ("dates", "error", "count(*) FILTER (date IS NOT NULL AND TRY_CAST(date AS DATE) IS NULL)", "'unparseable dates'"),
     *[(f"negative_{c}", "error", f"count(*) FILTER ({c} < 0)", f"'negative values in {c}'") for c in ("hg", "ag")],
     ("total_matches", "stat", "count(*)",
      "CAST(min(TRY_CAST(date AS DATE)) AS VARCHAR) || ' to ' || CAST(max(TRY_CAST(date AS DATE)) AS VARCHAR)"),
-    ("teams", "stat", f"any_value({_TEAMS})", "'distinct teams'")])
+    ("teams", "stat", f"any_value({_TEAMS})", "'distinct teams'")]) + """
+UNION ALL SELECT 'result_code', 'detail', count(*), res FROM dirty WHERE res NOT IN ('0', '1', '2', 'A', 'D', 'H') GROUP BY res"""
 
 
 @query("val_history", with_ctes(["dirty"], _HISTORY_CHECKS))

@@ -9,35 +9,30 @@ from formline.catalog import tables as T
 from formline.functions import scores as S
 from formline.operators.splits import time_series_folds
 from formline.plans.features import build_features, eligible
-from formline.session import materialize
-
-_stored: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
-        _stored[key] = materialize(build())
-    return _stored[key]
+from formline.session import stored_once
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model frame."""
-    return _once(spark, sf_dir, "features", lambda: build_features(T.matches(spark, sf_dir)))
+    return stored_once(spark, lambda: build_features(T.matches(spark, sf_dir)), sf_dir, "features")
 
 
 def feature_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible model rows with positions and time-series folds."""
-    return _once(spark, sf_dir, "folds", lambda: time_series_folds(
-        eligible(feature_table(spark, sf_dir)), ["batch_ts", "match_id"]))
+    return stored_once(spark, lambda: time_series_folds(
+        eligible(feature_table(spark, sf_dir)), ["batch_ts", "match_id"]), sf_dir, "folds")
 
 
 def goal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches with the form-only goal model's probabilities and folds."""
     from formline.catalog.probability import flat
-    rows = S.with_outcome(flat(spark, sf_dir)).withColumnsRenamed(
-        {"Poisson_Home_Win": "p_home", "Poisson_Draw": "p_draw", "Poisson_Away_Win": "p_away"})
-    return time_series_folds(rows, ["batch_ts", "match_id"]).withColumn("y_true", F.col("res"))
+
+    def build() -> DataFrame:
+        rows = S.with_outcome(flat(spark, sf_dir)).withColumnsRenamed(
+            {"Poisson_Home_Win": "p_home", "Poisson_Draw": "p_draw", "Poisson_Away_Win": "p_away"})
+        return time_series_folds(rows, ["batch_ts", "match_id"]).withColumn("y_true", F.col("res"))
+
+    return stored_once(spark, build, sf_dir, "goal folds")
 
 
 def goal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:

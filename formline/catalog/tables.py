@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formline.session import stored_once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,7 +21,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match table: one match per order, between nations, by priority class."""
+    """The match table, derived once and stored: most jobs scan it several times
+    (days, states, matches) and each scan then reads only its own columns."""
+    return stored_once(spark, lambda: derive_matches(spark, sf_dir), sf_dir, "matches")
+
+
+def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One match per order, between nations, by priority class."""
     key = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     hour = F.lpad((key % 10 + 12).cast("string"), 2, "0")

@@ -63,16 +63,16 @@ def bootstrap_ci(deltas: DataFrame, n_boot: int = N_BOOTSTRAP, seed: int = SEED,
                                     "brier_delta": np.asarray(brier)[picked].sum(axis=1) / size})
 
     spread = jobs.repartition(min(tasks, 64), "task").mapInPandas(draw, "ll_delta double, brier_delta double")
-    bounds = spread.agg(*[F.percentile(m, p).alias(f"{m}_{tag}") for m in ("ll_delta", "brier_delta")
-                          for p, tag in ((0.025, "lo"), (0.975, "hi"))])
-    means = deltas.agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"{m}_mean") for m in ("ll_delta", "brier_delta")])
-    # Two single-row frames side by side, then one row per measure.
-    wide = means.withColumn("_k", F.lit(1)).join(bounds.withColumn("_k", F.lit(1)), "_k")
-    rows = F.inline(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(f"{m}_mean").alias("mean_delta"),
-                 F.col(f"{m}_lo").alias("ci_low"), F.col(f"{m}_hi").alias("ci_high"))
-        for m in ("ll_delta", "brier_delta")]))
-    return wide.select("n", rows)
+    measures = ("ll_delta", "brier_delta")
+    bounds = spread.agg(*[F.percentile(m, p).alias(f"{m}_{tag}") for m in measures
+                          for p, tag in ((0.025, "ci_low"), (0.975, "ci_high"))])
+    means = deltas.agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"{m}_mean_delta") for m in measures])
+
+    def by_measure(row: DataFrame, carry: tuple[str, ...], *names: str) -> DataFrame:
+        return row.select(*carry, F.inline(F.array(*[
+            F.struct(F.lit(m).alias("measure"), *[F.col(f"{m}_{n}").alias(n) for n in names]) for m in measures])))
+
+    return by_measure(means, ("n",), "mean_delta").join(by_measure(bounds, (), "ci_low", "ci_high"), "measure")
 
 
 def with_verdict(intervals: DataFrame) -> DataFrame:

@@ -77,17 +77,20 @@ def per_fold(folds: DataFrame) -> DataFrame:
     return out.filter(F.col("fold") >= 1).withColumnRenamed("n", "val_n")
 
 
+def spread() -> list[Column]:
+    """Aggregates of ``overall(..., 'fold')`` rows over the folds."""
+    def pooled(c: str) -> Column:
+        return F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    return [F.sum("n").alias("oof_n"),
+            F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"),
+            F.avg("log_loss").alias("mean_log_loss"), F.stddev_pop("log_loss").alias("std_log_loss"),
+            F.avg("brier").alias("mean_brier"), pooled("brier").alias("brier_multiclass"),
+            pooled("accuracy").alias("oof_accuracy"), pooled("log_loss").alias("oof_log_loss")]
+
+
 def summary(oof: DataFrame) -> DataFrame:
     """Mean and population deviation over folds next to the overall scores."""
-    folds = overall(oof, "fold")
-    spread = folds.agg(
-        F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"),
-        F.avg("log_loss").alias("mean_log_loss"), F.stddev_pop("log_loss").alias("std_log_loss"),
-        F.avg("brier").alias("mean_brier"), F.sum("n").alias("oof_n"),
-        (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("oof_accuracy"),
-        (F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("oof_log_loss"),
-        (F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier_multiclass"))
-    return spread
+    return overall(oof, "fold").agg(*spread())
 
 
 def recompute(labelled: dict[str, DataFrame]) -> DataFrame:

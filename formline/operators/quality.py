@@ -27,6 +27,10 @@ def _note(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _team_count(teams: DataFrame, name: str) -> DataFrame:
+    return _report(teams.agg(F.count_distinct("t").alias("n")), [(name, "stat", F.col("n"), F.lit("distinct teams"))])
+
+
 def validate_glossary(glossary: DataFrame) -> DataFrame:
     key, value = F.col("variant"), F.col("target")
     row = glossary.agg(
@@ -47,8 +51,8 @@ VALID_RESULTS = ["0", "1", "2", "A", "D", "H"]
 
 def validate_history(matches: DataFrame, home: str = "home", away: str = "away", res: str = "res",
                      date: str = "date", hg: str | None = "hg", ag: str | None = "ag") -> DataFrame:
-    """All checks of a match history in one scan; distinct teams come from a
-    second, pre-aggregated one."""
+    """All checks of a match history in one scan. Distinct teams, and the invalid
+    result codes as one row each, come from pre-aggregated scans of their own."""
     missing = [c for c in (home, away, res, date) if c not in matches.columns]
     if missing:
         return matches.sparkSession.range(1).select(
@@ -62,19 +66,19 @@ def validate_history(matches: DataFrame, home: str = "home", away: str = "away",
     teams = matches.select(F.explode(F.array(home, away)).alias("t")).filter(F.col("t").isNotNull())
     row = matches.agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in (home, away, res)],
-        F.count_if(odd).alias("odd"), F.array_sort(F.collect_set(F.when(odd, code))).alias("codes"),
+        F.count_if(odd).alias("odd"),
         F.count_if(F.col(date).isNotNull() & day.isNull()).alias("bad_date"),
         F.min(day).cast("string").alias("first"), F.max(day).cast("string").alias("last"), *negative)
-    row = row.withColumn("_k", F.lit(1)).join(
-        teams.agg(F.count_distinct("t").alias("teams")).withColumn("_k", F.lit(1)), "_k")
     checks = [("empty", "error", (F.col("total") == 0).cast("int"), F.lit("history is empty"))]
     checks += [(f"null_{c}", "error", F.col(f"null_{c}"), F.lit(f"missing values in {c}")) for c in (home, away, res)]
-    checks += [("result_codes", "error", F.col("odd"), _note("invalid codes: ", F.array_join("codes", ","))),
+    checks += [("result_codes", "error", F.col("odd"), F.lit("rows with invalid codes")),
                ("dates", "error", F.col("bad_date"), F.lit("unparseable dates"))]
     checks += [(f"negative_{c}", "error", F.col(f"neg_{c}"), F.lit(f"negative values in {c}")) for c in (hg, ag) if c]
-    checks += [("total_matches", "stat", F.col("total"), _note(F.coalesce("first", F.lit("-")), " to ", F.coalesce("last", F.lit("-")))),
-               ("teams", "stat", F.col("teams"), F.lit("distinct teams"))]
-    return _report(row, checks)
+    checks.append(("total_matches", "stat", F.col("total"),
+                   _note(F.coalesce("first", F.lit("-")), " to ", F.coalesce("last", F.lit("-")))))
+    codes = matches.filter(odd).groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n_bad")).select(
+        F.lit("result_code").alias("check"), F.lit("detail").alias("severity"), "n_bad", F.col("code").alias("message"))
+    return _report(row, checks).unionByName(_team_count(teams, "teams")).unionByName(codes)
 
 
 def validate_fixtures(fixtures: DataFrame, home: str = "home", away: str = "away") -> DataFrame:
@@ -83,15 +87,12 @@ def validate_fixtures(fixtures: DataFrame, home: str = "home", away: str = "away
         F.count(F.lit(1)).alias("total"), F.count_if(F.col(home).isNull()).alias("no_home"),
         F.count_if(F.col(away).isNull()).alias("no_away"),
         F.count_if(F.upper(F.col(home)) == F.upper(F.col(away))).alias("same"))
-    row = row.withColumn("_k", F.lit(1)).join(
-        teams.agg(F.count_distinct("t").alias("teams")).withColumn("_k", F.lit(1)), "_k")
     return _report(row, [
         ("empty", "warning", (F.col("total") == 0).cast("int"), F.lit("no fixtures")),
         ("null_home", "error", F.col("no_home"), F.lit("fixtures without home team")),
         ("null_away", "error", F.col("no_away"), F.lit("fixtures without away team")),
         ("identical", "warning", F.col("same"), F.lit("fixtures of a team against itself")),
-        ("total_fixtures", "stat", F.col("total"), F.lit("fixtures")),
-        ("unique_teams", "stat", F.col("teams"), F.lit("distinct teams"))])
+        ("total_fixtures", "stat", F.col("total"), F.lit("fixtures"))]).unionByName(_team_count(teams, "unique_teams"))
 
 
 # --- Fixed values: feature bounds, by exact column -----------------------------

@@ -125,8 +125,9 @@ def settle_openings(chunked: DataFrame, walk: Callable, tolerance: float = SETTL
     """Opening ratings of all (league, chunk) groups, iterated until they stand still."""
     spark = chunked.sparkSession
     opening = spark.createDataFrame([], STATE)
-    last = chunked.agg(F.max("chunk")).first()[0] or 0
-    for _ in range(last):
+    bounds = chunked.groupBy("league").agg((F.max("chunk") - F.min("chunk")).alias("n"))
+    rounds = bounds.agg(F.max("n")).first()[0] or 0
+    for _ in range(rounds):
         closing = chunked.groupBy("league", "chunk").cogroup(
             opening.groupBy("league", "chunk")).applyInPandas(_closing(walk), STATE)
         fresh = materialize(_opening_states(closing))
@@ -191,12 +192,10 @@ def margin_ratings(batched: DataFrame, chunk_rows: int = CHUNK_ROWS, row_id: str
     rows = with_season_number(batched).select(
         "league", F.col(row_id).alias("match_id"), "batch_ts", "home", "away",
         F.coalesce("hg", F.lit(0)).alias("hg"), F.coalesce("ag", F.lit(0)).alias("ag"), "season_no")
+    # Positions run league by league, so a fixed number of them makes a chunk and
+    # chunk numbers rise inside every league.
     placed = with_ordinal(rows, ["league", "batch_ts", "match_id"], "pos")
-    firsts = placed.groupBy("league").agg(F.min("pos").alias("_start"))
-    chunked = materialize(
-        placed.join(firsts, "league")
-        .withColumn("chunk", F.floor((F.col("pos") - F.col("_start")) / chunk_rows))
-        .drop("_start", "batch_ts"))
+    chunked = materialize(placed.withColumn("chunk", F.floor(F.col("pos") / chunk_rows)).drop("batch_ts"))
     opening = settle_openings(chunked, _walk_matches)
     names = ["match_id", "home_before", "away_before", "home_after", "away_after"]
     schema = "league string, match_id long, " + ", ".join(f"{n} double" for n in names[1:])

@@ -58,13 +58,11 @@ def run_record(name: str, oof: DataFrame, folds: DataFrame, n_features: int, dra
     stamp = stamp or datetime.now(timezone.utc)
     sizes = metrics.overall(oof, "fold").join(
         folds.filter(F.col("fold") >= 1).groupBy("fold").agg(F.min("pos").alias("train_n")), "fold")
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("fold").cast("int").alias("fold"), "train_n", F.col("n").alias("val_n"), "accuracy", "log_loss"))).alias("folds"))
-    total = metrics.summary(oof).select(F.struct(
-        "oof_n", "mean_accuracy", "std_accuracy", "mean_log_loss", "std_log_loss", "brier_multiclass",
-        "oof_accuracy").alias("aggregate"))
-    one = F.lit(1)
-    both = listed.withColumn("_k", one).join(total.withColumn("_k", one), "_k")
+    both = sizes.agg(
+        F.array_sort(F.collect_list(F.struct(F.col("fold").cast("int").alias("fold"), "train_n", F.col("n").alias("val_n"),
+                                             "accuracy", "log_loss"))).alias("folds"), *metrics.spread())
+    both = both.withColumn("aggregate", F.struct(
+        "oof_n", "mean_accuracy", "std_accuracy", "mean_log_loss", "std_log_loss", "brier_multiclass", "oof_accuracy"))
     return both.select(
         F.lit(f"{name}_{stamp:%Y%m%dT%H%M%SZ}").alias("experiment_id"), F.lit(name).alias("name"),
         F.lit(stamp.isoformat()).alias("timestamp_utc"), F.lit(notes).alias("notes"),

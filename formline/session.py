@@ -52,3 +52,14 @@ def materialize(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_folder(spark), f"formline-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_stored: dict[tuple[str, ...], DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, build, *key: str) -> DataFrame:
+    """The table built by ``build()``, written on first use in this application."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _stored:
+        _stored[full] = materialize(build())
+    return _stored[full]

@@ -69,11 +69,14 @@ def report_results(docs: DataFrame, pages: str = "pages") -> DataFrame:
 
 
 def _pairs(text: Column, pattern: str, groups: list[tuple[str, int]]) -> Column:
-    """Array of structs with the named capture groups of every match."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for _, g in groups]
-    zipped = F.arrays_zip(*[f.alias(n) for f, (n, _) in zip(found, groups)])
-    return F.transform(zipped, lambda x: F.struct(*[
-        F.regexp_replace(x[n], r"^\s+|\s+$", "").alias(n) for n, _ in groups]))
+    """Array of structs with the named capture groups of every match.
+
+    The text is searched once; the groups come from the short matches.
+    """
+    def entry(hit: Column) -> Column:
+        return F.struct(*[F.regexp_replace(F.regexp_extract(hit, pattern, g), r"^\s+|\s+$", "").alias(n) for n, g in groups])
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), entry)
 
 
 def squad_lists(docs: DataFrame, text: str = "text") -> DataFrame:
