@@ -22,8 +22,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match table, derived once and stored: most jobs scan it several times
-    (days, states, matches) and each scan then reads only its own columns."""
-    return stored_once(spark, lambda: derive_matches(spark, sf_dir), sf_dir, "matches")
+    (days, states, matches) and each scan then reads only its own columns. It is
+    written in even files, whatever the skew of the joins it comes from."""
+    return stored_once(spark, lambda: derive_matches(spark, sf_dir).hint("rebalance"), sf_dir, "matches")
 
 
 def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ Only coefficients and other values of fixed size reach the driver.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -73,13 +75,19 @@ def with_probabilities(model, rows: DataFrame) -> DataFrame:
 def cross_validate(folds: DataFrame, features: list[str], draw_weight: float = 1.0,
                    kind: str = "logistic") -> DataFrame:
     """Out-of-fold probabilities: each fold is scored by a model fitted on the
-    rows before it. One distributed fit per fold; ``folds`` should be stored."""
+    rows before it. The distributed fits of the folds run side by side; ``folds``
+    should be stored."""
     starts = folds.filter(F.col("fold") >= 1).groupBy("fold").agg(F.min("pos").alias("start"))
-    parts = []
-    for fold, start in sorted((r["fold"], r["start"]) for r in starts.collect()):
+    todo = sorted((r["fold"], r["start"]) for r in starts.collect())
+
+    @inheritable_thread_target(folds.sparkSession)
+    def scored_fold(item: tuple[int, int]) -> DataFrame:
+        fold, start = item
         model = fit_outcome(folds.filter(F.col("pos") < start), features, draw_weight, kind)
-        parts.append(with_probabilities(model, folds.filter(F.col("fold") == fold)))
-    scored = reduce(DataFrame.unionByName, parts)
+        return with_probabilities(model, folds.filter(F.col("fold") == fold))
+
+    with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+        scored = reduce(DataFrame.unionByName, pool.map(scored_fold, todo))
     return scored.select("pos", "fold", F.col("res").cast("int").alias("y_true"), "p_away", "p_draw", "p_home")
 
 
