@@ -160,11 +160,13 @@ def tau_sql(h: str, a: str, lh: str, la: str, rho: str) -> str:
 
 
 @query("prob_dc_tau", with_ctes(["flat_goals"], f"""
-SELECT match_id, {r(tau_sql('hg', 'ag', 'xG_home', 'xG_away', '0.1'))} AS tau FROM flat_goals"""))
+SELECT match_id, {r(tau_sql('hg', 'ag', 'xG_home', 'xG_away', '0.1') + ' + 1e-9', 7)} AS tau FROM flat_goals"""))
 def prob_dc_tau(spark, sf_dir):
+    """Low-score factors. They are short decimals, so both sides are shifted by
+    1e-9 before rounding: a tie must not hang on the last bit."""
     rows = flat(spark, sf_dir)
     tau = S.dc_tau(F.col("hg"), F.col("ag"), F.col("xG_home"), F.col("xG_away"), F.lit(0.1))
-    return rounded(rows.withColumn("t", tau), "match_id", tau="t")
+    return rounded(rows.withColumn("t", tau + 1e-9), "match_id", digits=7, tau="t")
 
 
 def cells_sql(source: str, lh: str, la: str, factor: str, floor: str) -> str:

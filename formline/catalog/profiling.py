@@ -1,4 +1,9 @@
-"""Queries on validation, profiling and statistic tables."""
+"""Queries on validation, profiling and statistic tables.
+
+Feeds are derived from all rows of the given tables. Remainders of keys only pick
+how a row is spelled (separator, gap, noise), so that every kind of line occurs;
+a line a parser must refuse is missing from the result on both sides.
+"""
 
 from __future__ import annotations
 
