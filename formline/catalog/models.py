@@ -17,7 +17,6 @@ from formline.catalog.sql import CTES, DEPENDS, r, with_ctes
 from formline.catalog.text import standings_rows
 from formline.functions import scores as S
 from formline.operators import compare as C, metrics as M, models as MD, splits as SP, windows as W
-from formline.operators.batching import assign_batches
 from formline.operators.ratings import EloWalk
 from formline.plans.experiment import run_record
 from formline.plans.predict import fixture_features, predict_fixtures

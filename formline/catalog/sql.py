@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from formline import constants as K
-
 
 def r(expr: str, digits: int = 6) -> str:
     """Round, without a negative zero."""

@@ -77,7 +77,7 @@ def _up_to(k: int, lam: Column) -> Column:
     return out
 
 
-def _raw_shares(df: DataFrame, lam_h: Column, lam_a: Column) -> DataFrame:
+def raw_shares(df: DataFrame, lam_h: Column, lam_a: Column) -> DataFrame:
     """Win/draw/loss mass and goal moments of the independent grid, up to a
     common factor. Missing intensities count as zero here; callers null them."""
     goals = range(1, K.MAX_GOALS + 1)
@@ -106,7 +106,7 @@ OUTCOME = ["Poisson_Home_Win", "Poisson_Draw", "Poisson_Away_Win",
 
 def with_outcome(df: DataFrame, lam_h: str = "xG_home", lam_a: str = "xG_away") -> DataFrame:
     """Calibrated home/draw/away probabilities and expected goals per row."""
-    df = _raw_shares(df, F.col(lam_h), F.col(lam_a))
+    df = raw_shares(df, F.col(lam_h), F.col(lam_a))
     df = df.withColumn("_inv", F.coalesce(1.0 / (F.col("_win") + F.col("_tie") + F.col("_loss")), F.lit(0.0)))
     inv = F.col("_inv")
     df = df.withColumns({
@@ -240,7 +240,7 @@ def with_dc_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float | Column, flo
     """
     rho = rho if isinstance(rho, Column) else F.lit(float(rho))
     low_h, low_a = (F.greatest(F.col(c).cast("double"), F.lit(floor)) for c in (lam_h, lam_a))
-    df = _raw_shares(df.withColumn("_rho", rho), low_h, low_a)
+    df = raw_shares(df.withColumn("_rho", rho), low_h, low_a)
     lh, la, keep_positive = F.col("_lh"), F.col("_la"), goals is not None or matrix is not None
     # Weights of the four cells are 1, la, lh and lh*la; each gains weight*(tau-1).
     factors = {}
@@ -278,7 +278,7 @@ def with_dc_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float | Column, flo
 def with_diagonal_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float = K.DIAGONAL_RHO,
                        names=("p_away", "p_draw", "p_home")) -> DataFrame:
     """3-class probabilities with the whole diagonal scaled by ``1-2*rho``."""
-    df = _raw_shares(df, F.col(lam_h), F.col(lam_a))
+    df = raw_shares(df, F.col(lam_h), F.col(lam_a))
     df = df.withColumns({"_w": F.col("_win") * (1.0 + rho), "_d": F.col("_tie") * (1.0 - 2.0 * rho),
                          "_l": F.col("_loss") * (1.0 + rho)})
     df = df.withColumn("_t", F.col("_w") + F.col("_d") + F.col("_l"))

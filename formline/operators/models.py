@@ -259,7 +259,7 @@ def calibration(matches: DataFrame, draw_factors: list[float], boosts: list[floa
     Each grid point is a pair of sums in one aggregate, so matches are scanned
     once and never multiplied by the grid.
     """
-    raw = scores._raw_shares(matches, F.col(lam_h), F.col(lam_a))
+    raw = scores.raw_shares(matches, F.col(lam_h), F.col(lam_a))
     mass = F.col("_win") + F.col("_tie") + F.col("_loss")
     raw = raw.select(F.col(res).alias("res"), (F.col("_tie") / mass).alias("tie"),
                      (F.col("_win") / (F.col("_win") + F.col("_loss"))).alias("ratio"))

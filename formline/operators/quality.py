@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import constants as K
-from formline.operators.batching import reliable_clock
 
 
 def _report(row: DataFrame, checks: list[tuple[str, str, Column, Column]], carry: tuple[str, ...] = ()) -> DataFrame:

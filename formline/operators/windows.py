@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import constants as K
+from formline.functions.scores import total
 
 TEAM = ["league", "team"]
 STATE_KEY = ["league", "team", "batch_ts"]
@@ -61,20 +62,19 @@ def _averages(window, n: int, prefix: str = "") -> dict[str, Column]:
     }
 
 
-def _decayed(window, n: int, halflife: float) -> dict[str, Column]:
-    """Weighted means over the last ``n`` rows; weight halves every ``halflife`` rows."""
-    weights = [0.5 ** (age / halflife) for age in range(n)]
-    out, mass = {}, None
-    for age, weight in enumerate(weights):
-        term = F.when(F.lag("gf", age + 1).over(window).isNotNull(), F.lit(weight)).otherwise(0.0)
-        mass = term if mass is None else mass + term
-    for name, col in (("form", "pts"), ("gf", "gf"), ("ga", "ga")):
-        summed = None
-        for age, weight in enumerate(weights):
-            term = F.coalesce(F.lag(col, age + 1).over(window) * F.lit(weight), F.lit(0.0))
-            summed = term if summed is None else summed + term
-        out[name] = F.when(mass > 0, summed / mass)
-    return out
+def _lags(window, n: int) -> dict[str, Column]:
+    """The last ``n`` results as columns ``_pts1``.. (newest first)."""
+    return {f"_{c}{age}": F.lag(c, age).over(window) for c in ("pts", "gf", "ga") for age in range(1, n + 1)}
+
+
+def _decayed(n: int, halflife: float) -> dict[str, Column]:
+    """Weighted means of the lag columns; weight halves every ``halflife`` rows."""
+    weights = {age: F.lit(0.5 ** ((age - 1) / halflife)) for age in range(1, n + 1)}
+    mass = total(F.when(F.col(f"_gf{age}").isNotNull(), w).otherwise(0.0) for age, w in weights.items())
+    return {
+        name: F.when(mass > 0, total(F.coalesce(F.col(f"_{c}{age}") * w, F.lit(0.0)) for age, w in weights.items()) / mass)
+        for name, c in (("form", "pts"), ("gf", "gf"), ("ga", "ga"))
+    }
 
 
 def trailing_state(rows: DataFrame, window: int = K.TRAILING_WINDOW, halflives=(), rolling=()) -> DataFrame:
@@ -84,16 +84,15 @@ def trailing_state(rows: DataFrame, window: int = K.TRAILING_WINDOW, halflives=(
     kept = batch_tail(rows, longest).withColumn("pts", points())
     order = _team_order()
     cols = _averages(order, window)
-    for h in halflives:
-        cols |= {f"ewma{h}_{k}": v for k, v in _decayed(order, window, float(h)).items()}
     for n in rolling:
         avg = _averages(order, n)
         cols |= {f"roll{n}_form": avg["form"], f"roll{n}_gd": avg["avg_gf"] - avg["avg_ga"]}
-    state = kept.withColumns(cols).withColumn("_first", F.row_number().over(_batch_order()))
-    names = [c for c in cols]
-    return (state.filter(F.col("_first") == 1)
-            .withColumn("avg_gd", F.col("avg_gf") - F.col("avg_ga"))
-            .select(*STATE_KEY, "avg_gd", *names))
+    lags = _lags(order, window) if halflives else {}
+    state = (kept.withColumns(cols | lags).withColumn("_first", F.row_number().over(_batch_order()))
+             .filter(F.col("_first") == 1))
+    faded = {f"ewma{h}_{k}": v for h in halflives for k, v in _decayed(window, float(h)).items()}
+    return (state.withColumns({"avg_gd": F.col("avg_gf") - F.col("avg_ga"), **faded})
+            .select(*STATE_KEY, "avg_gd", *cols, *faded))
 
 
 def venue_state(rows: DataFrame, window: int = K.TRAILING_WINDOW,

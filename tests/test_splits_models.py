@@ -211,3 +211,26 @@ def test_run_log(spark, tmp_path):
         RN.latest_run(read, "a").collect()
     with pytest.raises(Exception, match="no run named c"):
         RN.latest_run(read, "c").collect()
+
+
+def test_experiment_end_to_end(spark, sf_dir, tmp_path):
+    """Variant against baseline: features, folds, record, log, paired verdict."""
+    from formline.catalog import tables as T
+    from formline.plans.experiment import run_experiment
+
+    matches = T.matches(spark, sf_dir)
+    base, base_record = run_experiment("baseline", matches)
+    variant, record = run_experiment("ewma", matches, variant="ewma_hl4", notes="n")
+    path = str(tmp_path / "runs")
+    RN.append_run(base_record, path)
+    RN.append_run(record, path)
+    last = RN.latest_run(RN.read_runs(spark, path), "ewma").first()
+    n = matches.count()
+    assert last["config"]["n_features"] == 30 and last["aggregate"]["oof_n"] == 5 * (n // 6) == base.count()
+    assert [f["fold"] for f in last["folds"]] == [1, 2, 3, 4, 5]
+    assert last["folds"][0]["train_n"] == n - 5 * (n // 6)
+    assert last["aggregate"]["mean_log_loss"] == pytest.approx(
+        np.mean([r["log_loss"] for r in M.overall(variant, "fold").collect()]))
+    out = C.with_verdict(C.bootstrap_ci(C.paired(base, variant), 1000)).collect()
+    assert {r["measure"] for r in out} == {"ll_delta", "brier_delta"} and all(r["ci_low"] <= r["mean_delta"] <= r["ci_high"] for r in out)
+    assert M.leaderboard(RN.read_runs(spark, path)).count() == 2

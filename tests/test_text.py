@@ -154,6 +154,20 @@ def test_standings(spark):
     assert raw[1]["normalized"] == "LANUS" and raw[1]["goals_for"] == 3 and raw[2]["points"] == 4 and raw[3]["team"] == "Otro"
 
 
+def test_standings_files(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"teams": [{"name": "Tigre", "points": 3}]}, indent=1), encoding="utf-8")
+    got = ST2.parse_standings(ST2.read_documents(spark, str(tmp_path))).first()
+    assert got["team"] == "TIGRE" and got["points"] == 3 and got["position"] == 0
+
+
+def test_history_goes_to_a_new_path(spark, tmp_path):
+    df = spark.createDataFrame([("01/01/2024", "A", "B")], "Date string, Home string, Away string")
+    history.write_history(df, str(tmp_path / "h"))
+    assert spark.read.csv(str(tmp_path / "h"), header=True).count() == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        history.write_history(df, str(tmp_path / "h"))
+
+
 def test_match_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text(
         "Date,Time,Home,Away,HG,AG,Res,Season,League,B365CH,B365CD,B365CA\n"
