@@ -355,6 +355,8 @@ def _decode(x: str) -> str:
 
 
 _MENTION = "'" + P.MENTION + "'"
+# The pages hold no nested containers, so a pattern finds them in SQL
+_BOX = r"""(?is)<(?:div|article|section)\b[^>]*\bclass="[^"]*(?:match|partido|fixture|result)[^"]*"[^>]*>(.*?)</(?:div|article|section)>"""
 
 
 def _mention(cte: str, col: str, source: str) -> str:
@@ -373,7 +375,7 @@ SELECT * FROM loose WHERE page_id NOT IN (SELECT page_id FROM boxed) AND length(
   AND NOT """ + _skip('"Home"') + " AND NOT " + _skip('"Away"'), {
     "marked": f"SELECT page_id, html || {choice('page_id % 4', ['''$$<div class=\"match-row\"><b>Boca Juniors (H)</b> 2 - 1 <i>River &amp; Plate</i></div>$$'''], quoted(''))} AS html FROM pages",
     "inner_": rf"""SELECT page_id, trim(regexp_replace({_decode("regexp_replace(x, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) AS t
-      FROM (SELECT page_id, unnest(regexp_extract_all(html, '{P.CONTAINER.replace("'", "''")}', 1)) AS x FROM marked)""",
+      FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_BOX}', 1)) AS x FROM marked)""",
     "boxed": f"""SELECT * FROM ({_mention('inner_', 't', 'container')}) WHERE length("Home") >= 3 AND length("Away") >= 3""",
     "nodes": f"SELECT page_id, {_decode('x')} AS t FROM (SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]+>')) AS x FROM marked)",
     "loose": _mention("nodes", "t", "text")}))

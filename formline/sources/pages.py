@@ -2,65 +2,127 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from formline import constants as K
 from formline.functions import text as T
 
 # --- Fixed values: match containers and score mentions -------------------------
-CONTAINER = (
-    r"(?is)<(?:div|article|section)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:match|partido|fixture|result)"
-    r"[^\"']*[\"'][^>]*>(.*?)</(?:div|article|section)>"
-)
+CONTAINER_TAGS = {"div", "article", "section"}
+CONTAINER_CLASS = r"(?i)match|partido|fixture|result"
 MENTION = r"(.+?)\s+(\d+)\s*[-:]\s*(\d+)\s+(.+)"
 HINT = r"\s\d+\s*[-:]\s*\d+\s"
 MIN_NAME = 3
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+SILENT_TAGS = {"script", "style", "template"}
+
+
+class _Texts(HTMLParser):
+    """Texts of match containers (nested ones too) and all single text nodes."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.boxes, self.nodes, self.pending = [], [], [], []
+
+    def _flush(self):
+        node, self.pending = "".join(self.pending), []
+        if not node:
+            return
+        self.nodes.append(node)
+        if node.strip() and not any(tag in SILENT_TAGS for tag, _ in self.open):
+            for _, box in self.open:
+                if box is not None:
+                    self.boxes[box].append(node.strip())
+
+    def handle_starttag(self, tag, attrs):
+        self._flush()
+        box = None
+        if tag in CONTAINER_TAGS and re.search(CONTAINER_CLASS, dict(attrs).get("class") or ""):
+            box = len(self.boxes)
+            self.boxes.append([])
+        if tag not in VOID_TAGS:
+            self.open.append((tag, box))
+
+    def handle_startendtag(self, tag, attrs):
+        self._flush()
+
+    def handle_endtag(self, tag):
+        self._flush()
+        at = max((i for i, (t, _) in enumerate(self.open) if t == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.pending.append(data)
+
+    def handle_comment(self, data):
+        self._flush()
+        self.nodes.append(data)
 
+    def texts(self, html: str) -> dict:
+        self.feed(html)
+        self.close()
+        self._flush()
+        return {"boxes": [" ".join(b) for b in self.boxes], "nodes": [n for n in self.nodes if re.search(HINT, n)]}
 
-def _plain(c: Column) -> Column:
-    """Text of a markup fragment: tags out, common entities decoded."""
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
 
+_TEXTS = T_.StructType([T_.StructField(n, T_.ArrayType(T_.StringType())) for n in ("boxes", "nodes")])
 
-def _mentions(rows: DataFrame, text: str, source: str) -> DataFrame:
-    """Keep texts with a score mention and split it into its parts."""
-    name = {}
-    for out, group in (("Home", 1), ("Away", 4)):
-        found = F.trim(F.regexp_extract(text, MENTION, group))
-        name[out] = F.regexp_replace(found, r"\s*\(.*?\)\s*$", "") if source == "container" else found
-    rows = rows.filter(F.col(text).rlike(HINT) & F.col(text).rlike(MENTION)).withColumns(name | {
-        "Home_Score": F.regexp_extract(text, MENTION, 2).try_cast("int"),
-        "Away_Score": F.regexp_extract(text, MENTION, 3).try_cast("int"),
-        "source": F.lit(source),
-    })
-    return rows.filter((F.length("Home") >= MIN_NAME) & (F.length("Away") >= MIN_NAME)).drop(text)
+
+@F.pandas_udf(_TEXTS)
+def _page_texts(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_Texts().texts(h) for h in html], columns=["boxes", "nodes"])
+
+
+def may_mention(html: Column) -> Column:
+    """False only for pages whose text cannot hold a score."""
+    bare = F.replace(F.regexp_replace(html, r"<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" "))
+    return F.concat(F.lit(" "), bare, F.lit(" ")).rlike(HINT) | html.rlike("&(#|colon;)")
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def page_scores(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Score mentions per page: those in match containers, or, where a page has
     none, those in its text nodes without a skip word.
 
-    Both passes run inside the page's row, so the fallback needs no join.
+    Pages that cannot hold a score are left out by a native test of their text;
+    only the others are read as markup. Both passes stay inside the page's row,
+    so the fallback needs no join.
     """
-    inner = F.transform(F.regexp_extract_all(F.col(html), F.lit(CONTAINER), F.lit(1)),
-                        lambda x: F.trim(F.regexp_replace(_plain(F.regexp_replace(x, r"<[^>]+>", " ")), r"\s+", " ")))
-    nodes = F.transform(F.split(F.col(html), r"<[^>]+>"), _plain)
-    base = pages.select(key, inner.alias("_inner"), F.filter(nodes, lambda x: x.rlike(HINT)).alias("_nodes"))
-
-    def names_ok(x: Column) -> Column:
-        home = F.regexp_replace(F.trim(F.regexp_extract(x, MENTION, 1)), r"\s*\(.*?\)\s*$", "")
-        away = F.regexp_replace(F.trim(F.regexp_extract(x, MENTION, 4)), r"\s*\(.*?\)\s*$", "")
-        return x.rlike(MENTION) & (F.length(home) >= MIN_NAME) & (F.length(away) >= MIN_NAME)
-
-    boxed = F.exists("_inner", names_ok)
-    base = base.withColumn("_boxed", boxed)
-    first = _mentions(base.filter("_boxed").select(key, F.explode("_inner").alias("_t")), "_t", "container")
-    second = _mentions(base.filter(~F.col("_boxed")).select(key, F.explode("_nodes").alias("_t")), "_t", "text")
-    second = second.filter(~T.has_any(F.col("Home"), K.SCORE_SKIP_WORDS) & ~T.has_any(F.col("Away"), K.SCORE_SKIP_WORDS))
-    return first.unionByName(second)
+    texts = pages.filter(may_mention(F.col(html))).select(key, _page_texts(html).alias("_p"))
+
+    def parts(text: Column, boxed: bool) -> Column:
+        def name(group: int) -> Column:
+            found = _strip(F.regexp_extract(text, MENTION, group))
+            return F.regexp_replace(found, r"\s*\(.*?\)\s*$", "") if boxed else found
+        return F.struct(
+            name(1).alias("Home"), name(4).alias("Away"),
+            F.regexp_extract(text, MENTION, 2).try_cast("int").alias("Home_Score"),
+            F.regexp_extract(text, MENTION, 3).try_cast("int").alias("Away_Score"),
+            F.lit("container" if boxed else "text").alias("source"))
+
+    def named(hit: Column) -> Column:
+        return (F.length(hit["Home"]) >= MIN_NAME) & (F.length(hit["Away"]) >= MIN_NAME)
+
+    def clean(hit: Column) -> Column:
+        return named(hit) & ~T.has_any(hit["Home"], K.SCORE_SKIP_WORDS) & ~T.has_any(hit["Away"], K.SCORE_SKIP_WORDS)
+
+    def mentions(field: str, boxed: bool, keep) -> Column:
+        scored = F.filter(F.col("_p")[field], lambda x: x.rlike(MENTION))
+        return F.filter(F.transform(scored, lambda x: parts(x, boxed)), keep)
+
+    hits = texts.select(key, mentions("boxes", True, named).alias("_boxed"), mentions("nodes", False, clean).alias("_loose"))
+    return hits.select(key, F.inline_outer(F.when(F.size("_boxed") > 0, F.col("_boxed")).otherwise(F.col("_loose")))
+                       ).filter(F.col("source").isNotNull())
 
 
 def blocked_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -134,9 +134,15 @@ def test_squads(spark):
 
 
 def test_page_scores(spark):
-    pages = [(1, '<div class="partido x">Boca (H) <b>2</b> - 1 River</div><p>Lanús 3 - 3 Tigre</p>'), (2, "<p>Lanús 3:2 Tigre</p><p>Hora 1 - 0 Club</p>"), (3, "<p>nada</p>")]
+    pages = [(1, '<div class="partido x">Boca (H) <b>2</b> - 1 River</div><p>Lanús 3 - 3 Tigre</p>'), (2, "<p>Lanús 3:2 Tigre</p><p>Hora 1 - 0 Club</p>"), (3, "<p>nada</p>"),
+             (4, "<div class='fixture'><div class='home'>Unión<br></div> <span>4</span>&nbsp;- 0 <div>Platense (A)</div></div><script>x 1 - 1 y</script>"),
+             (5, "<section class='Results'><div class='match'>Uno Dos 1-0 Tres</div></section><!-- Aaa 2 - 2 Bbb -->"),
+             (6, "<div class='x'>Aaa 1 - 0 Bbb</div><script>var q = 'Foo 9 - 9 Bar';</script>")]
     got = sorted((r["page_id"], r["Home"], r["Home_Score"], r["Away_Score"], r["Away"], r["source"]) for r in P.page_scores(spark.createDataFrame(pages, "page_id int, html string")).collect())
-    assert got == [(1, "Boca", 2, 1, "River", "container"), (2, "Lanús", 3, 2, "Tigre", "text")]
+    assert got == [(1, "Boca", 2, 1, "River", "container"), (2, "Lanús", 3, 2, "Tigre", "text"),
+                   (4, "Unión", 4, 0, "Platense", "container"), (5, "Uno Dos", 1, 0, "Tres", "container"),
+                   (5, "Uno Dos", 1, 0, "Tres", "container"), (6, "Aaa", 1, 0, "Bbb", "text"),
+                   (6, "var q = 'Foo", 9, 9, "Bar';", "text")]
 
 
 def test_standings(spark):
