@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import html_text, line_dedup, packing
+from formline.llm import fingerprint, html_text, line_dedup, packing
 from formline.llm.common import table
 
 
@@ -19,16 +19,22 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_fingerprint": op2_fingerprint,
     "op7_packing": op7_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op2_fingerprint": fingerprint.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
