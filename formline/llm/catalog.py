@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import fingerprint, html_text, line_dedup, packing
+from formline.llm import bpe, fingerprint, html_text, line_dedup, packing
 from formline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +34,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_fingerprint": op2_fingerprint,
+    "op3_bpe": op3_bpe,
     "op7_packing": op7_packing,
     "op10_line_dedup": op10_line_dedup,
 }
