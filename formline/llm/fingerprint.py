@@ -70,13 +70,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def with_edited(docs: DataFrame) -> DataFrame:
     """``id, doc_id, text, n_chars, edited, next_id, prev_id, stands`` (for its id), a row per row."""
-    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    # Both uses of the shuffled texts read the same two columns, so that shuffle is made once.
+    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
     linked = docs.join(materialize(neighbours(docs)), "id").withColumn("stands", F.xxhash64("text") == F.col("least"))
-    first = (linked.where("stands").groupBy(F.col("prev_id").alias("id"))
-             .agg(F.min(F.left(F.col("text"), F.col("need"))).alias("first")))
+    prefix = F.when(F.col("stands"), F.left(F.col("text"), F.col("need")))  # a filter would become a join key
+    first = linked.groupBy(F.col("prev_id").alias("id")).agg(F.min(prefix).alias("first"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     return linked.join(first, "id").select(
-        "id", "doc_id", "text", n.cast("long").alias("n_chars"), "next_id", "prev_id", "stands",
+        "id", F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "text", n.cast("long").alias("n_chars"), "next_id", "prev_id", "stands",
         F.concat(F.left(F.col("text"), n - half), F.left(F.col("first"), half)).alias("edited"))
 
 
