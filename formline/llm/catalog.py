@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, fingerprint, html_text, line_dedup, packing
+from formline.llm import bpe, fingerprint, html_text, line_dedup, packing, secrets
 from formline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,11 +39,13 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_fingerprint": op2_fingerprint,
     "op3_bpe": op3_bpe,
+    "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
     "op2_fingerprint": fingerprint.ORACLE,
+    "op5_secrets": secrets.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
