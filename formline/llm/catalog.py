@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, fingerprint, html_text, line_dedup, packing, secrets
+from formline.llm import bpe, fingerprint, html_text, line_dedup, packing, secrets, toxicity
 from formline.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op2_fingerprint": op2_fingerprint,
     "op3_bpe": op3_bpe,
     "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op10_line_dedup": op10_line_dedup,
 }
