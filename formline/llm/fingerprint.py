@@ -110,6 +110,24 @@ def fingerprints(texts: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
         *keys, "rows", F.expr(f"transform(sums, x -> pmod(x div rows, {LANE}L))").alias("lanes"))
 
 
+COUNTS = 1 + 32 * WORDS  # runs, and set bits per place
+
+
+def packed(lanes: str) -> Column:
+    """The lanes in fewer longs, if all counts are below 2^16; as they are, otherwise."""
+    pair = f"shiftleft({lanes}[2 * k], 32) | {lanes}[2 * k + 1]"
+    four = " | ".join(f"shiftleft(coalesce(get({lanes}, {WIDE + j} + 4 * k), 0L), {16 * j})" for j in range(4))
+    return F.expr(f"""CASE WHEN exists(slice({lanes}, {WIDE + 1}, {COUNTS}), x -> x >= 65536) THEN {lanes} ELSE
+        concat(transform(sequence(0, {WIDE // 2 - 1}), k -> {pair}), transform(sequence(0, {COUNTS // 4}), k -> {four})) END""")
+
+
+def unpacked(p: str) -> Column:
+    wide = f"shiftrightunsigned({p}[CAST(k div 2 AS INT)], 32 - 32 * (k % 2)) & {LANE - 1}L"
+    count = f"shiftright({p}[{WIDE // 2} + CAST(k div 4 AS INT)], 16 * (k % 4)) & 65535L"
+    return F.expr(f"""CASE WHEN size({p}) = {WIDE + COUNTS} THEN {p} ELSE
+        concat(transform(sequence(0, {WIDE - 1}), k -> {wide}), transform(sequence(0, {COUNTS - 1}), k -> {count})) END""")
+
+
 def insert(lanes: Column, paragraph: Column) -> Column:
     """Lanes of the text with one more paragraph, given that paragraph's lanes."""
     return F.zip_with(lanes, paragraph, lambda a, b: F.pmod(a + b, F.lit(LANE)))
@@ -151,9 +169,10 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pair = each.groupBy(*keys).agg(
         F.first("rows").alias("rows"), *(F.max(F.when(F.col("of_edited") == flag, F.col("lanes"))).alias(name)
                                          for name, flag in (("lanes", False), ("edited_lanes", True))))
-    pair = materialize(pair)
+    pair = materialize(pair.withColumns({c: packed(c) for c in ("lanes", "edited_lanes")}).drop("next_id", "k1", "k2"))
     after = pair.where("stands").select(F.col("prev_id").alias("id"), F.col("lanes").alias("next_lanes"))
-    out = pair.join(after, "id").select(
+    both = pair.drop("prev_id", "stands").join(after, "id")
+    out = both.withColumns({c: unpacked(c) for c in ("lanes", "edited_lanes", "next_lanes")}).select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("lanes")).alias("fingerprint"),
         as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),

@@ -76,3 +76,12 @@ def test_likeness_follows_shared_runs(spark, sf_dir):
         F.avg("near_edited").alias("e"), F.avg("near_next").alias("n"),
         F.avg((F.col("near_edited") > F.col("near_next")).cast("int")).alias("w")).first()
     assert 0.35 < out.e < 0.65 and out.n < 0.1 and out.w > 0.97
+
+
+def test_packed_lanes(spark):
+    small = lanes_of("a b c d e f\ng")
+    large = [2 ** 32 - 1] * 8 + [70_000] + [65_536] * 128
+    edge = [2 ** 32 - 1, 0, 2 ** 31] + [5] * 5 + [65_535] * 129
+    df = spark.createDataFrame([(small,), (large,), (edge,)], "v array<long>").withColumn("p", fp.packed("v"))
+    rows = df.select("v", F.size("p").alias("n"), fp.unpacked("p").alias("u")).collect()
+    assert all(r.v == r.u for r in rows) and sorted(r.n for r in rows) == [37, 37, 137]
