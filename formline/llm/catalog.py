@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, fingerprint, html_text, line_dedup, packing, secrets, toxicity
+from formline.llm import bpe, fingerprint, html_text, line_dedup, minhash, packing, secrets, toxicity
 from formline.llm.common import table
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,6 +51,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
 }
 
