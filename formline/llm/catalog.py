@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, fingerprint, html_text, line_dedup, minhash, packing, secrets, toxicity
+from formline.llm import bpe, fingerprint, html_text, line_dedup, lm, minhash, packing, secrets, toxicity
 from formline.llm.common import table
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_lm_score": op8_lm_score,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
 }
