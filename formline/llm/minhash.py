@@ -255,10 +255,11 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
     return dealt.groupBy("key", "slice").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=(),
-                    similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, class_id, class_size`` (and ``carried``), a row per row of ``docs``."""
-    docs = id_and_text(docs, id_col, text_col, carry)
+def classified(docs: DataFrame, similar: float) -> DataFrame:
+    """``doc_id, node, class_id, class_size, first`` (and ``carried``), a row per row of ``docs``.
+
+    ``first`` marks the node, of those with a document of the class id, that stands for the class.
+    """
     signed = materialize(sign(docs).withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))))
     firsts = signed.groupBy("node").agg(F.min("id").alias("id"))
     # One row per node: its id stands for it, and rows that repeat are equal.
@@ -274,10 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links.union(more))
     per_node = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     per_node = per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = per_node.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = per_node.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
+    stands = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node")))["node"]
+    classes = per_node.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), stands.alias("stands"))
+    of_node = per_node.select("node", "root").join(classes, "root").select(
+        "node", "class_id", "class_size", (F.col("node") == F.col("stands")).alias("first"))
     if not carried(docs):
-        return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "class_size")
+        return signed.select("doc_id", "node").join(of_node, "node")
 
     def key(batches):
         for batch in batches:
@@ -286,4 +289,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                              ["doc_id", "node", "carried"])
 
     keyed = docs.mapInArrow(key, schema_of("doc_id long, node binary", docs))
-    return keyed.join(of_node, "node").select("doc_id", "class_id", "class_size", "carried")
+    return keyed.join(of_node, "node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=(),
+                    similar: float = SIMILAR) -> DataFrame:
+    """``doc_id, class_id, class_size`` (and ``carried``), a row per row of ``docs``."""
+    return classified(id_and_text(docs, id_col, text_col, carry), similar).drop("node", "first")
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=(),
+                  similar: float = SIMILAR) -> DataFrame:
+    """``doc_id, class_id, class_size`` (and ``carried``) of one row of every class, that of its least id.
+
+    Rows that repeat the id and the words of that row are already together by node.
+    """
+    rows = classified(id_and_text(docs, id_col, text_col, carry), similar)
+    return rows.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["node"]).drop("node", "first")
