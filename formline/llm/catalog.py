@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, fingerprint, html_text, line_dedup, lm, minhash, packing, secrets, toxicity
+from formline.llm import bpe, fingerprint, html_text, line_dedup, lm, minhash, multi_index, packing, secrets, toxicity
 from formline.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_fingerprint": op2_fingerprint,
     "op3_bpe": op3_bpe,
+    "op4_nearest": op4_nearest,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
