@@ -47,8 +47,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
-#: Estimates from whole signatures below this are 4 deviations from 0.8.
-ESTIMATE = 0.68
+#: Estimates from whole signatures below this are 3.5 deviations from 0.8.
+ESTIMATE = 0.70
 #: Nodes outside the largest class of a bucket that are looked at together.
 TOGETHER = 1500
 PRIME = 0x9E3779B97F4A7C15 | 1
@@ -148,7 +148,7 @@ def bands(signed: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, node`` (a hash of the words), ``bands`` and ``brief`` (the signature in 16-bit parts), a row per row."""
+    """``doc_id, node`` (a hash of the words), ``bands`` and ``brief`` (the signature in bytes), a row per row."""
 
     def run(batches):
         for batch in batches:
@@ -157,7 +157,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 words = [normal(t) for t in texts[a:b]]
                 signed = signatures(*elements(words))
                 keys = bands(signed).view(np.int64)
-                brief = mix(signed).astype("<u2")
+                brief = mix(signed).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))),
@@ -199,14 +199,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def hubs(nodes: DataFrame) -> DataFrame:
-    """``bucket, node`` of every bucket with several nodes, with its ``hub`` and ``least`` node."""
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    """``bucket, band, node`` of every bucket with several nodes, with its ``hub`` and ``least`` node."""
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     shared = materialize(rows.join(sizes, "bucket"))
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     heavy = shared.select("bucket", "node").join(weight, "node")
     best = heavy.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"), F.min("node").alias("least"))
-    return shared.select("bucket", "node").join(best, "bucket")
+    return shared.select("bucket", "band", "node").join(best, "bucket")
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
     slice. Where those are more than ``TOGETHER``, they are split by further bands, which
     similar nodes share as well; the bands a pair agrees on are the same for every split.
     """
-    rows = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"),
                                           F.max(F.struct("n", "root")).alias("main")).where(F.col("classes") > 1)
@@ -230,9 +230,10 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
     rows = rows.withColumn("others", F.col("all") - F.col("main.n"))
     rows = rows.join(nodes.select("node", "bands", "brief"), "node")
     few = rows.where(F.col("others") <= TOGETHER).withColumn("key", F.col("bucket"))
-    many = rows.where(F.col("others") > TOGETHER).withColumn("band", F.explode("bands")).where(
-        F.col("band") != F.col("bucket")).withColumn("key", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")))
-    columns = ["key", "node", "root", "outside", "brief"]
+    many = rows.where(F.col("others") > TOGETHER).withColumn("more", F.explode("bands")).where(
+        F.col("more") != F.col("bucket")).withColumn("key", F.xxhash64(F.least("bucket", "more"), F.greatest("bucket", "more")))
+    many = many.withColumn("band", F.lit(-1))
+    columns = ["key", "band", "node", "root", "outside", "brief"]
     rows = few.select(*columns).union(many.select(*columns))
     inside = rows.where(~F.col("outside")).groupBy("key").agg(F.count(F.lit(1)).alias("inside"))
     dealt = rows.join(inside, "key", "left").withColumn("slices", F.ceil(F.coalesce("inside", F.lit(1)) / TOGETHER).cast("int"))
@@ -243,12 +244,17 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
         node = group["node"].to_pylist()
         root = np.unique(np.array([r.hex() for r in group["root"].to_pylist()]), return_inverse=True)[1]
         outside = np.flatnonzero(group["outside"].to_numpy(zero_copy_only=False))
-        brief = np.stack([np.frombuffer(b, "<u2") for b in group["brief"].to_pylist()])
+        brief = np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint8).reshape(len(node), COORDINATES)
+        band = group["band"][0].as_py()
         found: list[tuple[bytes, bytes]] = []
         for i in outside:
-            like = (brief == brief[i]).mean(axis=1)
-            for j in np.flatnonzero((like >= ESTIMATE) & (root != root[i])):
-                found.append((max(node[i], node[j]), min(node[i], node[j])))
+            others = np.flatnonzero(root != root[i])
+            same = brief[others] == brief[i]
+            near = np.count_nonzero(same, axis=1) >= ESTIMATE * COORDINATES
+            others, same = others[near], same[near]
+            if band >= 0:  # a pair is reported by the first bucket it shares
+                others = others[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            found.extend((max(node[i], node[j]), min(node[i], node[j])) for j in others)
         found = list(set(found))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
@@ -268,9 +274,9 @@ def classified(docs: DataFrame, similar: float) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     texts = docs.join(wanted.select(F.col("id").alias("at")).distinct(), F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("at"), "left_semi")
     sets = materialize(element_sets(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    links = materialize(verified(candidates(members), sets, similar))
+    links = materialize(verified(materialize(candidates(members)), sets, similar))
     roots = components(links)
-    more = materialize(verified(left_over(members, nodes, roots), sets, similar))
+    more = materialize(verified(materialize(left_over(members, nodes, roots)), sets, similar))
     if more.limit(1).count():
         roots = components(links.union(more))
     per_node = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
