@@ -54,8 +54,13 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine, so that squares stay in range."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -107,6 +112,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     """``(query, vector, score)`` of the ``k`` best vectors of every query, exact scores, ties to smaller ids."""
     near = unit(queries) @ unit(vectors).T
     near[query_ids[:, None] == ids[None]] = -np.inf
+    queries, vectors = scaled(queries), scaled(vectors)
     lengths = [np.sqrt((x * x).sum(axis=1)) for x in (queries, vectors)]
     out: tuple[list, list, list] = ([], [], [])
     for i in range(len(queries)):
@@ -162,9 +168,9 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = 5, shar
     q_slices = max(1, -(-queries.count() // QUERIES_TOGETHER))
     parts = F.element_at(F.array(*(F.lit(max(1, -(-int(m) // VECTORS_TOGETHER))) for m in sizes)), (F.col("cell") + 1).cast("int"))
     left = routed.withColumn("qs", F.pmod(F.xxhash64("query_id"), F.lit(q_slices))).withColumn(
-        "vs", F.explode(F.sequence(F.lit(0), parts - 1)).cast("long"))
+        "vs", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<long>")))
     right = indexed.withColumn("vs", F.pmod(F.xxhash64("vec_id"), parts)).withColumn(
-        "qs", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))).cast("long"))
+        "qs", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1)).cast("array<long>")))
 
     def meet(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out = ([], [], [])
