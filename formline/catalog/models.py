@@ -376,12 +376,32 @@ def _intervals(spark, sf_dir) -> DataFrame:
     return C.bootstrap_ci(materialize(C.paired(*_variant(spark, sf_dir))))
 
 
-@query("cmp_bootstrap")
+def _bootstrap_sql() -> str:
+    """The weights of the operator, row by row and replicate by replicate, in SQL."""
+    P = C.PRIME
+    mixed = f"(pos % {P} * 48271 + b * 69621 + {C.SEED * 16807}) % {P}"
+    step = "(x * x % {p} * 40692 + x * 30269 + {add}) % {p}"
+    weight = " + ".join(f"(x >= {limit})::INT" for limit in C.POISSON_LIMITS)
+    return f"""d AS (SELECT b.pos, v.ll - b.ll AS dl, v.br - b.br AS db FROM oof b JOIN dcoof v ON v.pos = b.pos),
+x0 AS (SELECT b, dl, db, {mixed} AS x FROM d, (SELECT range AS b FROM range({C.N_BOOTSTRAP}))),
+x1 AS (SELECT b, dl, db, {step.format(p=P, add="b + 1")} AS x FROM x0),
+x2 AS (SELECT dl, db, b, {step.format(p=P, add=104729)} AS x FROM x1),
+rep AS (SELECT b, sum(w * dl) / sum(w) AS ll, sum(w * db) / sum(w) AS br FROM (SELECT b, dl, db, {weight} AS w FROM x2) GROUP BY b HAVING sum(w) > 0),
+ci AS (SELECT 'll_delta' AS measure, (SELECT avg(dl) FROM d) AS mean_delta, quantile_cont(ll, 0.025) AS lo, quantile_cont(ll, 0.975) AS hi FROM rep
+  UNION ALL SELECT 'brier_delta', (SELECT avg(db) FROM d), quantile_cont(br, 0.025), quantile_cont(br, 0.975) FROM rep)"""
+
+
+_BOOT = with_ctes(["dcoof", "oof"], "MARK").removesuffix("MARK").rstrip() + ", " + _bootstrap_sql()
+
+
+@query("cmp_bootstrap", _BOOT + f"""
+SELECT (SELECT count(*) FROM d) AS n, measure, {r('mean_delta')} AS mean_delta, {r('lo')} AS ci_low, {r('hi')} AS ci_high FROM ci""")
 def cmp_bootstrap(spark, sf_dir):
     return rounded(_intervals(spark, sf_dir), "n", "measure", mean_delta="mean_delta", ci_low="ci_low", ci_high="ci_high")
 
 
-@query("cmp_verdict")
+@query("cmp_verdict", _BOOT + """
+SELECT measure, CASE WHEN hi < 0 THEN 'IMPROVEMENT' WHEN lo > 0 THEN 'DEGRADATION' ELSE 'INCONCLUSIVE' END AS verdict FROM ci""")
 def cmp_verdict(spark, sf_dir):
     return C.with_verdict(_intervals(spark, sf_dir)).select("measure", "verdict")
 

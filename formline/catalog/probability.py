@@ -131,10 +131,9 @@ def features(spark, sf_dir):
 _SHIN = ", ".join(f"{r(f'Shin_Prob_{x}', 7)} AS Shin_Prob_{x}" for x in "HDA")
 
 
-@query("prob_shin", with_ctes(["shin"], f"SELECT match_id, {_SHIN}, {r('coalesce(z, 0)')} AS shin_z FROM shin WHERE ok"))
+@query("prob_shin", with_ctes(["shin"], f"SELECT match_id, {_SHIN}, {r('CASE WHEN ok THEN coalesce(z, 0) ELSE 0 END')} AS shin_z FROM shin"))
 def prob_shin(spark, sf_dir):
-    priced = T.matches(spark, sf_dir).filter("odds_h > 0 and odds_d > 0 and odds_a > 0")
-    out = S.with_shin(priced)
+    out = S.with_shin(T.matches(spark, sf_dir))
     return out.select("match_id", *[F.round(f"Shin_Prob_{x}", 7).alias(f"Shin_Prob_{x}") for x in "HDA"],
                       F.round("shin_z", 6).alias("shin_z"))
 

@@ -349,41 +349,49 @@ def _skip(x: str) -> str:
 
 
 def _decode(x: str) -> str:
-    for e, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for e, c in (("&nbsp;", "\u00a0"), ("&emsp;", "\u2003"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         x = f"replace({x}, '{e}', '{c}')"
     return x
 
 
-_MENTION = "'" + P.MENTION + "'"
+# RE2 writes the same classes
+_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+_MENTION = "'" + P.MENTION.replace(P.SPACE, _SPACE) + "'"
+_HINT = P.HINT.replace(r"\s", _SPACE)
 # The pages hold no nested containers, so a pattern finds them in SQL
 _BOX = r"""(?is)<(?:div|article|section)\b[^>]*\bclass="[^"]*(?:match|partido|fixture|result)[^"]*"[^>]*>(.*?)</(?:div|article|section)>"""
 
 
 def _mention(cte: str, col: str, source: str) -> str:
     def name(g: int) -> str:
-        found = f"trim(regexp_extract({col}, {_MENTION}, {g}))"
-        return rf"regexp_replace({found}, '\s*\(.*?\)\s*$', '')" if source == "container" else found
+        found = f"regexp_replace(regexp_extract({col}, {_MENTION}, {g}), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+        return rf"regexp_replace({found}, '{_SPACE}*\(.*?\){_SPACE}*$', '')" if source == "container" else found
     return f"""
 SELECT page_id, {name(1)} AS "Home", {name(4)} AS "Away", TRY_CAST(regexp_extract({col}, {_MENTION}, 2) AS INTEGER) AS "Home_Score",
        TRY_CAST(regexp_extract({col}, {_MENTION}, 3) AS INTEGER) AS "Away_Score", '{source}' AS source
-FROM {cte} WHERE regexp_matches({col}, '{P.HINT}') AND regexp_matches({col}, {_MENTION})"""
+FROM {cte} WHERE regexp_matches({col}, '{_HINT}') AND regexp_matches({col}, {_MENTION})"""
+
+
+# A match box, and text mentions with spaces of several kinds and a stray sign
+_MARKS = ['<div class="match-row"><b>Boca Juniors (H)</b> 2 - 1 <i>River &amp; Plate</i></div>',
+          "<p>Lanus FC&nbsp;3&nbsp;-&nbsp;0&nbsp;Banfield</p>", "<p>Tigre\u00a01 - 1&emsp;Colon SF</p> x < y"]
 
 
 @query("src_page_scores", with_ctes([], """
 SELECT * FROM boxed UNION ALL
 SELECT * FROM loose WHERE page_id NOT IN (SELECT page_id FROM boxed) AND length("Home") >= 3 AND length("Away") >= 3
   AND NOT """ + _skip('"Home"') + " AND NOT " + _skip('"Away"'), {
-    "marked": f"SELECT page_id, html || {choice('page_id % 4', ['''$$<div class=\"match-row\"><b>Boca Juniors (H)</b> 2 - 1 <i>River &amp; Plate</i></div>$$'''], quoted(''))} AS html FROM pages",
+    "marked": f"SELECT page_id, html || {choice('page_id % 4', [quoted(x) for x in _MARKS], quoted(''))} AS html FROM pages",
     "inner_": rf"""SELECT page_id, trim(regexp_replace({_decode("regexp_replace(x, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) AS t
       FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_BOX}', 1)) AS x FROM marked)""",
     "boxed": f"""SELECT * FROM ({_mention('inner_', 't', 'container')}) WHERE length("Home") >= 3 AND length("Away") >= 3""",
     "nodes": f"SELECT page_id, {_decode('x')} AS t FROM (SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]+>')) AS x FROM marked)",
     "loose": _mention("nodes", "t", "text")}))
 def src_page_scores(spark, sf_dir):
-    """Score mentions in all pages; every fourth page also shows a match box."""
-    box = '<div class="match-row"><b>Boca Juniors (H)</b> 2 - 1 <i>River &amp; Plate</i></div>'
+    """Score mentions in all pages; three of four pages also show one of the marks."""
     pages = T.table(spark, sf_dir, "pages")
-    html = F.concat("html", F.when(F.col("page_id") % 4 == 0, box).otherwise(""))
+    kind = F.col("page_id") % 4
+    html = F.concat("html", F.when(kind == 0, _MARKS[0]).when(kind == 1, _MARKS[1]).when(kind == 2, _MARKS[2]).otherwise(""))
     return P.page_scores(pages.withColumn("html", html))
 
 

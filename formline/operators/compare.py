@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,10 +11,13 @@ from pyspark.sql import functions as F
 
 from formline.operators import metrics
 
+# Resamples and seed of a comparison.
 N_BOOTSTRAP = 10_000
 SEED = 42
-CELLS = 8192
-DRAWS_PER_TASK = 200
+#: Modulus of the weight arithmetic, and where in its range Poisson(1) reaches 1, 2, 3 and so on.
+PRIME = 2 ** 31 - 1
+POISSON_LIMITS = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k))) for k in range(1, 10)]
+ROWS_AT_ONCE, DRAWS_AT_ONCE = 2048, 512
 
 
 def paired(baseline: DataFrame, variant: DataFrame) -> DataFrame:
@@ -36,33 +41,44 @@ def fold_deltas(deltas: DataFrame) -> DataFrame:
                                       F.avg("brier_delta").alias("brier_delta"))
 
 
-def bootstrap_ci(deltas: DataFrame, n_boot: int = N_BOOTSTRAP, seed: int = SEED, cells: int = CELLS) -> DataFrame:
-    """Mean differences with their 95% bootstrap intervals, one row per measure.
+def bootstrap_weights(pos: np.ndarray, replicates: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Poisson(1) weights of rows in replicates, from integer arithmetic alone.
 
-    Rows are first summed into at most ``cells`` cells by position, so the
-    resampling work does not grow with the table: up to ``cells`` rows each cell
-    is one match and this is the plain bootstrap, beyond that cells are resampled
-    in place of matches. The cell table travels as one row of fixed size; tasks
-    draw their own replicates from seeds of their own.
+    Row and replicate are mixed by squares modulo a prime, in numbers below 2^62, so
+    any engine with 64-bit integers repeats them. A row per position.
     """
-    cell = deltas.groupBy(F.pmod("pos", F.lit(cells)).alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("ll_delta").alias("ll"), F.sum("brier_delta").alias("brier"))
-    packed = cell.agg(F.array_sort(F.collect_list(F.struct("cell", "n", "ll", "brier"))).alias("c"))
-    tasks = -(-n_boot // DRAWS_PER_TASK)
-    jobs = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"),
-                         F.col("c.n").alias("n"), F.col("c.ll").alias("ll"), F.col("c.brier").alias("brier"))
+    x = (pos[:, None] % PRIME * 48271 + replicates[None, :] * 69621 + seed * 16807) % PRIME
+    for add in (replicates[None, :] + 1, 104729):
+        x = (x * x % PRIME * 40692 + x * 30269 + add) % PRIME
+    weight = np.zeros(x.shape, np.int64)
+    for limit in POISSON_LIMITS:
+        weight += x >= limit
+    return weight
+
 
+def bootstrap_ci(deltas: DataFrame, n_boot: int = N_BOOTSTRAP, seed: int = SEED) -> DataFrame:
+    """Mean differences with their 95% bootstrap intervals, one row per measure.
+
+    Rows are resampled at every size: a row counts in a replicate with a Poisson(1)
+    weight of its position, which needs no pass to know the number of rows. Tasks sum
+    their rows for all replicates block by block; one small aggregate adds the tasks.
+    """
     def draw(batches):
+        total = np.zeros((3, n_boot))
         for batch in batches:
-            for task, n, ll, brier in zip(batch["task"], batch["n"], batch["ll"], batch["brier"]):
-                rng = np.random.default_rng([seed, int(task)])
-                todo = min(DRAWS_PER_TASK, n_boot - int(task) * DRAWS_PER_TASK)
-                picked = rng.integers(0, len(n), size=(todo, len(n)))
-                size = np.asarray(n)[picked].sum(axis=1)
-                yield pd.DataFrame({"ll_delta": np.asarray(ll)[picked].sum(axis=1) / size,
-                                    "brier_delta": np.asarray(brier)[picked].sum(axis=1) / size})
-
-    spread = jobs.repartition(min(tasks, 64), "task").mapInPandas(draw, "ll_delta double, brier_delta double")
+            pos = batch["pos"].to_numpy(np.int64)
+            values = np.vstack([np.ones(len(pos)), batch["ll_delta"].to_numpy(float), batch["brier_delta"].to_numpy(float)])
+            for i in range(0, len(pos), ROWS_AT_ONCE):
+                for j in range(0, n_boot, DRAWS_AT_ONCE):
+                    w = bootstrap_weights(pos[i:i + ROWS_AT_ONCE], np.arange(j, min(j + DRAWS_AT_ONCE, n_boot)), seed)
+                    total[:, j:j + DRAWS_AT_ONCE] += values[:, i:i + ROWS_AT_ONCE] @ w
+        yield pd.DataFrame({"replicate": np.arange(n_boot), "w": total[0], "ll": total[1], "brier": total[2]})
+
+    tasks = deltas.sparkSession.sparkContext.defaultParallelism
+    sums = deltas.select("pos", "ll_delta", "brier_delta").repartition(tasks, "pos").mapInPandas(
+        draw, "replicate long, w double, ll double, brier double").groupBy("replicate").agg(
+        *[F.sum(c).alias(c) for c in ("w", "ll", "brier")]).where(F.col("w") > 0)
+    spread = sums.select((F.col("ll") / F.col("w")).alias("ll_delta"), (F.col("brier") / F.col("w")).alias("brier_delta"))
     measures = ("ll_delta", "brier_delta")
     bounds = spread.agg(*[F.percentile(m, p).alias(f"{m}_{tag}") for m in measures
                           for p, tag in ((0.025, "ci_low"), (0.975, "ci_high"))])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from formline import constants as K
 from formline.functions import scores
 
-# Feature sets of the goal regressions (home side, away side)
+# Feature sets of the goal regressions (home side, away side) and their penalties
 GOAL_FEATURES = {
     "mixed": (["Elo_Diff", "Home_Avg_GF", "Away_Avg_GA", "Home_Form"],
               ["Elo_Diff", "Away_Avg_GF", "Home_Avg_GA", "Away_Form"]),
@@ -36,26 +36,32 @@ def class_weight(res: Column, draw: float = K.DRAW_WEIGHT) -> Column:
     return F.when(res == 1, draw).otherwise(1.0)
 
 
-def outcome_pipeline(features: list[str], kind: str = "logistic", max_iter: int = 60) -> Pipeline:
-    """Three-class estimator over the features; rows carry weight ``w``."""
+def outcome_pipeline(features: list[str], kind: str = "logistic", max_iter: int = 60, trees: int = 40,
+                     depth: int | None = None, step: float = 0.05, seed: int = 42) -> Pipeline:
+    """Three-class estimator over the features; rows carry weight ``w``.
+
+    ``max_iter`` bounds the steps of the logistic fit, ``trees`` is the size of a forest or the
+    number of boosting rounds; both are the caller's choice of quality against time.
+    """
     steps = [VectorAssembler(inputCols=features, outputCol="raw_features"),
              StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
     if kind == "logistic":
         steps.append(LogisticRegression(family="multinomial", labelCol="res", weightCol="w", maxIter=max_iter,
                                         regParam=1e-3, standardization=False))
     elif kind == "forest":
-        steps.append(RandomForestClassifier(labelCol="res", weightCol="w", numTrees=40, maxDepth=6, seed=42))
+        steps.append(RandomForestClassifier(labelCol="res", weightCol="w", numTrees=trees, maxDepth=depth or 6, seed=seed))
     elif kind == "boosted":
-        base = GBTClassifier(maxIter=40, maxDepth=4, stepSize=0.05, seed=42)
+        base = GBTClassifier(maxIter=trees, maxDepth=depth or 4, stepSize=step, seed=seed)
         steps.append(OneVsRest(classifier=base, labelCol="res", weightCol="w"))
     else:
         raise ValueError(f"unknown model kind: {kind}")
     return Pipeline(stages=steps)
 
 
-def fit_outcome(train: DataFrame, features: list[str], draw_weight: float = 1.0, kind: str = "logistic"):
+def fit_outcome(train: DataFrame, features: list[str], draw_weight: float = 1.0, kind: str = "logistic", **settings):
+    """A fitted outcome model; ``settings`` are those of ``outcome_pipeline``."""
     weighted = train.withColumn("w", class_weight(F.col("res"), draw_weight)).withColumn("res", F.col("res").cast("double"))
-    return outcome_pipeline(features, kind).fit(weighted)
+    return outcome_pipeline(features, kind, **settings).fit(weighted)
 
 
 def with_probabilities(model, rows: DataFrame) -> DataFrame:
@@ -73,17 +79,20 @@ def with_probabilities(model, rows: DataFrame) -> DataFrame:
 
 
 def cross_validate(folds: DataFrame, features: list[str], draw_weight: float = 1.0,
-                   kind: str = "logistic") -> DataFrame:
+                   kind: str = "logistic", **settings) -> DataFrame:
     """Out-of-fold probabilities: each fold is scored by a model fitted on the
     rows before it. The distributed fits of the folds run side by side; ``folds``
-    should be stored."""
+    should be stored. Without tested rows the result is empty."""
     starts = folds.filter(F.col("fold") >= 1).groupBy("fold").agg(F.min("pos").alias("start"))
     todo = sorted((r["fold"], r["start"]) for r in starts.collect())
+    if not todo:
+        none = [F.lit(0.0).alias(n) for n in ("p_away", "p_draw", "p_home")]
+        return folds.select("pos", "fold", F.col("res").cast("int").alias("y_true"), *none).limit(0)
 
     @inheritable_thread_target(folds.sparkSession)
     def scored_fold(item: tuple[int, int]) -> DataFrame:
         fold, start = item
-        model = fit_outcome(folds.filter(F.col("pos") < start), features, draw_weight, kind)
+        model = fit_outcome(folds.filter(F.col("pos") < start), features, draw_weight, kind, **settings)
         return with_probabilities(model, folds.filter(F.col("fold") == fold))
 
     with ThreadPoolExecutor(max_workers=len(todo)) as pool:
@@ -124,13 +133,14 @@ def _by_group(values, group: str | None) -> Column:
 
 
 def fit_poisson(train: DataFrame, specs: list[tuple[list[str], str]], penalty: float, group: str | None = None,
-                n_groups: int = 1, max_iter: int = 50, tolerance: float = 1e-9) -> list[PoissonFit]:
+                n_groups: int = 1, max_iter: int = 100, tolerance: float = 1e-9) -> list[PoissonFit]:
     """Penalised Poisson regressions by Newton steps, all at once.
 
     Each (features, label) is fitted in every group 1..``n_groups``, minimising
     mean(mu - y*eta) + penalty/2*|b|^2 with a free intercept. A step is one
-    native aggregate of gradients and curvatures for all models together; its
-    size depends on the numbers of features and groups only.
+    native aggregate of losses, gradients and curvatures for all models together; its
+    size depends on the numbers of features and groups only. A step that did not
+    lower a model's loss is halved. Models that do not settle stop the job.
     """
     rows = train.withColumn("_g", F.col(group).cast("int") if group else F.lit(1))
     means = {r["_g"]: r for r in rows.groupBy("_g").agg(
@@ -139,27 +149,44 @@ def fit_poisson(train: DataFrame, specs: list[tuple[list[str], str]], penalty: f
     for k, (features, _) in enumerate(specs):
         start = [math.log(max(means[g + 1][f"m{k}"], 1e-9)) for g in range(n_groups)]
         fits.append(PoissonFit(features, [np.array([s] + [0.0] * len(features)) for s in start]))
+    walks = {(k, g): _Walk() for k in range(len(specs)) for g in range(1, n_groups + 1)}
     for _ in range(max_iter):
         step, cells = rows, []
         for k, ((features, label), fit) in enumerate(zip(specs, fits)):
-            step = step.withColumn(f"_mu{k}", F.exp(F.least(fit.log_rate("_g"), F.lit(30.0))))
+            step = step.withColumn(f"_eta{k}", fit.log_rate("_g")).withColumn(f"_mu{k}", F.exp(f"_eta{k}"))
             xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in features]
             mu = F.col(f"_mu{k}")
+            cells.append(F.avg(mu - F.col(label) * F.col(f"_eta{k}")))
             cells += [F.avg((mu - F.col(label)) * x) for x in xs]
             cells += [F.avg(mu * xs[i] * xs[j]) for i in range(len(xs)) for j in range(i + 1)]
         moved = 0.0
         for row in step.groupBy("_g").agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).collect():
-            values = list(row)[1:]
-            for fit in fits:
+            values, g = list(row)[1:], row["_g"]
+            for k, fit in enumerate(fits):
                 size = len(fit.features) + 1
-                used = size + size * (size + 1) // 2
-                delta = _newton_step(values[:used], fit.betas[row["_g"] - 1], penalty)
+                used = 1 + size + size * (size + 1) // 2
+                before = fit.betas[g - 1]
+                fit.betas[g - 1] = walks[k, g].step(values[:used], before, penalty)
                 values = values[used:]
-                fit.betas[row["_g"] - 1] = fit.betas[row["_g"] - 1] - delta
-                moved = max(moved, float(np.abs(delta).max()))
+                moved = max(moved, float(np.abs(fit.betas[g - 1] - before).max()))
         if moved < tolerance:
-            break
-    return fits
+            return fits
+    raise RuntimeError(f"goal regressions did not settle in {max_iter} steps")
+
+
+class _Walk:
+    """The way of one model: where the last step began, what it was, and the loss there."""
+
+    def __init__(self):
+        self.begin, self.delta, self.loss = None, None, math.inf
+
+    def step(self, cells: list[float], beta: np.ndarray, penalty: float) -> np.ndarray:
+        loss = cells[0] + penalty / 2 * float(beta[1:] @ beta[1:])
+        if self.begin is not None and not loss <= self.loss + 1e-12 * (1 + abs(self.loss)):
+            self.delta = self.delta / 2
+            return self.begin - self.delta
+        self.begin, self.loss, self.delta = beta, loss, _newton_step(cells[1:], beta, penalty)
+        return beta - self.delta
 
 
 def _newton_step(cells: list[float], beta: np.ndarray, penalty: float) -> np.ndarray:

@@ -16,7 +16,9 @@ from formline.functions import text as T
 # --- Fixed values: match containers and score mentions -------------------------
 CONTAINER_TAGS = {"div", "article", "section"}
 CONTAINER_CLASS = r"(?i)match|partido|fixture|result"
-MENTION = r"(.+?)\s+(\d+)\s*[-:]\s*(\d+)\s+(.+)"
+#: White space of any script, where ``\\s`` alone means ASCII.
+SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+MENTION = rf"(.+?){SPACE}+(\d+){SPACE}*[-:]{SPACE}*(\d+){SPACE}+(.+)"
 HINT = r"\s\d+\s*[-:]\s*\d+\s"
 MIN_NAME = 3
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -80,30 +82,24 @@ def _page_texts(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_Texts().texts(h) for h in html], columns=["boxes", "nodes"])
 
 
-def may_mention(html: Column) -> Column:
-    """False only for pages whose text cannot hold a score."""
-    bare = F.replace(F.regexp_replace(html, r"<[^>]*>", " "), F.lit("&nbsp;"), F.lit(" "))
-    return F.concat(F.lit(" "), bare, F.lit(" ")).rlike(HINT) | html.rlike("&(#|colon;)")
-
-
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def page_scores(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Score mentions per page: those in match containers, or, where a page has
     none, those in its text nodes without a skip word.
 
-    Pages that cannot hold a score are left out by a native test of their text;
-    only the others are read as markup. Both passes stay inside the page's row,
-    so the fallback needs no join.
+    Every page is read as markup: tags, references and stray signs may stand between
+    the parts of a score, so no test of the raw text is free of losses. Both passes
+    stay inside the page's row, so the fallback needs no join.
     """
-    texts = pages.filter(may_mention(F.col(html))).select(key, _page_texts(html).alias("_p"))
+    texts = pages.filter(F.col(html).isNotNull()).select(key, _page_texts(html).alias("_p"))
 
     def parts(text: Column, boxed: bool) -> Column:
         def name(group: int) -> Column:
             found = _strip(F.regexp_extract(text, MENTION, group))
-            return F.regexp_replace(found, r"\s*\(.*?\)\s*$", "") if boxed else found
+            return F.regexp_replace(found, rf"{SPACE}*\(.*?\){SPACE}*$", "") if boxed else found
         return F.struct(
             name(1).alias("Home"), name(4).alias("Away"),
             F.regexp_extract(text, MENTION, 2).try_cast("int").alias("Home_Score"),

@@ -111,19 +111,28 @@ def test_paired_guards(spark):
         C.paired(base, spark.createDataFrame(other, OOF)).collect()
 
 
-def test_bootstrap_matches_plain_bootstrap(spark):
+@pytest.mark.parametrize("n", [1500, 9000])
+def test_bootstrap_matches_plain_bootstrap(spark, n):
     rng = np.random.default_rng(3)
-    delta = rng.normal(0.01, 0.3, 1500)
+    delta = rng.normal(0.01, 0.3, n)
     rows = [(i, 1, 0, float(d), float(-d)) for i, d in enumerate(delta)]
     df = spark.createDataFrame(rows, "pos long, fold int, y_true int, ll_delta double, brier_delta double")
-    plain = delta[rng.integers(0, 1500, size=(10_000, 1500))].mean(axis=1)
-    for cells in (8192, 300):
-        got = {r["measure"]: r for r in C.bootstrap_ci(df, cells=cells).collect()}
-        low, high = np.percentile(plain, [2.5, 97.5])
-        assert got["ll_delta"]["ci_low"] == pytest.approx(low, abs=0.004)
-        assert got["ll_delta"]["ci_high"] == pytest.approx(high, abs=0.004)
-        assert got["ll_delta"]["mean_delta"] == pytest.approx(delta.mean()) and got["ll_delta"]["n"] == 1500
-        assert got["brier_delta"]["ci_high"] == pytest.approx(-low, abs=0.004)
+    plain = np.array([delta[rng.integers(0, n, size=n)].mean() for _ in range(3000)])
+    got = {r["measure"]: r for r in C.bootstrap_ci(df, 3000).collect()}
+    low, high = np.percentile(plain, [2.5, 97.5])
+    near = 0.1 * (high - low)
+    assert got["ll_delta"]["ci_low"] == pytest.approx(low, abs=near)
+    assert got["ll_delta"]["ci_high"] == pytest.approx(high, abs=near)
+    assert got["ll_delta"]["mean_delta"] == pytest.approx(delta.mean()) and got["ll_delta"]["n"] == n
+    assert got["brier_delta"]["ci_high"] == pytest.approx(-low, abs=near)
+
+
+def test_bootstrap_weights_are_poisson_and_independent():
+    w = C.bootstrap_weights(np.arange(4000) * 3 + 10 ** 12, np.arange(300))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert [abs((w == k).mean() - np.exp(-1) / f) < 0.003 for k, f in ((0, 1), (1, 1), (2, 2), (3, 6))] == [True] * 4
+    assert np.abs(np.corrcoef(w[:, :40].T) - np.eye(40)).max() < 0.08
+    assert np.abs(np.corrcoef(w[:40]) - np.eye(40)).max() < 0.3
 
 
 def test_bootstrap_is_repeatable(spark):
