@@ -35,6 +35,8 @@ from formline.session import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
 BITS_PER_DOCUMENT = 64
+#: Tasks over which the documents of one key are dealt when they meet its decision.
+SALTS = 32
 MIN_BITS, MAX_BITS, BLOCK_BITS, PROBES = 1 << 20, 1 << 29, 1 << 16, 2
 
 
@@ -127,7 +129,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(suspects(docs, bits, twice, min_chars))
     repeated = found.groupBy("key").agg(
         F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
-    lost = (found.join(repeated, "key").where(F.col("doc_id") != F.col("keep"))
+    # A key that many documents hold is dealt out over SALTS tasks; its decision goes to each.
+    dealt = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    decided = repeated.select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    lost = (dealt.join(decided, ["key", "salt"]).where(F.col("doc_id") != F.col("keep"))
             .groupBy(F.col("doc_id").alias("at")).agg(F.collect_set("key").alias("lost")))
     both = docs.join(lost, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("at"), "left").drop("at")
 
