@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.llm.common import NULL_ID, id_and_text, schema_of
+from formline.llm.units import worker_store
 from formline.session import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -57,6 +58,11 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes[:, None] + probes * step[:, None]) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def held(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these positions are set."""
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _hashes(texts: list[str], least: int) -> np.ndarray:
     out: list[int] = []
     for text in texts:
@@ -68,14 +74,18 @@ def seen_twice(docs: DataFrame, bits: int, least: int) -> bytes:
     """The merged filter of keys seen at least twice, one bit per position."""
 
     def insert(batches):
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        worker_store()
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             keys, n = np.unique(_hashes(batch.column(0).to_pylist(), least), return_counts=True)
             at = positions(keys, bits)
-            again = once[at].all(axis=1) | (n > 1)
-            twice[at[again].ravel()] = True
-            once[at.ravel()] = True
-        for name, found in (("once", np.flatnonzero(once)), ("twice", np.flatnonzero(twice))):
+            again = held(once, at).all(axis=1) | (n > 1)
+            for packed, own in ((twice, at[again].ravel()), (once, at.ravel())):
+                np.bitwise_or.at(packed, own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        for name, packed in (("once", once), ("twice", twice)):
+            used = np.flatnonzero(packed)
+            bit = np.unpackbits(packed[used], bitorder="little").astype(bool)
+            found = (used[:, None] * 8 + np.arange(8)).ravel()[bit]
             edges = np.flatnonzero(np.diff(found // BLOCK_BITS, prepend=-1))
             blocks = found[edges] // BLOCK_BITS
             parts = np.split((found % BLOCK_BITS).astype("<u2"), edges[1:]) if len(edges) else []
@@ -88,7 +98,7 @@ def seen_twice(docs: DataFrame, bits: int, least: int) -> bytes:
         for is_twice, at in zip(rows["twice"].to_pylist(), rows["at"].to_pylist()):
             np.add.at(hits, np.frombuffer(at, "<u2"), 2 if is_twice else 1)
         return pa.table({"block": rows["block"][:1].cast(pa.int64()),
-                         "bits": pa.array([np.packbits(hits > 1).tobytes()], pa.binary())})
+                         "bits": pa.array([np.packbits(hits > 1, bitorder="little").tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(insert, "block long, twice boolean, at binary")
     merged = parts.groupBy("block").applyInArrow(merge, "block long, bits binary")
@@ -102,7 +112,7 @@ def suspects(docs: DataFrame, bits: int, twice, least: int) -> DataFrame:
     """``key, doc_id`` of the keys that the filter suspects, once per row of ``docs``."""
 
     def find(batches):
-        table = np.unpackbits(np.frombuffer(twice.value, np.uint8)).view(bool)
+        table = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
             keys, ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -110,7 +120,7 @@ def suspects(docs: DataFrame, bits: int, twice, least: int) -> DataFrame:
                 if not own:
                     continue
                 at = positions(np.array([xxhash.xxh3_64_intdigest(k) for k in own], dtype=np.uint64), bits)
-                hit = table[at].all(axis=1)
+                hit = held(table, at).all(axis=1)
                 keys.extend(k for k, h in zip(own, hit) if h)
                 ids.extend([NULL_ID if doc is None else doc] * int(hit.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])

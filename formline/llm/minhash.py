@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import NULL_ID, carried, id_and_text, schema_of
 from formline.llm.components import components
-from formline.llm.units import slices
+from formline.llm.units import slices, worker_store
 from formline.session import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -151,6 +151,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """``doc_id, node`` (a hash of the words), ``bands`` and ``brief`` (the signature in bytes), a row per row."""
 
     def run(batches):
+        worker_store()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -170,6 +171,7 @@ def element_sets(docs: DataFrame) -> DataFrame:
     """``node, units`` (its element set), a row per row."""
 
     def run(batches):
+        worker_store()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):

@@ -49,7 +49,7 @@ MAX_TOXIC, MAX_ORDINARY = 3000, 6000
 FOLDS, HELD_OUT = 5, 0
 PIECE, CODE, LEVEL, WINDOW, STRIDE = 5, 3, 4, 64, 48
 FREQUENT_WORDS, LEAST_DOCUMENTS, LEAST_RATIO, LEAST_SCORE = 4000, 4, 6.0, 5.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 THRESHOLDS = (5, 6, 7, 8, 9, 10, 11)
 RIDGE = 1.0
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())

@@ -9,19 +9,33 @@ across documents, and a worker keeps the results of short ones in a bounded memo
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
 #: Entries of a memo, and the longest piece it keeps between batches.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 #: Characters of text handled at a time.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 
 
-def worker_store(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
+def worker_store(name: str | None = None) -> dict:
+    """A dictionary that lives as long as the Python worker, across tasks of the same operator.
+
+    A worker serves one operator after the other, so what another one left is given back;
+    operators that keep nothing call this without a name.
+    """
     module = sys.modules.setdefault("_formline_worker", types.ModuleType("_formline_worker"))
-    return module.__dict__.setdefault(name, {})
+    stores = module.__dict__.setdefault("stores", {})
+    if set(stores) - {name}:
+        for other in set(stores) - {name}:
+            del stores[other]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc: returns freed memory to the system
+        if trim is not None:
+            trim(0)
+    return stores.setdefault(name, {}) if name else {}
 
 
 def odd(piece: str) -> bool:
