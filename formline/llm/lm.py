@@ -42,16 +42,16 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text
 from formline.llm.minhash import normal, word_hashes
-from formline.llm.units import slices, worker_store
+from formline.llm.units import text_slices, worker_store
 from formline.session import materialize
 
-DEPTH, END = 6, 10
+DEPTH, END = 5, 10
 CONTEXT_SHARE, SYMBOL_SHARE, WORD_SHARE = 2e-6, 2e-6 / 16, 2e-7
 LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.02, 8.0
 FOLDS, HELD_OUT = 7, 2
 WORD, RUN = 0, 1
 END_KEY = np.uint64(0x656E64)
-MERGE_AT, CACHE_BITS = 3_000_000, 21
+MERGE_AT, SEND_AT, CACHE_BITS = 1_500_000, 1_200_000, 20
 U = np.uint64
 
 
@@ -83,13 +83,21 @@ def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 def count(docs: DataFrame) -> DataFrame:
     """``kind, key, n``: counts of words and of runs of bytes."""
 
+    def sent(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]):
+        keys, n = tally(parts)
+        for i in range(0, len(keys), 100_000):
+            part = keys[i:i + 100_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[i:i + 100_000].astype(np.int64))],
+                ["kind", "key", "n"])
+
     def run(batches):
+        worker_store()
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         size = [0, 0]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                words = [normal(t) for t in texts[a:b]]
+            for a, b, texts in text_slices(batch.column(0)):
+                words = [normal(t) for t in texts]
                 hashes = np.concatenate([word_hashes(words)[0], np.full(b - a, END_KEY, U)])
                 for kind, keys in ((WORD, hashes), (RUN, runs_of(words)[0])):
                     held[kind].append(np.unique(keys, return_counts=True))
@@ -97,14 +105,12 @@ def count(docs: DataFrame) -> DataFrame:
                     if size[kind] > MERGE_AT:
                         held[kind] = [tally(held[kind])]
                         size[kind] = len(held[kind][0][0])
+                        if size[kind] > SEND_AT:  # what a task holds is bounded; its counts go on in parts
+                            yield from sent(kind, held[kind])
+                            held[kind], size[kind] = [], 0
         for kind in (WORD, RUN):
             if held[kind]:
-                keys, n = tally(held[kind])
-                for i in range(0, len(keys), 200_000):
-                    part = keys[i:i + 200_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[i:i + 200_000].astype(np.int64))],
-                        ["kind", "key", "n"])
+                yield from sent(kind, held[kind])
 
     parts = docs.select("text").mapInArrow(run, "kind int, key long, n long")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -269,9 +275,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if scorer is None:
                 held.clear()
                 scorer = held[model.name] = Scorer(model)
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                words = [normal(t) for t in texts[a:b]]
+            for a, b, texts in text_slices(batch.column("text")):
+                words = [normal(t) for t in texts]
                 tokens, known, total, rare, which = scorer.base(words)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=b - a))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import NULL_ID, carried, id_and_text, schema_of
 from formline.llm.components import components
-from formline.llm.units import slices, worker_store
+from formline.llm.units import text_slices, worker_store
 from formline.session import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -153,9 +153,9 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches):
         worker_store()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                words = [normal(t) for t in texts[a:b]]
+            ids = batch.column(0)
+            for a, b, texts in text_slices(batch.column(1)):
+                words = [normal(t) for t in texts]
                 signed = signatures(*elements(words))
                 keys = bands(signed).view(np.int64)
                 brief = mix(signed).astype(np.uint8)
@@ -173,9 +173,8 @@ def element_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         worker_store()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                words = [normal(t) for t in texts[a:b]]
+            for _, _, texts in text_slices(batch.column(0)):
+                words = [normal(t) for t in texts]
                 units, sizes = elements(words)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -292,7 +291,7 @@ def classified(docs: DataFrame, similar: float) -> DataFrame:
 
     def key(batches):
         for batch in batches:
-            digests = [xxhash.xxh3_128_digest(normal(t)) for t in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh3_128_digest(normal(t)) for _, _, texts in text_slices(batch.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), batch.column("carried")],
                                              ["doc_id", "node", "carried"])
 

@@ -14,6 +14,9 @@ import gc
 import sys
 import types
 
+import numpy as np
+import pyarrow.compute as pc
+
 #: Entries of a memo, and the longest piece it keeps between batches.
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 #: Characters of text handled at a time.
@@ -66,6 +69,20 @@ def slices(texts: list[str]):
         yield start, len(texts)
 
 
+def text_slices(column):
+    """``(start, stop, texts)`` of an Arrow column of texts, about ``SLICE_CHARS`` bytes at a time.
+
+    Only one slice is turned into Python strings at once.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def fill(memo: dict, wanted: set, make) -> list:
     """Add what ``memo`` lacks of ``wanted``; ``make`` turns a list of pieces into values."""
     missing = wanted - memo.keys()
