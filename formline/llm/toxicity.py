@@ -1,7 +1,7 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
 Training takes a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY``
-documents, by a hash of the id, whole texts) to the driver; labels of rows held out
+documents of ``MAX_CHARS`` characters in all per label, by a hash of the id, whole texts) to the driver; labels of rows held out
 are never read. Two thirds of it make the dictionaries:
 
 * ordinary: the most frequent words of ordinary documents, most frequent last;
@@ -45,7 +45,7 @@ from formline.llm.common import id_and_text, schema_of
 from formline.llm.units import slices, worker_store
 
 #: The sample of labelled rows that the classifier is fitted on.
-MAX_TOXIC, MAX_ORDINARY = 3000, 6000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 40_000_000
 FOLDS, HELD_OUT = 5, 0
 PIECE, CODE, LEVEL, WINDOW, STRIDE = 5, 3, 4, 64, 48
 FREQUENT_WORDS, LEAST_DOCUMENTS, LEAST_RATIO, LEAST_SCORE = 4000, 4, 6.0, 5.0
@@ -216,7 +216,7 @@ def scores(model: Model, meter: Meter | None, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
+          max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_chars: int = MAX_CHARS) -> Model:
     """The model of the labelled rows that are not held out."""
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT))
@@ -232,9 +232,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = some.orderBy(F.pmod(order, F.lit(1_000_000)), "doc_id").limit(bound)
         picked = some if picked is None else picked.union(some)
     texts = id_and_text(docs, id_col, text_col)
-    # At most max_toxic + max_ordinary rows of two numbers.
-    rows = texts.join(F.broadcast(picked), "doc_id").select(
-        "toxic", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("at"), "doc_id").toArrow().to_pylist()
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("at")
+    # At most max_toxic + max_ordinary rows of two numbers. Lengths first: long documents must not fill the driver.
+    sizes = texts.join(F.broadcast(picked), "doc_id").select("toxic", at, "doc_id", F.length("text").alias("n")).collect()
+    held, chosen = {0: 0, 1: 0}, set()
+    for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"], r["n"])):
+        if held[r["toxic"]] + r["n"] <= max_chars or not held[r["toxic"]]:
+            held[r["toxic"]] += r["n"]
+            chosen.add((r["doc_id"], r["toxic"], r["n"]))
+    if not chosen:
+        return Model(b"", b"", (), n.get(1, 0) / sum(n.values()))
+    chosen = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, toxic int, n int")
+    rows = texts.withColumn("n", F.length("text")).join(F.broadcast(chosen), ["doc_id", "n"]).select(
+        "toxic", "text", at, "doc_id").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"]))
     by_label = {k: [r["text"] for r in rows if r["toxic"] == k] for k in (0, 1)}
     return fit(by_label[1], by_label[0], n.get(1, 0) / sum(n.values()))
