@@ -243,3 +243,20 @@ def test_experiment_end_to_end(spark, sf_dir, tmp_path):
     out = C.with_verdict(C.bootstrap_ci(C.paired(base, variant), 1000)).collect()
     assert {r["measure"] for r in out} == {"ll_delta", "brier_delta"} and all(r["ci_low"] <= r["mean_delta"] <= r["ci_high"] for r in out)
     assert M.leaderboard(RN.read_runs(spark, path)).count() == 2
+
+
+def test_poisson_fit_settles_from_a_bad_start_and_reports_when_it_does_not(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 3, 800)
+    y = rng.poisson(np.exp(np.clip(0.9 * x - 1, None, 8)))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int")
+    beta = MD.fit_poisson(df, [(["x"], "y")], 0.01)[0].beta
+    mu = np.exp(beta[0] + beta[1] * x)
+    assert abs(np.mean(mu - y)) < 1e-6 and abs(np.mean((mu - y) * x) + 0.01 * beta[1]) < 1e-6
+    with pytest.raises(RuntimeError, match="did not settle"):
+        MD.fit_poisson(df, [(["x"], "y")], 0.01, max_iter=2)
+
+
+def test_cross_validation_without_tested_rows(spark):
+    folds = spark.createDataFrame([(0, 0, 1, 1.0)], "pos long, fold int, res int, x double")
+    assert MD.cross_validate(folds, ["x"]).count() == 0

@@ -145,6 +145,25 @@ def test_page_scores(spark):
                    (6, "var q = 'Foo", 9, 9, "Bar';", "text")]
 
 
+def test_page_scores_with_any_white_space_and_stray_signs(spark):
+    pages = [(1, "<p>Lanus FC&nbsp;3&nbsp;-&nbsp;0&nbsp;Banfield</p>"), (2, "<p>Boca\u00a02 - 1\u00a0Tigre</p>"),
+             (3, "<p>Boca&emsp;2&emsp;-&emsp;1&emsp;Tigre</p>"), (4, "<p>Boca &nbsp; 2 - 1 &nbsp; Tigre</p>"),
+             (5, "x < Boca 2 - 1 Tigre > y"), (6, "<div class=match>Boca <i>2</i>-<b>1</b> Tigre</div>"),
+             (7, "<div class=match><div class=result>Boca 2 - 1 Tigre</div></div>"), (8, None), (9, "")]
+    got = {}
+    for r in P.page_scores(spark.createDataFrame(pages, "page_id int, html string")).collect():
+        got.setdefault(r["page_id"], set()).add((r["Home"], r["Home_Score"], r["Away_Score"], r["Away"]))
+    assert got.pop(1) == {("Lanus FC", 3, 0, "Banfield")}
+    assert got.pop(5) == {("x < Boca", 2, 1, "Tigre > y")}
+    assert got == {k: {("Boca", 2, 1, "Tigre")} for k in (2, 3, 4, 6, 7)}
+
+
+def test_entity_column_looks_at_the_whole_column(spark):
+    rows = [(str(i),) for i in range(5)] + [(f"Club {i}",) for i in range(995)]
+    assert ST.entity_column(spark.createDataFrame(rows, "v string"), "enhanced") == "v"
+    assert ST.entity_column(spark.createDataFrame([(None,)], "v string"), "enhanced") is None
+
+
 def test_standings(spark):
     nested = {"standings": [{"normalized": "BOCA", "position": 9, "points": 1}],
               "teams": [{"standings": [{"rows": [{"team": {"name": "River"}, "points": 9, "matches": 3, "wins": 3, "goalsFor": 7}, {"team": {"name": "Boca"}, "points": 4}]}]}]}
