@@ -326,10 +326,14 @@ def src_result_section(spark, sf_dir):
     return out.select("match_id", "round_date", F.array_join("lines", "\n").alias("body"))
 
 
-@query("src_result_lines", with_ctes(["rdocs"], "SELECT * FROM rdocs"))
+@query("src_result_lines", with_ctes(["rdocs", "gloss", "alias"], f"""
+SELECT match_id, round_date, "Home_Raw", "Away_Raw", "HG", "AG", "Res",
+       coalesce(g.target, a.club, ch) AS "Home", coalesce(h.target, b.club, ca) AS "Away"
+FROM (SELECT *, {canon('"Home_Raw"')} AS ch, {canon('"Away_Raw"')} AS ca FROM rdocs)
+LEFT JOIN gloss g ON g.variant = ch LEFT JOIN alias a ON a.alias = ch LEFT JOIN gloss h ON h.variant = ca LEFT JOIN alias b ON b.alias = ca"""))
 def src_result_lines(spark, sf_dir):
-    return RP.report_results(report_docs(spark, sf_dir)).select(
-        "match_id", "round_date", "Home_Raw", "Away_Raw", "HG", "AG", "Res")
+    return RP.report_results(report_docs(spark, sf_dir), glossary=glossary(spark, sf_dir)).select(
+        "match_id", "round_date", "Home_Raw", "Away_Raw", "HG", "AG", "Res", "Home", "Away")
 
 
 @query("src_date_range", with_ctes(["matches"], "SELECT match_id, strftime(date, '%d/%m/%Y') AS round_date FROM matches"))

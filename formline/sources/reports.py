@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from formline import constants as K
 from formline.functions import text as T
+from formline.operators.entities import normalize_names
 
 SCORE = r"(\d+)\s*[-–]\s*(\d+)"
 
@@ -38,8 +39,12 @@ def result_section(docs: DataFrame, pages: str = "pages") -> DataFrame:
     return rows.withColumn("lines", body).drop("_l", "_at", "_body")
 
 
-def parse_result_lines(rows: DataFrame, column: str = "line") -> DataFrame:
-    """Rows of ``Home - Away h - a / Pn / Ex / X`` lines; other lines drop out."""
+def parse_result_lines(rows: DataFrame, column: str = "line", glossary: DataFrame | None = None) -> DataFrame:
+    """Rows of ``Home - Away h - a / Pn / Ex / X`` lines; other lines drop out.
+
+    ``Home`` and ``Away`` are the names as a history spells them, by the glossary and
+    the built-in aliases; the raw names stay beside them.
+    """
     line = F.trim(column)
     parts = F.split(line, r"\s*/\s*")
     rows = rows.withColumns({"_parts": parts, "_code": F.upper(F.trim(F.element_at(parts, -1)))})
@@ -49,23 +54,26 @@ def parse_result_lines(rows: DataFrame, column: str = "line") -> DataFrame:
     rows = rows.filter(keep).withColumn("_first", first).filter(F.col("_first").rlike(SCORE))
     teams = F.split(F.trim(F.regexp_replace("_first", SCORE, "")), r"\s*[-–]\s*")
     rows = rows.withColumn("_teams", teams).filter(F.size("_teams") == 2)
-    return rows.withColumns({
+    rows = rows.withColumns({
         "Home_Raw": F.trim(F.col("_teams")[0]),
         "Away_Raw": F.trim(F.col("_teams")[1]),
         "HG": F.regexp_extract("_first", SCORE, 1).cast("int"),
         "AG": F.regexp_extract("_first", SCORE, 2).cast("int"),
         "Res": F.element_at(T.literal_map(K.REPORT_CODES), F.col("_code")),
     }).drop("_parts", "_code", "_first", "_teams")
+    for side in ("Home", "Away"):
+        rows = normalize_names(rows, f"{side}_Raw", side, glossary)
+    return rows
 
 
-def report_results(docs: DataFrame, pages: str = "pages") -> DataFrame:
-    """Dated result rows of all report documents.
+def report_results(docs: DataFrame, pages: str = "pages", glossary: DataFrame | None = None) -> DataFrame:
+    """Dated result rows of all report documents, with resolved teams.
 
     The outer explode keeps the optimizer from adding a size filter, for which
     it would work out every section a second time.
     """
     rows = result_section(docs, pages).withColumn("line", F.explode_outer("lines"))
-    return parse_result_lines(rows.drop("lines", pages).filter(F.col("line").isNotNull()))
+    return parse_result_lines(rows.drop("lines", pages).filter(F.col("line").isNotNull()), glossary=glossary)
 
 
 def _pairs(text: Column, pattern: str, groups: list[tuple[str, int]]) -> Column:
