@@ -45,10 +45,11 @@ from formline.session import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-COORDINATES = BANDS * ROWS
+#: The bands take the first BANDS * ROWS coordinates; estimates use all.
+COORDINATES = 2 * BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
-#: Estimates from whole signatures below this are 3.5 deviations from 0.8.
-ESTIMATE = 0.70
+#: Whole signatures may understate the similarity of a pair by so many standard deviations.
+DEVIATIONS = 3.5
 #: Nodes outside the largest class of a bucket that are looked at together.
 TOGETHER = 1500
 PRIME = 0x9E3779B97F4A7C15 | 1
@@ -140,7 +141,7 @@ def signatures(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def bands(signed: np.ndarray) -> np.ndarray:
     """A number per band and text that depends on all its coordinates."""
-    parts = signed.reshape(len(signed), BANDS, ROWS)
+    parts = signed[:, :BANDS * ROWS].reshape(len(signed), BANDS, ROWS)
     out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), parts.shape[:2])
     for k in range(ROWS):
         out = mix(out * U(PRIME) + parts[:, :, k])
@@ -216,7 +217,7 @@ def candidates(members: DataFrame) -> DataFrame:
         F.col("node").alias("a"), "b").distinct()
 
 
-def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """Pairs of different classes of one bucket whose signatures look similar.
 
     A bucket's largest class is dealt out in slices of bounded size; nodes outside it go to every
@@ -241,6 +242,8 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
     dealt = dealt.withColumn("slice", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))))
 
+    least = similar - DEVIATIONS * math.sqrt(similar * (1 - similar) / COORDINATES)
+
     def compare(group: pa.Table) -> pa.Table:
         node = group["node"].to_pylist()
         root = np.unique(np.array([r.hex() for r in group["root"].to_pylist()]), return_inverse=True)[1]
@@ -251,10 +254,10 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
         for i in outside:
             others = np.flatnonzero(root != root[i])
             same = brief[others] == brief[i]
-            near = np.count_nonzero(same, axis=1) >= ESTIMATE * COORDINATES
+            near = np.count_nonzero(same, axis=1) >= least * COORDINATES
             others, same = others[near], same[near]
             if band >= 0:  # a pair is reported by the first bucket it shares
-                others = others[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                others = others[same[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
             found.extend((max(node[i], node[j]), min(node[i], node[j])) for j in others)
         found = list(set(found))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
@@ -277,7 +280,7 @@ def classified(docs: DataFrame, similar: float) -> DataFrame:
     sets = materialize(element_sets(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     links = materialize(verified(materialize(candidates(members)), sets, similar))
     roots = components(links)
-    more = materialize(verified(materialize(left_over(members, nodes, roots)), sets, similar))
+    more = materialize(verified(materialize(left_over(members, nodes, roots, similar)), sets, similar))
     if more.limit(1).count():
         roots = components(links.union(more))
     per_node = signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
