@@ -7,18 +7,17 @@ over the start of the text as well.
 * Counting: one pass over the training documents counts words and runs of
   ``DEPTH + 1`` bytes per task, exactly; both are summed by key in one shuffle. Counts
   of shorter runs are sums of these.
-* The tree: a context is a candidate if its share of all positions is at least
-  ``CONTEXT_SHARE``, and lists the symbols whose share after it is at least
-  ``SYMBOL_SHARE``. So each length has at most ``1 / CONTEXT_SHARE`` contexts and
-  ``1 / SYMBOL_SHARE`` symbols whatever the corpus; that bounded table goes to the
-  driver. A context is retained if its next-symbol distribution diverges from that of
+* The tree: a context is retained if its next-symbol distribution diverges from that of
   its longest proper suffix, by at least ``LEAST_DIVERGENCE`` nats a position and
-  ``LEAST_EVIDENCE`` nats in all, or if it is the suffix of a retained one.
+  ``LEAST_EVIDENCE`` nats in all, or if it is the suffix of a retained one. It lists all
+  symbols seen after it. So what is retained depends on evidence, not on the size of the
+  corpus, and the tree grows with it: it stays in tables that Spark joins by key.
 * Smoothing: a context with ``n`` positions and ``d`` different next symbols gives
   ``(count + d p) / (n + d)``, ``p`` being its suffix's probability; symbols it does not
   list share the rest in proportion to ``p``. The root adds one to every byte.
 * Scoring: every byte is predicted in the longest retained suffix of what stands before
-  it. Distinct runs are looked up once and remembered by the worker.
+  it. Documents are cut into blocks of bounded size; the distinct runs of every block are
+  joined with the tree, by buckets, and their logs go back to the block.
 
 The base needs a count for every word of every document. Words with a share of at
 least ``WORD_SHARE`` of the training tokens, at most ``1 / WORD_SHARE`` of them, are
@@ -33,11 +32,14 @@ is 0; an empty table gives an empty result; columns that are not named are ignor
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text
@@ -46,12 +48,15 @@ from formline.llm.units import text_slices, worker_store
 from formline.session import materialize
 
 DEPTH, END = 5, 10
-CONTEXT_SHARE, SYMBOL_SHARE, WORD_SHARE = 2e-6, 2e-6 / 16, 2e-7
+#: Nothing is left out for its share of the corpus; a caller who wants a smaller tree may raise the first two.
+CONTEXT_SHARE, SYMBOL_SHARE, WORD_SHARE = 0.0, 0.0, 2e-7
 LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.02, 8.0
 FOLDS, HELD_OUT = 7, 2
 WORD, RUN = 0, 1
 END_KEY = np.uint64(0x656E64)
-MERGE_AT, SEND_AT, CACHE_BITS = 1_500_000, 1_200_000, 20
+MERGE_AT, SEND_AT, CACHE_BITS = 1_500_000, 1_200_000, 21
+#: Bytes of text that are scored together, and training positions a bucket of runs.
+BLOCK_BYTES, BUCKET_PLACES = 32_000_000, 4_000_000
 U = np.uint64
 
 
@@ -127,19 +132,35 @@ class Level:
 
 
 @dataclass
-class Model:
-    levels: list[Level]
+class Words:
+    """What the base needs of the training documents: the frequent words, and the numbers of tokens and of words."""
+
     words: np.ndarray
     counts: np.ndarray
     tokens: int
     kinds: int
-    name: str = field(default="")
 
     @property
     def denominator(self) -> int:
         return self.tokens + self.kinds + 1
 
 
+@dataclass
+class Model(Words):
+    tables: list[DataFrame]
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        """The whole tree in memory: for small corpora only; scoring does not use it."""
+        out = []
+        for table in self.tables:
+            rows = table.where("own").select("context", "rest", "key", "p").toArrow().sort_by("key")
+            context, rest, key, p = (rows[c].to_numpy() for c in ("context", "rest", "key", "p"))
+            context, first = np.unique(context.view(U), return_index=True)
+            out.append(Level(context, np.log10(rest[first]), key.view(U), np.log10(p)))
+        return out
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``wanted`` in sorted ``keys`` and whether they are there."""
     if not len(keys):
@@ -148,65 +169,64 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def grow(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[Level]:
-    """The tree from tables per length of sorted ``key`` (context and symbol), its count, the context's count and kinds."""
-    kept: list[np.ndarray] = [np.ones(len(t[0]), bool) for t in tables]
-    needed = np.zeros(0, U)
-    for k in range(len(tables) - 1, 0, -1):
-        key, n, total, _ = tables[k]
-        context, inverse = np.unique(key >> U(8), return_inverse=True)
-        at, _ = find(tables[k - 1][0], key & U((1 << 8 * k) - 1))
-        _, pn, ptotal, _ = (x[at] for x in tables[k - 1])
-        evidence = np.bincount(inverse, n * np.log((n / total) / (pn / ptotal)), len(context))
-        size = np.bincount(inverse, n, len(context))
-        telling = (evidence >= LEAST_EVIDENCE) & (evidence >= LEAST_DIVERGENCE * size)
-        retained = context[telling | np.isin(context, needed)]
-        kept[k] = np.isin(key >> U(8), retained)
-        needed = np.unique(retained & U((1 << 8 * (k - 1)) - 1))
-    levels: list[Level] = []
-    for k, (key, n, total, kinds) in enumerate(tables):
-        key, n, total, kinds = (x[kept[k]] for x in (key, n, total, kinds))
-        context, first, inverse = np.unique(key >> U(8), return_index=True, return_inverse=True)
-        if k == 0:
-            levels.append(Level(context, np.zeros(len(context)), key, np.log10(n / total)))
-            continue
-        parent = levels[k - 1]
-        at, there = find(parent.keys, key & U((1 << 8 * k) - 1))
-        assert there.all(), "a listed symbol is listed by the suffix"
-        p = 10.0 ** parent.logs[at]
-        own = (n + kinds * p) / (total + kinds)
-        rest = 1 - np.bincount(inverse, own, len(context))
-        rest_parent = 1 - np.bincount(inverse, p, len(context))
-        left = np.log10(np.maximum(rest, 1e-12) / np.maximum(rest_parent, 1e-12))
-        levels.append(Level(context, left, key, np.log10(own)))
-    return levels
+def grow(runs: DataFrame) -> list[DataFrame]:
+    """The tree from ``key, n`` of runs of bytes, ``n`` being 0 for runs that are only to be scored.
+
+    A table per length with ``key`` (context and symbol), its ``context``, its probability ``p`` under the
+    longest retained suffix, whether the context is retained and lists the symbol (``own``), and the share
+    ``rest`` of the suffix's probability that a retained context leaves to other symbols. Everything is joined
+    by key or grouped by context, and a context has at most 256 symbols.
+    """
+    places = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cut = [F.struct(F.lit(k).alias("level"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key"),
+                    F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)), 8).alias("context"),
+                    F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("parent")) for k in range(1, DEPTH + 1)]
+    rows = runs.select("n", F.explode(F.array(*cut)).alias("r")).select("r.*", "n").groupBy("level", "key", "context", "parent").agg(
+        F.sum("n").alias("n"))
+    over = Window.partitionBy("level", "context")  # at most 256 rows
+    rows = rows.withColumn("total", F.sum("n").over(over)).withColumn("kinds", F.count(F.when(F.col("n") > 0, 1)).over(over))
+    rows = materialize(rows.withColumn("listed", (F.col("n") > 0) & (F.col("n") >= SYMBOL_SHARE * places)
+                                       & (F.col("total") >= CONTEXT_SHARE * places)))
+    bytes_ = runs.groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("id")).agg(F.sum("n").alias("n"))
+    bytes_ = materialize(runs.sparkSession.range(256).join(bytes_, "id", "left").select(
+        F.col("id").alias("key"), (F.coalesce("n", F.lit(0)) + 1).alias("n")))
+    root = bytes_.select((F.lit(1)).alias("level"), F.col("key").alias("parent"), (F.col("n") / (places + 256)).alias("share"))
+    shares = root.union(rows.where((F.col("n") > 0) & (F.col("level") < DEPTH)).select(F.col("level") + 1, "key", F.col("n") / F.col("total")))
+    tested = rows.where("listed").join(shares, ["level", "parent"]).groupBy("level", "context").agg(
+        F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("share"))).alias("evidence"), F.sum("n").alias("size"))
+    telling = tested.where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("evidence") >= LEAST_DIVERGENCE * F.col("size")))
+    suffix = [F.struct(F.lit(k).alias("level"), F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context")) for k in range(1, DEPTH + 1)]
+    retained = telling.select(F.explode(F.slice(F.array(*suffix), F.lit(1), F.col("level"))).alias("r")).select("r.*").distinct()
+    rows = rows.join(retained.withColumn("retained", F.lit(True)), ["level", "context"], "left")
+    rows = materialize(rows.withColumn("retained", F.coalesce("retained", F.lit(False))))
+    tables = [bytes_.select("key", F.lit(0).cast("long").alias("context"), (F.col("n") / (places + 256)).alias("p"),
+                            F.lit(True).alias("own"), F.lit(1.0).alias("rest"))]
+    over = Window.partitionBy("context")  # at most 256 rows
+    for k in range(1, DEPTH + 1):
+        level = rows.where(F.col("level") == k).join(tables[-1].select(F.col("key").alias("parent"), F.col("p").alias("up")), "parent")
+        level = level.withColumn("own", F.col("retained") & F.col("listed"))
+        level = level.withColumn("p", F.when(F.col("own"), (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))))
+        others, others_up = (F.greatest(1 - F.sum(F.when(F.col("own"), F.col(c))).over(over), F.lit(1e-12)) for c in ("p", "up"))
+        level = level.withColumn("rest", F.when(F.col("retained"), others / others_up).otherwise(1.0))
+        tables.append(materialize(level.select(
+            "key", "context", F.when(F.col("own"), F.col("p")).otherwise(F.col("rest") * F.col("up")).alias("p"), "own", "rest")))
+    return tables
+
+
+def frequent(counts: DataFrame) -> Words:
+    """The base from the counts of the training documents."""
+    words = counts.where(F.col("kind") == WORD)
+    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = words.where(F.col("n") >= WORD_SHARE * tokens).select("key", "n").toArrow()  # at most 1 / WORD_SHARE rows
+    key, n = rows["key"].to_numpy().view(U), rows["n"].to_numpy()
+    order = np.argsort(key)
+    return Words(key[order], n[order], tokens, kinds)
 
 
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     """The model from the counts of the training documents."""
-    words, runs = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == RUN)
-    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    places = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tables = []
-    for k in range(DEPTH + 1):
-        listed = runs.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if k:
-            contexts = listed.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-            listed = listed.where(F.col("n") >= SYMBOL_SHARE * places).withColumn("context", F.shiftright("key", 8)).join(
-                contexts.where(F.col("total") >= CONTEXT_SHARE * places), "context").select("key", "n", "total", "kinds")
-            rows = listed.toArrow()  # at most 1 / SYMBOL_SHARE rows
-            key, n, total, distinct = (rows[c].to_numpy() for c in ("key", "n", "total", "kinds"))
-        else:
-            rows = listed.toArrow()  # at most 256 rows
-            n = np.ones(256, np.int64)
-            n[rows["key"].to_numpy()] += rows["n"].to_numpy()
-            key, total, distinct = np.arange(256), np.full(256, places + 256), np.full(256, 256)
-        order = np.argsort(key)
-        tables.append((key[order].astype(U), n[order].astype(float), total[order].astype(float), distinct[order].astype(float)))
-    frequent = words.where(F.col("n") >= WORD_SHARE * tokens).select("key", "n").toArrow()  # at most 1 / WORD_SHARE rows
-    key, n = frequent["key"].to_numpy().view(U), frequent["n"].to_numpy()
-    order = np.argsort(key)
-    return Model(grow(tables), key[order], n[order], tokens, kinds, docs.sparkSession.sparkContext.applicationId + str(id(tables)))
+    words = frequent(counts)
+    return Model(words.words, words.counts, words.tokens, words.kinds, grow(counts.where(F.col("kind") == RUN).select("key", "n")))
 
 
 def run_logs(levels: list[Level], runs: np.ndarray) -> np.ndarray:
@@ -227,65 +247,126 @@ def run_logs(levels: list[Level], runs: np.ndarray) -> np.ndarray:
     return out
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        self.keys, self.logs = np.full(1 << CACHE_BITS, ~U(0), U), np.zeros(1 << CACHE_BITS)
-
-    def tree(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text."""
-        runs, sizes = runs_of(texts)
-        slot = ((runs * U(0x9E3779B97F4A7C15)) >> U(64 - CACHE_BITS)).astype(np.int64)
-        logs = self.logs[slot]
-        miss = np.flatnonzero(self.keys[slot] != runs)
-        if len(miss):
-            new, inverse = np.unique(runs[miss], return_inverse=True)
-            found = run_logs(self.model.levels, new)
-            logs[miss] = found[inverse]
-            at = ((new * U(0x9E3779B97F4A7C15)) >> U(64 - CACHE_BITS)).astype(np.int64)
-            _, last = np.unique(at[::-1], return_index=True)  # one run per slot
-            last = len(at) - 1 - last
-            self.keys[at[last]], self.logs[at[last]] = new[last], found[last]
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
-
-    def base(self, texts: list[bytes]):
-        """Per text: tokens, tokens known so far, sum of log10(c + 1) so far; and the words still to be counted."""
-        hashes, counts = word_hashes(texts)
-        which = np.repeat(np.arange(len(texts)), counts)
-        at, there = find(self.model.words, hashes)
-        logs = np.where(there, np.log10(self.model.counts[at] + 1.0), 0.0) if len(self.model.words) else np.zeros(len(hashes))
-        end_at, end_there = find(self.model.words, np.array([END_KEY], U))
-        end_count = int(self.model.counts[end_at[0]]) if end_there[0] else 0
-        known = np.bincount(which, there, len(texts)).astype(np.int64) + (end_count > 0)
-        total = np.bincount(which, logs, len(texts)) + np.log10(end_count + 1.0)
-        return counts + 1, known, total, hashes[~there], which[~there]
+def base(model: Words, texts: list[bytes]):
+    """Per text: tokens, tokens known so far, sum of log10(c + 1) so far; and the words still to be counted."""
+    hashes, counts = word_hashes(texts)
+    which = np.repeat(np.arange(len(texts)), counts)
+    at, there = find(model.words, hashes)
+    logs = np.where(there, np.log10(model.counts[at] + 1.0), 0.0) if len(model.words) else np.zeros(len(hashes))
+    end_at, end_there = find(model.words, np.array([END_KEY], U))
+    end_count = int(model.counts[end_at[0]]) if end_there[0] else 0
+    known = np.bincount(which, there, len(texts)).astype(np.int64) + (end_count > 0)
+    total = np.bincount(which, logs, len(texts)) + np.log10(end_count + 1.0)
+    return counts + 1, known, total, hashes[~there], which[~there]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row per row of ``docs``."""
-    docs = id_and_text(docs, id_col, text_col).withColumn("held_out", held_out())
-    counts = materialize(count(docs.where(~F.col("held_out"))))
-    model = train(docs, counts)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def bucket(key):
+    """A number that spreads runs, of an array or of a column of them."""
+    shift, xor = (F.shiftright, Column.bitwiseXOR) if isinstance(key, Column) else (np.right_shift, np.bitwise_xor)
+    return xor(xor(key, shift(key, 21)), shift(key, 39))
+
+
+PART = "block long, doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, text binary, bucket long, runs binary"
+
+
+def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
+    """Documents in blocks of about ``BLOCK_BYTES``, with what the base knows of each, and the distinct runs of every block by bucket."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    fields = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+                        ("total", pa.float64()), ("rare", pa.list_(pa.int64())), ("text", pa.binary()), ("bucket", pa.int64()), ("runs", pa.binary())])
+
+    def made(n: int, **columns):
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=fields)
 
     def run(batches):
-        held, model = worker_store("suffix_trees"), sent.value
+        worker_store()
+        block, size, held, distinct = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def close():
+            keys = np.unique(np.concatenate(held))
+            place = (bucket(keys.view(np.int64)) % buckets).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            keys, place = keys[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            packed = [x.tobytes() for x in np.split(keys, first[1:])]
+            for i in range(0, len(packed), 256):
+                n = len(packed[i:i + 256])
+                yield made(n, block=pa.array(np.full(n, block)), bucket=pa.array(place[first[i:i + 256]]), runs=pa.array(packed[i:i + 256], pa.binary()))
+
         for batch in batches:
-            scorer = held.get(model.name)
-            if scorer is None:
-                held.clear()
-                scorer = held[model.name] = Scorer(model)
             for a, b, texts in text_slices(batch.column("text")):
-                words = [normal(t) for t in texts]
-                tokens, known, total, rare, which = scorer.base(words)
+                normals = [normal(t) for t in texts]
+                tokens, known, total, rare, which = base(sent.value, normals)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(tokens.astype(np.int64)),
-                     pa.array(known), pa.array(total), pa.array(scorer.tree(words)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64)))],
-                    ["doc_id", "held_out", "n_tokens", "known", "total", "score", "rare"])
+                yield made(b - a, block=pa.array(np.full(b - a, block)), doc_id=batch.column("doc_id").slice(a, b - a),
+                           held_out=batch.column("held_out").slice(a, b - a), n_tokens=pa.array(tokens.astype(np.int64)), known=pa.array(known),
+                           total=pa.array(total), rare=pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
+                           text=pa.array(normals, pa.binary()))
+                held.append(np.unique(runs_of(normals)[0]))
+                distinct += len(held[-1])
+                size += sum(map(len, normals))
+                if distinct > MERGE_AT:
+                    held, distinct = [np.unique(np.concatenate(held))], 0
+                if size > BLOCK_BYTES:
+                    yield from close()
+                    block, size, held, distinct = block + 1, 0, [], 0
+        if held:
+            yield from close()
+
+    return docs.mapInArrow(run, PART)
+
+
+def unpacked(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def distinct_runs(group: pa.Table) -> pa.Table:
+    return pa.table({"key": np.unique(unpacked(group["runs"], np.int64))})
+
+
+def answered(asked: pa.Table, logs: pa.Table) -> pa.Table:
+    """The runs that the blocks ask for in one bucket, with their logs."""
+    order = np.argsort(logs["key"].to_numpy())
+    key, log = logs["key"].to_numpy()[order], logs["log"].to_numpy()[order]
+    found = [log[np.searchsorted(key, np.frombuffer(r, np.int64))].tobytes() for r in asked["runs"].to_pylist()]
+    return pa.table({"block": asked["block"], "runs": asked["runs"], "logs": pa.array(found, pa.binary())})
+
+
+def block_scores(docs: pa.Table, told: pa.Table) -> pa.Table:
+    """The documents of one block with the sums of their runs' logs."""
+    keys, logs = unpacked(told["runs"], U), unpacked(told["logs"], np.float64)
+    order = np.argsort(keys)
+    keys, logs = keys[order], logs[order]
+    slot = lambda runs: ((runs * U(0x9E3779B97F4A7C15)) >> U(64 - CACHE_BITS)).astype(np.int64)
+    quick = np.zeros(1 << CACHE_BITS, np.int64)  # a place to look at before searching
+    quick[slot(keys)] = np.arange(len(keys))
+    scores, texts = [], docs["text"].combine_chunks()
+    for _, _, part in text_slices(texts):
+        runs, sizes = runs_of(part)
+        at = quick[slot(runs)]
+        miss = np.flatnonzero(keys[at] != runs)
+        at[miss] = np.searchsorted(keys, runs[miss])
+        scores.append(np.add.reduceat(logs[at], np.cumsum(sizes) - sizes))
+    return docs.drop_columns(["text", "block"]).append_column("score", pa.array(np.concatenate(scores)))
+
 
-    found = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, total double, score double, rare array<long>")
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row per row of ``docs``."""
+    docs = id_and_text(docs, id_col, text_col).withColumn("held_out", held_out())
+    counts = materialize(count(docs.where(~F.col("held_out"))))
+    model = frequent(counts)
+    runs = counts.where(F.col("kind") == RUN).select("key", "n")
+    places = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(64, math.ceil(places / BUCKET_PLACES)) | 1  # grows with the input
+    part = materialize(parts(docs, model, buckets))
+    asked, texts = part.where(F.col("bucket").isNotNull()).select("block", "bucket", "runs"), part.where(F.col("bucket").isNull())
+    wanted = asked.groupBy("bucket").applyInArrow(distinct_runs, "key long").join(runs, "key", "left")
+    tables = grow(materialize(wanted.select("key", F.coalesce("n", F.lit(0)).alias("n"))))
+    logs = tables[-1].select(F.pmod(bucket(F.col("key")), F.lit(buckets)).alias("bucket"), "key", F.log10("p").alias("log"))
+    told = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answered, "block long, runs binary, logs binary")
+    texts = texts.select("block", "doc_id", "held_out", "n_tokens", "known", "total", "rare", "text")
+    found = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        block_scores, "doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, score double")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()))
     rare = found.select("row", F.explode("rare").alias("key")).join(
         counts.where((F.col("kind") == WORD) & (F.col("n") < WORD_SHARE * model.tokens)).select("key", "n"), "key")

@@ -118,3 +118,17 @@ def test_empty_tables(spark):
     row = lm.score(spark.createDataFrame([(held, "ab")], docs.schema)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (2, 0, 0, 0.0)
     assert row.score == pytest.approx(-3 * math.log10(256))
+
+
+def test_contexts_are_kept_by_evidence_not_by_share(spark):
+    """A rare run in a corpus of 8 million positions: 12 occurrences were less than the least share of a context."""
+    rng = random.Random(3)
+    common = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(1_800))
+    texts_ = [common] * 1_000 + ["qzxjvk " * 3] * 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string").repartition(8)
+    counts = lm.count(docs)
+    assert counts.where(f"kind = {lm.RUN}").agg({"n": "sum"}).first()[0] > 8_000_000
+    model = lm.train(docs, counts)
+    assert ord("x") in model.levels[1].contexts
+    run = np.array([int.from_bytes(b"qzxj", "big")], U)
+    assert 10 ** lm.run_logs(model.levels, run)[0] > 0.9
