@@ -47,7 +47,7 @@ from formline.llm.minhash import normal, word_hashes
 from formline.llm.units import text_slices, worker_store
 from formline.session import materialize
 
-DEPTH, END = 5, 10
+DEPTH, END = 6, 10
 #: Nothing is left out for its share of the corpus; a caller who wants a smaller tree may raise the first two.
 CONTEXT_SHARE, SYMBOL_SHARE, WORD_SHARE = 0.0, 0.0, 2e-7
 LEAST_DIVERGENCE, LEAST_EVIDENCE = 0.02, 8.0

@@ -132,3 +132,11 @@ def test_contexts_are_kept_by_evidence_not_by_share(spark):
     assert ord("x") in model.levels[1].contexts
     run = np.array([int.from_bytes(b"qzxj", "big")], U)
     assert 10 ** lm.run_logs(model.levels, run)[0] > 0.9
+
+
+def test_contexts_reach_past_five_bytes(spark):
+    """The byte after five equal ones depends on the one before them."""
+    docs = spark.createDataFrame([(i, ("abbbbbx" if i % 2 else "cbbbbby") + " ") for i in range(400)], "doc_id long, text string")
+    model = lm.train(docs, lm.count(docs))
+    runs = np.array([int.from_bytes(r, "big") for r in (b"abbbbbx", b"cbbbbby")], U)
+    assert (10 ** lm.run_logs(model.levels, runs) > 0.9).all()
