@@ -178,15 +178,14 @@ def grow(runs: DataFrame) -> list[DataFrame]:
     by key or grouped by context, and a context has at most 256 symbols.
     """
     places = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cut = [F.struct(F.lit(k).alias("level"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key"),
-                    F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)), 8).alias("context"),
-                    F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("parent")) for k in range(1, DEPTH + 1)]
-    rows = runs.select("n", F.explode(F.array(*cut)).alias("r")).select("r.*", "n").groupBy("level", "key", "context", "parent").agg(
-        F.sum("n").alias("n"))
+    cut = [F.struct(F.lit(k).alias("level"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")) for k in range(1, DEPTH + 1)]
+    rows = runs.select("n", F.explode(F.array(*cut)).alias("r")).select("r.*", "n").groupBy("level", "key").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("context", F.shiftright("key", 8))
     over = Window.partitionBy("level", "context")  # at most 256 rows
-    rows = rows.withColumn("total", F.sum("n").over(over)).withColumn("kinds", F.count(F.when(F.col("n") > 0, 1)).over(over))
-    rows = materialize(rows.withColumn("listed", (F.col("n") > 0) & (F.col("n") >= SYMBOL_SHARE * places)
-                                       & (F.col("total") >= CONTEXT_SHARE * places)))
+    rows = rows.withColumn("total", F.sum("n").over(over)).withColumn("kinds", F.count(F.when(F.col("n") > 0, 1)).over(over).cast("int"))
+    rows = materialize(rows.select("level", "key", "n", "total", "kinds")).withColumn("context", F.shiftright("key", 8)).withColumn(
+        "parent", F.expr("key & (shiftleft(1L, 8 * level) - 1)")).withColumn(
+        "listed", (F.col("n") > 0) & (F.col("n") >= SYMBOL_SHARE * places) & (F.col("total") >= CONTEXT_SHARE * places))
     bytes_ = runs.groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("id")).agg(F.sum("n").alias("n"))
     bytes_ = materialize(runs.sparkSession.range(256).join(bytes_, "id", "left").select(
         F.col("id").alias("key"), (F.coalesce("n", F.lit(0)) + 1).alias("n")))
@@ -197,13 +196,14 @@ def grow(runs: DataFrame) -> list[DataFrame]:
     telling = tested.where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("evidence") >= LEAST_DIVERGENCE * F.col("size")))
     suffix = [F.struct(F.lit(k).alias("level"), F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context")) for k in range(1, DEPTH + 1)]
     retained = telling.select(F.explode(F.slice(F.array(*suffix), F.lit(1), F.col("level"))).alias("r")).select("r.*").distinct()
-    rows = rows.join(retained.withColumn("retained", F.lit(True)), ["level", "context"], "left")
-    rows = materialize(rows.withColumn("retained", F.coalesce("retained", F.lit(False))))
+    retained = materialize(retained.withColumn("retained", F.lit(True)))
     tables = [bytes_.select("key", F.lit(0).cast("long").alias("context"), (F.col("n") / (places + 256)).alias("p"),
                             F.lit(True).alias("own"), F.lit(1.0).alias("rest"))]
     over = Window.partitionBy("context")  # at most 256 rows
     for k in range(1, DEPTH + 1):
         level = rows.where(F.col("level") == k).join(tables[-1].select(F.col("key").alias("parent"), F.col("p").alias("up")), "parent")
+        level = level.join(retained.where(F.col("level") == k).drop("level"), "context", "left")
+        level = level.withColumn("retained", F.coalesce("retained", F.lit(False)))
         level = level.withColumn("own", F.col("retained") & F.col("listed"))
         level = level.withColumn("p", F.when(F.col("own"), (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))))
         others, others_up = (F.greatest(1 - F.sum(F.when(F.col("own"), F.col(c))).over(over), F.lit(1e-12)) for c in ("p", "up"))
