@@ -50,7 +50,7 @@ COORDINATES = 2 * BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 #: Whole signatures may understate the similarity of a pair by so many standard deviations.
 DEVIATIONS = 3.5
-#: Nodes outside the largest class of a bucket that are looked at together.
+#: Nodes of a bucket in one part, of which two are looked at together.
 TOGETHER = 1500
 PRIME = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -220,9 +220,8 @@ def candidates(members: DataFrame) -> DataFrame:
 def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """Pairs of different classes of one bucket whose signatures look similar.
 
-    A bucket's largest class is dealt out in slices of bounded size; nodes outside it go to every
-    slice. Where those are more than ``TOGETHER``, they are split by further bands, which
-    similar nodes share as well; the bands a pair agrees on are the same for every split.
+    Nodes outside a bucket's largest class are dealt into parts of about ``TOGETHER``, that class as
+    well; every part outside meets every other part and itself, each two of them in a group of their own.
     """
     rows = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -231,38 +230,36 @@ def left_over(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar: f
     rows = rows.join(mixed, "bucket").withColumn("outside", F.col("root") != F.col("main.root"))
     rows = rows.withColumn("others", F.col("all") - F.col("main.n"))
     rows = rows.join(nodes.select("node", "bands", "brief"), "node")
-    few = rows.where(F.col("others") <= TOGETHER).withColumn("key", F.col("bucket"))
-    many = rows.where(F.col("others") > TOGETHER).withColumn("more", F.explode("bands")).where(
-        F.col("more") != F.col("bucket")).withColumn("key", F.xxhash64(F.least("bucket", "more"), F.greatest("bucket", "more")))
-    many = many.withColumn("band", F.lit(-1))
-    columns = ["key", "band", "node", "root", "outside", "brief"]
-    rows = few.select(*columns).union(many.select(*columns))
-    inside = rows.where(~F.col("outside")).groupBy("key").agg(F.count(F.lit(1)).alias("inside"))
-    dealt = rows.join(inside, "key", "left").withColumn("slices", F.ceil(F.coalesce("inside", F.lit(1)) / TOGETHER).cast("int"))
-    dealt = dealt.withColumn("slice", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))))
+    parts, slices = (F.ceil(F.col(n) / TOGETHER).cast("int") for n in ("others", "main.n"))
+    rows = rows.withColumn("parts", parts).withColumn("slices", slices)
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("parts")).otherwise(F.col("slices"))).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("outside"), mine).otherwise(F.col("parts") + mine))  # those outside come first
+    last = F.when(F.col("outside"), F.col("parts") + F.col("slices")).otherwise(F.col("parts")) - 1
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where(F.col("other") != F.col("part")).select(
+        "bucket", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "band", "node", "root", "brief", "part", "parts")
 
     least = similar - DEVIATIONS * math.sqrt(similar * (1 - similar) / COORDINATES)
 
     def compare(group: pa.Table) -> pa.Table:
         node = group["node"].to_pylist()
         root = np.unique(np.array([r.hex() for r in group["root"].to_pylist()]), return_inverse=True)[1]
-        outside = np.flatnonzero(group["outside"].to_numpy(zero_copy_only=False))
+        left = group["part"].to_numpy() == group["left"][0].as_py()
+        itself = group["right"][0].as_py() == group["parts"][0].as_py()  # once per part outside: with the first slice of the largest class
         brief = np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint8).reshape(len(node), COORDINATES)
         band = group["band"][0].as_py()
         found: list[tuple[bytes, bytes]] = []
-        for i in outside:
-            others = np.flatnonzero(root != root[i])
+        for i in np.flatnonzero(left):
+            others = np.flatnonzero((root != root[i]) & (itself | ~left))
             same = brief[others] == brief[i]
             near = np.count_nonzero(same, axis=1) >= least * COORDINATES
             others, same = others[near], same[near]
-            if band >= 0:  # a pair is reported by the first bucket it shares
-                others = others[same[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            # A pair is reported by the first bucket it shares.
+            others = others[same[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
             found.extend((max(node[i], node[j]), min(node[i], node[j])) for j in others)
         found = list(set(found))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return dealt.groupBy("key", "slice").applyInArrow(compare, "a binary, b binary").distinct()
+    return dealt.groupBy("bucket", "left", "right").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def classified(docs: DataFrame, similar: float) -> DataFrame:

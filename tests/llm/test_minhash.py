@@ -113,3 +113,19 @@ def test_components_of_random_links_and_a_path(spark):
     got = {r.node: r.root for r in components.components(df).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components.components(df.where(F.col("a") < 0)).count() == 0
+
+
+def test_large_outside_set_misses_no_pair_of_one_band(spark, monkeypatch):
+    """Two similar nodes that share one bucket only, in a crowd larger than ``TOGETHER``."""
+    monkeypatch.setattr(minhash, "TOGETHER", 2)
+    rng = np.random.default_rng(5)
+    brief = rng.integers(0, 256, (14, minhash.COORDINATES)).astype(np.uint8)
+    brief[:, :minhash.ROWS] = 7
+    brief[1] = brief[0]
+    brief[1, minhash.ROWS:minhash.BANDS * minhash.ROWS:minhash.ROWS] ^= 1  # no other band agrees
+    rows = [(bytes([i]), [0] + [100 * i + b for b in range(1, minhash.BANDS)], brief[i].tobytes()) for i in range(len(brief))]
+    nodes = spark.createDataFrame(rows, "node binary, bands array<long>, brief binary")
+    members = nodes.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("band"), "node")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    got = minhash.left_over(members, nodes, roots, 0.8).collect()
+    assert [(bytes(r.a), bytes(r.b)) for r in got] == [(b"\x01", b"\x00")]
