@@ -49,7 +49,7 @@ BANDS, ROWS = 32, 6
 COORDINATES = 2 * BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 #: Whole signatures may understate the similarity of a pair by so many standard deviations.
-DEVIATIONS = 3.5
+DEVIATIONS = 4.0
 #: Nodes of a bucket in one part, of which two are looked at together.
 TOGETHER = 1500
 PRIME = 0x9E3779B97F4A7C15 | 1

@@ -129,3 +129,13 @@ def test_large_outside_set_misses_no_pair_of_one_band(spark, monkeypatch):
     roots = spark.createDataFrame([], "node binary, root binary")
     got = minhash.left_over(members, nodes, roots, 0.8).collect()
     assert [(bytes(r.a), bytes(r.b)) for r in got] == [(b"\x01", b"\x00")]
+
+
+def test_estimates_may_be_four_deviations_low(spark):
+    """277 of 384 coordinates agree: 3.85 deviations below 0.8."""
+    brief = np.zeros((2, minhash.COORDINATES), np.uint8)
+    brief[1, 277:] = 1
+    rows = [(bytes([i]), [0], b.tobytes()) for i, b in enumerate(brief)]
+    nodes = spark.createDataFrame(rows, "node binary, bands array<long>, brief binary")
+    members = nodes.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("band"), "node")
+    assert minhash.left_over(members, nodes, spark.createDataFrame([], "node binary, root binary"), 0.8).count() == 1
