@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import bpe, fingerprint, html_text, line_dedup, lm, minhash, multi_index, packing, secrets, toxicity
+from formline.llm import (
+    bpe, fingerprint, html_text, line_dedup, lm, minhash, mixing, multi_index, packing, prefix_trie, secrets, toxicity, whitening,
+)
 from formline.llm.common import table
 
 
@@ -52,6 +54,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_fingerprint": op2_fingerprint,
@@ -63,10 +77,14 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
     "op2_fingerprint": fingerprint.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
