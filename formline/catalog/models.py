@@ -88,8 +88,21 @@ def _oof_rounded(oof: DataFrame) -> DataFrame:
     return rounded(oof, "pos", "fold", "y_true", p_away="p_away", p_draw="p_draw", p_home="p_home")
 
 
-@query("mdl_fit")
+_STARTS = "(SELECT fold, min(pos) AS start FROM folds WHERE fold >= 1 GROUP BY fold)"
+
+
+@query("mdl_fit", with_ctes(["folds"], f"""
+SELECT fold, res, n AS n_train, {r('k / n')} AS mean_probability, 0.0 AS worst_slope FROM (
+  SELECT s.fold, c.res, count(*) AS n, count_if(t.res = c.res) AS k FROM {_STARTS} s JOIN folds t ON t.pos < s.start,
+    (SELECT unnest([0, 1, 2]) AS res) c GROUP BY ALL)"""))
 def mdl_fit(spark, sf_dir):
+    """The fits of all folds at their optimum: no slope is left, and mean probabilities are the class shares."""
+    fits, rows, parts = MD.fit_outcome_folds(feature_folds(spark, sf_dir), K.FEATURE_COLUMNS)
+    return rounded(MD.outcome_report(rows, fits, parts), "fold", "res", "n_train", mean_probability="mean_probability", worst_slope="worst_slope")
+
+
+@query("mdl_fit_oof")
+def mdl_fit_oof(spark, sf_dir):
     """Out-of-fold probabilities of the 24-feature outcome model."""
     return _oof_rounded(MD.cross_validate(feature_folds(spark, sf_dir), K.FEATURE_COLUMNS))
 
@@ -106,8 +119,47 @@ def mdl_importance(spark, sf_dir):
     return MD.importances(model, K.FEATURE_COLUMNS, spark)
 
 
-@query("mdl_poisson")
+def _goal_optimum(side_sql: str) -> str:
+    """Mean goals of all training rows; at the optimum they are the mean rates, and no slope is left."""
+    return f"""SELECT goals, fold, n AS n_train, {r('g')} AS mean_goals, {r('g')} AS mean_rate, 0.0 AS worst_slope FROM ({side_sql})"""
+
+
+_GOALS_ALL = _goal_optimum(" UNION ALL ".join(f"SELECT '{c}' AS goals, 1 AS fold, count(*) AS n, avg({c}) AS g FROM folds" for c in ("hg", "ag")))
+_GOALS_BY_FOLD = _goal_optimum(" UNION ALL ".join(
+    f"SELECT '{c}' AS goals, s.fold, count(*) AS n, avg(t.{c}) AS g FROM {_STARTS} s JOIN folds t ON t.pos < s.start GROUP BY s.fold" for c in ("hg", "ag")))
+
+
+def _goal_report(folds: DataFrame, mode: str, final: bool = False) -> DataFrame:
+    *_, rows, parts = MD.fit_goal_folds(folds, mode, final)
+    return rounded(MD.goal_report(rows, parts, mode), "goals", "fold", "n_train", mean_goals="mean_goals", mean_rate="mean_rate",
+                   worst_slope="worst_slope")
+
+
+@query("mdl_poisson", with_ctes(["folds"], _GOALS_ALL))
 def mdl_poisson(spark, sf_dir):
+    """The home and away goal regressions of all rows, at their optimum."""
+    return _goal_report(feature_folds(spark, sf_dir), "mixed", final=True)
+
+
+@query("mdl_poisson_min", with_ctes(["folds"], _GOALS_ALL))
+def mdl_poisson_min(spark, sf_dir):
+    """The minimal regressions of all rows, at their optimum."""
+    return _goal_report(MD.minimal_frame(feature_folds(spark, sf_dir)), "minimal", final=True)
+
+
+@query("mdl_dc_cv_fits", with_ctes(["folds"], _GOALS_BY_FOLD))
+def mdl_dc_cv_fits(spark, sf_dir):
+    """The goal regressions of every fold, at their optimum."""
+    return _goal_report(feature_folds(spark, sf_dir), "mixed")
+
+
+@query("mdl_min_cv_fits", with_ctes(["folds"], _GOALS_BY_FOLD))
+def mdl_min_cv_fits(spark, sf_dir):
+    return _goal_report(MD.minimal_frame(feature_folds(spark, sf_dir)), "minimal")
+
+
+@query("mdl_poisson_terms")
+def mdl_poisson_terms(spark, sf_dir):
     """Coefficients of the home and away goal regressions."""
     fits = MD.fit_goal_models(feature_folds(spark, sf_dir), "mixed")
     rows = [(side, n, float(b)) for side, fit in zip(("home", "away"), fits)
@@ -115,8 +167,8 @@ def mdl_poisson(spark, sf_dir):
     return spark.createDataFrame(rows, "side string, term string, coefficient double")
 
 
-@query("mdl_poisson_min")
-def mdl_poisson_min(spark, sf_dir):
+@query("mdl_poisson_min_rates")
+def mdl_poisson_min_rates(spark, sf_dir):
     """Goal rates of all matches from the minimal regressions."""
     rows = MD.minimal_frame(feature_folds(spark, sf_dir))
     home, away = MD.fit_goal_models(rows, "minimal")

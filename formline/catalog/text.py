@@ -201,9 +201,30 @@ def hdr_apply(spark, sf_dir):
     return E.apply_headers(raw)[0]
 
 
-@query("ent_audit")
+_AUDIT = f"""
+SELECT u.name, u.team AS normalized, coalesce(s.suggestions, []) AS suggestions FROM unmapped u LEFT JOIN (
+  SELECT name, list(target ORDER BY score DESC, target DESC) AS suggestions FROM (
+    SELECT name, target, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, target DESC) AS place FROM (
+      SELECT name, target, 1.0 - levenshtein(name, target)::DOUBLE / greatest(length(name), length(target)) AS score
+      FROM unmapped CROSS JOIN rawtargets WHERE target <> '')
+    WHERE score >= 0.4) WHERE place <= 3 GROUP BY name) s ON s.name = u.name"""
+CTES["rawtargets"] = "SELECT DISTINCT target FROM gsplit"
+CTES["unmapped"] = f"""
+SELECT name, team FROM (SELECT DISTINCT trim(raw) AS name, team FROM normed) WHERE name <> '' AND NOT starts_with(name, '#')
+  AND team NOT IN (SELECT target FROM rawtargets UNION ALL SELECT target FROM gloss) AND {canon('name')} NOT IN (SELECT {canon('target')} FROM rawtargets)"""
+DEPENDS |= {"rawtargets": ["gsplit"], "unmapped": ["normed", "rawtargets", "gloss"]}
+
+
+@query("ent_audit", with_ctes(["unmapped", "rawtargets"], _AUDIT))
 def ent_audit(spark, sf_dir):
-    return E.audit_names(names(spark, sf_dir), "raw", glossary(spark, sf_dir), L.raw_targets(glossary_lines(spark, sf_dir)))
+    """Unknown names with their closest targets by edits per character."""
+    return E.audit_names(names(spark, sf_dir), "raw", glossary(spark, sf_dir), L.raw_targets(glossary_lines(spark, sf_dir)), "edits")
+
+
+@query("ent_audit_blocks")
+def ent_audit_blocks(spark, sf_dir):
+    """The same by matching blocks, as the standard library's closest matches."""
+    return E.audit_names(names(spark, sf_dir), "raw", glossary(spark, sf_dir), L.raw_targets(glossary_lines(spark, sf_dir)), "blocks")
 
 
 @query("ent_unknown", with_ctes(["cust", "matches"], """

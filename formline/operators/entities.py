@@ -8,14 +8,12 @@ the rows is matched once.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from formline.functions import text as T
+from formline.operators.similarity import nearest_targets
+from formline.session import materialize
 
 
 def _by_name(df: DataFrame, resolved: DataFrame, column: str, out: str, default) -> DataFrame:
@@ -76,43 +74,13 @@ def match_feed_label(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, T.feed_club(F.col(column)))
 
 
-_HIT = T_.ArrayType(T_.StructType([T_.StructField("score", T_.DoubleType()), T_.StructField("target", T_.StringType())]))
-
-
-@F.pandas_udf(_HIT)
-def _closest(names: pd.Series, targets: pd.Series) -> pd.Series:
-    """Up to three targets of a block closest to the name, best first.
-
-    The cheap length and letter bounds of the ratio are tried before it.
-    """
-    def best(name: str, block) -> list:
-        matcher = difflib.SequenceMatcher()
-        matcher.set_seq2(name)
-        found = []
-        for target in block:
-            matcher.set_seq1(target)
-            if (matcher.real_quick_ratio() >= CUTOFF and matcher.quick_ratio() >= CUTOFF
-                    and matcher.ratio() >= CUTOFF):
-                found.append((matcher.ratio(), target))
-        found.sort(reverse=True)
-        return [{"score": s, "target": t} for s, t in found[:SUGGESTIONS]]
-
-    return pd.Series([best(n, b) for n, b in zip(names, targets)])
-
-
 CUTOFF = 0.4
 SUGGESTIONS = 3
-BLOCK = 256
 
 
-def audit_names(names: DataFrame, column: str, glossary: DataFrame, raw_targets: DataFrame) -> DataFrame:
+def audit_names(names: DataFrame, column: str, glossary: DataFrame, raw_targets: DataFrame, measure: str = "blocks") -> DataFrame:
     """Distinct names that resolve to no known target, each with its three
-    closest targets (similarity at least 0.4).
-
-    A ratio of 0.4 needs lengths within a factor of four, so names meet blocks
-    of targets by an equi-join on length; each block holds at most ``BLOCK``
-    targets and passes on three per name.
-    """
+    closest targets (similarity at least 0.4, see ``similarity.MEASURES``)."""
     clean = (names.select(F.trim(column).alias("name"))
              .filter((F.col("name") != "") & ~F.col("name").startswith("#")).distinct())
     norm = normalize_names(clean, "name", "normalized", glossary)
@@ -120,23 +88,12 @@ def audit_names(names: DataFrame, column: str, glossary: DataFrame, raw_targets:
     known = (targets.select(F.col("target").alias("_known"))
              .unionByName(glossary.select(F.col("target").alias("_known"))).distinct())
     canon = targets.select(T.canonical(F.col("target")).alias("_canon")).distinct()
-    unmapped = (norm.join(known, F.col("normalized") == F.col("_known"), "left_anti")
-                .withColumn("_canon", T.canonical(F.col("name")))
-                .join(canon, "_canon", "left_anti").select("name", "normalized"))
-    sized = targets.withColumn("_len", F.length("target"))
-    rank = F.row_number().over(Window.partitionBy("_len", "_salt").orderBy("target"))
-    blocks = (sized.withColumn("_salt", F.pmod(F.xxhash64("target"), F.lit(64)))
-              .withColumn("_block", F.floor((rank - 1) / BLOCK))
-              .groupBy("_len", "_salt", "_block").agg(F.collect_list("target").alias("_targets")))
-    size = F.length("name")
-    reach = unmapped.withColumn("_len", F.explode(F.sequence(
-        F.greatest(F.ceil(size / 4).cast("int"), F.lit(1)), size * 4)))
-    hits = (reach.join(blocks, "_len")
-            .select("name", "normalized", F.inline(_closest("name", "_targets"))))
-    order = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("target"))
-    top = (hits.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= SUGGESTIONS)
-           .groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_r", "target", "score"))).alias("_top"))
-           .select("name", F.transform("_top", lambda x: x["target"]).alias("suggestions")))
+    unmapped = materialize(norm.join(known, F.col("normalized") == F.col("_known"), "left_anti")
+                           .withColumn("_canon", T.canonical(F.col("name")))
+                           .join(canon, "_canon", "left_anti").select("name", "normalized"))
+    hits = nearest_targets(unmapped, targets.filter(F.col("target") != ""), CUTOFF, SUGGESTIONS, measure)
+    top = hits.groupBy("name").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "target"))), lambda x: x["target"]).alias("suggestions"))
     return unmapped.join(top, "name", "left").withColumn(
         "suggestions", F.coalesce("suggestions", F.array().cast("array<string>")))
 
