@@ -429,16 +429,19 @@ def _intervals(spark, sf_dir) -> DataFrame:
 
 
 def _bootstrap_sql() -> str:
-    """The weights of the operator, row by row and replicate by replicate, in SQL."""
+    """The buckets and weights of the operator in SQL."""
     P = C.PRIME
-    mixed = f"(pos % {P} * 48271 + b * 69621 + {C.SEED * 16807}) % {P}"
     step = "(x * x % {p} * 40692 + x * 30269 + {add}) % {p}"
     weight = " + ".join(f"(x >= {limit})::INT" for limit in C.POISSON_LIMITS)
     return f"""d AS (SELECT b.pos, v.ll - b.ll AS dl, v.br - b.br AS db FROM oof b JOIN dcoof v ON v.pos = b.pos),
-x0 AS (SELECT b, dl, db, {mixed} AS x FROM d, (SELECT range AS b FROM range({C.N_BOOTSTRAP}))),
-x1 AS (SELECT b, dl, db, {step.format(p=P, add="b + 1")} AS x FROM x0),
-x2 AS (SELECT dl, db, b, {step.format(p=P, add=104729)} AS x FROM x1),
-rep AS (SELECT b, sum(w * dl) / sum(w) AS ll, sum(w * db) / sum(w) AS br FROM (SELECT b, dl, db, {weight} AS w FROM x2) GROUP BY b HAVING sum(w) > 0),
+k0 AS (SELECT dl, db, (pos % {P} * 48271 + {(C.SEED + 1) * 16807}) % {P} AS x FROM d),
+k1 AS (SELECT dl, db, {step.format(p=P, add="1")} AS x FROM k0),
+k2 AS (SELECT dl, db, {step.format(p=P, add=104729)} AS x FROM k1),
+k AS (SELECT x % {C.BUCKETS} AS k, count(*) AS n, sum(dl) AS dl, sum(db) AS db FROM k2 GROUP BY 1),
+x0 AS (SELECT b, n, dl, db, (k * 48271 + b * 69621 + {C.SEED * 16807}) % {P} AS x FROM k, (SELECT range AS b FROM range({C.N_BOOTSTRAP}))),
+x1 AS (SELECT b, n, dl, db, {step.format(p=P, add="b + 1")} AS x FROM x0),
+x2 AS (SELECT n, dl, db, b, {step.format(p=P, add=104729)} AS x FROM x1),
+rep AS (SELECT b, sum(w * dl) / sum(w * n) AS ll, sum(w * db) / sum(w * n) AS br FROM (SELECT b, n, dl, db, {weight} AS w FROM x2) GROUP BY b HAVING sum(w * n) > 0),
 ci AS (SELECT 'll_delta' AS measure, (SELECT avg(dl) FROM d) AS mean_delta, quantile_cont(ll, 0.025) AS lo, quantile_cont(ll, 0.975) AS hi FROM rep
   UNION ALL SELECT 'brier_delta', (SELECT avg(db) FROM d), quantile_cont(br, 0.025), quantile_cont(br, 0.975) FROM rep)"""
 

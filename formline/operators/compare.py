@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formline.functions import scores
 from formline.operators import metrics
 
 # Resamples and seed of a comparison.
@@ -17,7 +16,8 @@ SEED = 42
 #: Modulus of the weight arithmetic, and where in its range Poisson(1) reaches 1, 2, 3 and so on.
 PRIME = 2 ** 31 - 1
 POISSON_LIMITS = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k))) for k in range(1, 10)]
-ROWS_AT_ONCE, DRAWS_AT_ONCE = 2048, 512
+BUCKETS = 4096
+MEASURES = ("ll_delta", "brier_delta")
 
 
 def paired(baseline: DataFrame, variant: DataFrame) -> DataFrame:
@@ -41,52 +41,49 @@ def fold_deltas(deltas: DataFrame) -> DataFrame:
                                       F.avg("brier_delta").alias("brier_delta"))
 
 
-def bootstrap_weights(pos: np.ndarray, replicates: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Poisson(1) weights of rows in replicates, from integer arithmetic alone.
-
-    Row and replicate are mixed by squares modulo a prime, in numbers below 2^62, so
-    any engine with 64-bit integers repeats them. A row per position.
-    """
-    x = (pos[:, None] % PRIME * 48271 + replicates[None, :] * 69621 + seed * 16807) % PRIME
-    for add in (replicates[None, :] + 1, 104729):
+def _mixed(item: Column, replicate: Column, seed: int) -> Column:
+    """A number below ``PRIME``: item and replicate mixed by squares, in numbers below 2^62,
+    so any engine with 64-bit integers repeats it."""
+    x = (item % PRIME * 48271 + replicate * 69621 + F.lit(seed * 16807)) % PRIME
+    for add in (replicate + 1, F.lit(104729)):
         x = (x * x % PRIME * 40692 + x * 30269 + add) % PRIME
-    weight = np.zeros(x.shape, np.int64)
-    for limit in POISSON_LIMITS:
-        weight += x >= limit
-    return weight
+    return x
+
+
+def poisson_weight(mixed: Column) -> Column:
+    """Poisson(1) weight of an evenly spread number below ``PRIME``."""
+    return scores.total((mixed >= limit).cast("int") for limit in POISSON_LIMITS)
+
+
+def bootstrap_buckets(deltas: DataFrame, seed: int = SEED) -> DataFrame:
+    """``bucket, n, ll_delta, brier_delta``: counts and sums of the rows of every bucket, a hash of the position."""
+    bucket = _mixed(F.col("pos"), F.lit(0), seed + 1) % BUCKETS
+    return deltas.groupBy(bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ll_delta").alias("ll_delta"), F.sum("brier_delta").alias("brier_delta"))
 
 
 def bootstrap_ci(deltas: DataFrame, n_boot: int = N_BOOTSTRAP, seed: int = SEED) -> DataFrame:
     """Mean differences with their 95% bootstrap intervals, one row per measure.
 
-    Rows are resampled at every size: a row counts in a replicate with a Poisson(1)
-    weight of its position, which needs no pass to know the number of rows. Tasks sum
-    their rows for all replicates block by block; one small aggregate adds the tasks.
+    Rows are first added up in ``BUCKETS`` hash buckets, by the same rule at every size; a bucket then
+    counts in a replicate with a Poisson(1) weight. Rows fall into buckets independently of their
+    values, so replicates vary as those of resampled rows do (interval widths within about one
+    part in sqrt(2 BUCKETS)); the work is one pass over the rows and a fixed number of weights.
     """
-    def draw(batches):
-        total = np.zeros((3, n_boot))
-        for batch in batches:
-            pos = batch["pos"].to_numpy(np.int64)
-            values = np.vstack([np.ones(len(pos)), batch["ll_delta"].to_numpy(float), batch["brier_delta"].to_numpy(float)])
-            for i in range(0, len(pos), ROWS_AT_ONCE):
-                for j in range(0, n_boot, DRAWS_AT_ONCE):
-                    w = bootstrap_weights(pos[i:i + ROWS_AT_ONCE], np.arange(j, min(j + DRAWS_AT_ONCE, n_boot)), seed)
-                    total[:, j:j + DRAWS_AT_ONCE] += values[:, i:i + ROWS_AT_ONCE] @ w
-        yield pd.DataFrame({"replicate": np.arange(n_boot), "w": total[0], "ll": total[1], "brier": total[2]})
-
     tasks = deltas.sparkSession.sparkContext.defaultParallelism
-    sums = deltas.select("pos", "ll_delta", "brier_delta").repartition(tasks, "pos").mapInPandas(
-        draw, "replicate long, w double, ll double, brier double").groupBy("replicate").agg(
-        *[F.sum(c).alias(c) for c in ("w", "ll", "brier")]).where(F.col("w") > 0)
-    spread = sums.select((F.col("ll") / F.col("w")).alias("ll_delta"), (F.col("brier") / F.col("w")).alias("brier_delta"))
-    measures = ("ll_delta", "brier_delta")
-    bounds = spread.agg(*[F.percentile(m, p).alias(f"{m}_{tag}") for m in measures
+    buckets = bootstrap_buckets(deltas, seed).repartition(tasks, "bucket")
+    drawn = buckets.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)).cast("array<long>")))
+    drawn = drawn.withColumn("x", _mixed(F.col("bucket"), F.col("replicate"), seed)).withColumn("w", poisson_weight(F.col("x")))
+    sums = drawn.groupBy("replicate").agg(
+        F.sum(F.col("w") * F.col("n")).alias("n"), *[F.sum(F.col("w") * F.col(m)).alias(m) for m in MEASURES]).where(F.col("n") > 0)
+    spread = sums.select(*[(F.col(m) / F.col("n")).alias(m) for m in MEASURES])
+    bounds = spread.agg(*[F.percentile(m, p).alias(f"{m}_{tag}") for m in MEASURES
                           for p, tag in ((0.025, "ci_low"), (0.975, "ci_high"))])
-    means = deltas.agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"{m}_mean_delta") for m in measures])
+    means = deltas.agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"{m}_mean_delta") for m in MEASURES])
 
     def by_measure(row: DataFrame, carry: tuple[str, ...], *names: str) -> DataFrame:
         return row.select(*carry, F.inline(F.array(*[
-            F.struct(F.lit(m).alias("measure"), *[F.col(f"{m}_{n}").alias(n) for n in names]) for m in measures])))
+            F.struct(F.lit(m).alias("measure"), *[F.col(f"{m}_{n}").alias(n) for n in names]) for m in MEASURES])))
 
     return by_measure(means, ("n",), "mean_delta").join(by_measure(bounds, (), "ci_low", "ci_high"), "measure")
 

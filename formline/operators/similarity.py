@@ -4,7 +4,7 @@ A name is the set of its (character, occurrence) tokens, so the overlap of two s
 of characters they share. Both measures here are at most the Dice ratio of these sets, so only
 pairs of a high enough ratio are scored. Tokens are put in one order, rarest first: two sets of
 ratio ``t`` or more share a token among the first ``size - ceil(size t/(2-t)) + 1`` of each, and
-the places of the first such token bound the overlap. Names meet targets by an equi-join
+what they share there bounds the overlap. Names meet targets by an equi-join
 on these prefixes, band by band from high ratios to low: a name with enough targets scored at a
 band's ratio or better needs no lower band, whatever it does not meet scores less.
 """
@@ -22,6 +22,8 @@ from formline.session import materialize
 
 #: Ratios where bands end; the cutoff is the last.
 BANDS = (0.75, 0.55)
+#: Tokens that prefixes are longer than they must be.
+EXTRA = 2
 _ROUNDING = 1e-9
 
 
@@ -48,31 +50,37 @@ MEASURES = {"edits": edit_score, "blocks": block_score}
 
 def token_rows(texts: DataFrame) -> DataFrame:
     """``id, size, token`` of ``id, text``: one row per character, numbered among its like."""
-    chars = texts.select("id", F.length("text").alias("size"), F.explode(F.split("text", "")).alias("char"))
+    chars = texts.where(F.col("text") != "").select("id", F.length("text").alias("size"), F.explode(F.split("text", "")).alias("char"))
     counts = chars.groupBy("id", "size", "char").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return counts.select("id", "size", F.explode(F.transform(
         F.sequence(F.lit(1), F.col("n")), lambda i: F.concat_ws("\x00", "char", i.cast("string")))).alias("token"))
 
 
 def rarest_first(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Adds ``place``, the place (from 1) of a token in its own text's order."""
-    order = Window.partitionBy("id").orderBy("freq", "token")
-    return tokens.join(frequency, "token").withColumn("place", F.row_number().over(order)).drop("freq")
+    """Adds ``key``, which sorts tokens rarest first, and ``place`` (from 1) in that order of its own text."""
+    order = Window.partitionBy("id").orderBy("key")
+    keyed = tokens.join(frequency, "token").withColumn("key", F.struct("freq", "token"))
+    return keyed.withColumn("place", F.row_number().over(order)).select("id", "size", "token", "key", "place")
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``id, other`` of the pairs whose sets may have a Dice ratio of ``least`` or more: all that have, and few more."""
+    """``id, other`` of the pairs whose sets may have a Dice ratio of ``least`` or more: all that have, and few more.
+
+    What two sets share beyond their prefixes follows the prefix that ends first, so shared tokens met and
+    the rest of that set bound the overlap; ``EXTRA`` tokens longer prefixes make the bound sharper.
+    """
     def prefix(rows: DataFrame) -> DataFrame:
         need = F.ceil(F.col("size") * (least / (2 - least)) - _ROUNDING)
-        return rows.where(F.col("place") <= F.col("size") - need + 1)
+        cut = F.least(F.col("size"), F.col("size") - need + 1 + EXTRA)
+        return (rows.withColumn("cut", cut).where(F.col("place") <= F.col("cut"))
+                .withColumn("end", F.max("key").over(Window.partitionBy("id"))))
 
-    other = prefix(right).select("token", F.col("id").alias("other"), F.col("size").alias("size2"), F.col("place").alias("place2"))
+    other = prefix(right).select("token", F.col("id").alias("other"), F.col("size").alias("size2"), F.col("cut").alias("cut2"), F.col("end").alias("end2"))
     fits = (F.col("size2") >= F.col("size") * (least / (2 - least)) - _ROUNDING) & (F.col("size2") <= F.col("size") * ((2 - least) / least) + _ROUNDING)
     met = prefix(left).join(other, "token").where(fits)
-    # The first shared token has both least places, as both sides keep one order.
-    firsts = met.groupBy("id", "other", "size", "size2").agg(F.min("place").alias("i"), F.min("place2").alias("j"))
-    overlap = F.least(F.col("size") - F.col("i"), F.col("size2") - F.col("j")) + 1
-    return firsts.where(overlap >= (F.col("size") + F.col("size2")) * (least / 2) - _ROUNDING).select("id", "other")
+    rest = F.when(F.col("end") < F.col("end2"), F.col("size") - F.col("cut")).otherwise(F.col("size2") - F.col("cut2"))
+    shared = met.groupBy("id", "other").agg(F.count(F.lit(1)).alias("met"), F.first(rest).alias("rest"), F.first(F.col("size") + F.col("size2")).alias("sizes"))
+    return shared.where(F.col("met") + F.col("rest") >= F.col("sizes") * (least / 2) - _ROUNDING).select("id", "other")
 
 
 def nearest_targets(names: DataFrame, targets: DataFrame, cutoff: float = 0.4, k: int = 3, measure: str = "edits") -> DataFrame:

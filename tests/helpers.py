@@ -132,3 +132,14 @@ def margin_walk(rows):
             elo[r[5]], elo[r[6]] = min(max(h + gain, 800), 2400), min(max(a - gain, 800), 2400)
             out[r[0]] = (h, a, elo[r[5]], elo[r[6]])
     return out
+
+
+def plain_bootstrap_weights(items, replicates, seed=42, prime=2 ** 31 - 1):
+    """Poisson(1) weights of items in replicates, a row per item."""
+    import math
+    import numpy as np
+    x = (items[:, None] % prime * 48271 + replicates[None, :] * 69621 + seed * 16807) % prime
+    for add in (replicates[None, :] + 1, 104729):
+        x = (x * x % prime * 40692 + x * 30269 + add) % prime
+    limits = [int(prime * sum(math.exp(-1) / math.factorial(i) for i in range(k))) for k in range(1, 10)]
+    return sum((x >= limit).astype(int) for limit in limits)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from formline import constants as K
 from formline.operators import compare as C, metrics as M, models as MD, splits as SP
 from formline.sinks import runs as RN
+from helpers import plain_bootstrap_weights
 
 
 def test_time_series_folds(spark):
@@ -127,14 +128,25 @@ def test_bootstrap_matches_plain_bootstrap(spark, n):
     assert got["brier_delta"]["ci_high"] == pytest.approx(-low, abs=near)
 
 
-def test_bootstrap_weights_are_poisson_and_independent():
-    w = C.bootstrap_weights(np.arange(4000) * 3 + 10 ** 12, np.arange(300))
+def test_bootstrap_weights_are_poisson_and_independent(spark):
+    items = spark.range(4000).selectExpr("id * 3 + 1000000000000 AS item").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(299)).cast("array<long>")))
+    rows = items.withColumn("x", C._mixed(F.col("item"), F.col("b"), C.SEED)).select("item", "b", C.poisson_weight(F.col("x")).alias("w"))
+    w = rows.orderBy("item", "b").toPandas()["w"].to_numpy().reshape(4000, 300)
+    assert (w == plain_bootstrap_weights(np.arange(4000) * 3 + 10 ** 12, np.arange(300))).all()
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     assert [abs((w == k).mean() - np.exp(-1) / f) < 0.003 for k, f in ((0, 1), (1, 1), (2, 2), (3, 6))] == [True] * 4
     assert np.abs(np.corrcoef(w[:, :40].T) - np.eye(40)).max() < 0.08
     assert np.abs(np.corrcoef(w[:40]) - np.eye(40)).max() < 0.3
 
 
+def test_bootstrap_buckets_hold_every_row_once(spark):
+    df = spark.range(50_000).selectExpr("id AS pos", "id % 7 - 3.0D AS ll_delta", "1.0D AS brier_delta")
+    got = C.bootstrap_buckets(df).toPandas()
+    assert len(got) == C.BUCKETS and got["n"].sum() == 50_000 and got["brier_delta"].sum() == 50_000
+    assert abs(got["n"].var() / got["n"].mean() - 1) < 0.1
+    assert got["ll_delta"].sum() == pytest.approx(sum(i % 7 - 3.0 for i in range(50_000)))
+
+
 def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([(i, 1, 0, float(i % 7 - 3), 0.0) for i in range(100)],
                                "pos long, fold int, y_true int, ll_delta double, brier_delta double")
