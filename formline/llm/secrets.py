@@ -53,6 +53,12 @@ CLASSES = {"hex": "^([0-9a-f]+|[0-9A-F]+)$", "alnum": "^[A-Za-z0-9]+$", "base64"
 ALLOWED = ("^[^0-9]*$", "^[0-9_=+/-]+$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
            "^/?([a-z]+[0-9]*[/_=-]+)+[a-z]*[0-9]*$", "^[a-z]+[0-9]{1,4}$", "^[A-Z]+[0-9]{1,4}$",
            "[eE][xX][aA][mM][pP][lL][eE]", "(xxxx|XXXX|----|====|____)")
+#: The same as one of these for Java's matcher, which recurses into repeated groups: words of letters then digits
+#: between separators, digits alone only at the end.
+WITHOUT_REPEATED_GROUPS = {
+    "^/?([a-z]+[0-9]*[/_=-]+)+[a-z]*[0-9]*$":
+        "^(?!.*[0-9][a-z])(?!.*[/_=-][0-9]+[/_=-])/?[a-z]+[0-9]*[/_=-][a-z0-9/_=-]*$",
+}
 
 
 def weight(count: int) -> int:
@@ -81,25 +87,24 @@ def found(pattern: str, keep: str = "true") -> str:
 
 def least_weight(candidate: str) -> str:
     """SQL for the least sum of weights of all windows of a candidate, by incremental counts."""
-    place = lambda i: f"instr('{ALPHABET}', substr({candidate}, {i}, 1)) - 1"
     table = "array(" + ", ".join(f"{weight(c)}L" for c in range(WINDOW + 1)) + ")"
-    return f"""aggregate(sequence(1, length({candidate})),
+    return f"""transform(array(transform(split({candidate}, ''), c -> instr('{ALPHABET}', c) - 1)), places -> aggregate(sequence(0, size(places) - 1),
         CAST(struct(array_repeat(0, {len(ALPHABET)}) AS counts, 0L AS total, {2 ** 40}L AS least)
              AS STRUCT<counts: ARRAY<INT>, total: BIGINT, least: BIGINT>),
-        (acc, i) -> transform(array(struct({place('i')} AS new, CASE WHEN i > {WINDOW} THEN {place(f'i - {WINDOW}')} ELSE -1 END AS old)),
+        (acc, i) -> transform(array(struct(places[i] AS new, CASE WHEN i >= {WINDOW} THEN places[i - {WINDOW}] ELSE -1 END AS old)),
             e -> CASE WHEN e.new = e.old THEN acc ELSE transform(array(
                 acc.total + {table}[acc.counts[e.new] + 1] - {table}[acc.counts[e.new]]
                 + CASE WHEN e.old >= 0 THEN {table}[acc.counts[e.old] - 1] - {table}[acc.counts[e.old]] ELSE 0L END),
                 total -> struct(
                     transform(acc.counts, (c, k) -> c + CASE WHEN k = e.new THEN 1 WHEN k = e.old THEN -1 ELSE 0 END) AS counts,
-                    total AS total, CASE WHEN i >= {WINDOW} THEN least(acc.least, total) ELSE acc.least END AS least))[0] END)[0],
-        acc -> acc.least)"""
+                    total AS total, CASE WHEN i >= {WINDOW - 1} THEN least(acc.least, total) ELSE acc.least END AS least))[0] END)[0],
+        acc -> acc.least))[0]"""
 
 
 def is_random(candidate: str) -> str:
     """SQL for whether a candidate's entropy makes it a secret."""
     limit = "CASE " + " ".join(f"WHEN {candidate} RLIKE '{CLASSES[c]}' THEN {most(bits)}L" for c, bits in THRESHOLDS.items()) + " END"
-    allowed = " OR ".join(f"{candidate} RLIKE '{p}'" for p in ALLOWED)
+    allowed = " OR ".join(f"{candidate} RLIKE '{WITHOUT_REPEATED_GROUPS.get(p, p)}'" for p in ALLOWED)
     return f"NOT ({allowed}) AND {least_weight(candidate)} <= {limit}"
 
 

@@ -74,3 +74,21 @@ def test_redaction_rows_and_empty_table(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = secrets.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_long_texts_of_every_allowed_shape(spark):
+    shapes = ["a1/", "ab_", "/x9=", "0_1", "x", "A", "9", "=", "abcdef12/"]
+    check(spark, [shape * (1_000_000 // len(shape)) for shape in shapes] + ["a1/" * 4000 + "7", "a1/" * 4000 + "7a"])
+
+
+def test_long_candidates_take_time_in_proportion(spark):
+    rng = random.Random(3)
+    check(spark, ["".join(rng.choice(secrets.ALPHABET) for _ in range(150_000)), "abc-12-" * 20_000])
+
+
+def test_patterns_for_java_say_the_same():
+    rng = random.Random(4)
+    for pattern, other in secrets.WITHOUT_REPEATED_GROUPS.items():
+        for _ in range(20_000):
+            word = "".join(rng.choice("ab01/_-") for _ in range(rng.randrange(12)))
+            assert bool(re.search(pattern, word)) == bool(re.search(other, word)), word
