@@ -20,7 +20,7 @@ from formline.operators import compare as C, metrics as M, models as MD, splits
 from formline.operators.ratings import EloWalk
 from formline.plans.experiment import run_record
 from formline.plans.predict import fixture_features, predict_fixtures
-from formline.session import materialize
+from formline.session import materialize, new_path
 from formline.sinks import reports as R, runs as RN
 
 CTES["ordered"] = "SELECT *, row_number() OVER (ORDER BY batch_ts, match_id) - 1 AS pos, (SELECT count(*) FROM matches) AS n FROM batched"
@@ -465,22 +465,16 @@ def cmp_verdict(spark, sf_dir):
 SELECT pos, fold, y_true, {r('p_away')} AS p_away, {r('p_draw')} AS p_draw, {r('p_home')} AS p_home FROM oof"""))
 def snk_oof(spark, sf_dir):
     """Predictions written as CSV and read back."""
-    path = _new_path(spark)
+    path = new_path(spark)
     RN.write_oof(goal_oof(spark, sf_dir), path)
     return _oof_rounded(RN.read_oof(spark, path))
 
 
-def _new_path(spark) -> str:
-    import uuid
-    from formline.session import shared_folder
-    return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
-
-
 @query("snk_runlog", with_ctes(["oof"], f"""
 SELECT 'goals' AS name, count(*) AS oof_n, {r('avg(br)')} AS brier_multiclass, 5 AS n_folds FROM oof"""))
 def snk_runlog(spark, sf_dir):
     """Run records appended as JSON lines; the latest one of a name read back."""
-    path = _new_path(spark)
+    path = new_path(spark)
     folds = goal_folds(spark, sf_dir)
     oof = folds.filter("fold >= 1")
     for day in (1, 2):
@@ -492,11 +486,26 @@ def snk_runlog(spark, sf_dir):
 
 @query("snk_importance")
 def snk_importance(spark, sf_dir):
-    path = _new_path(spark)
+    path = new_path(spark)
     R.write_importance(mdl_importance(spark, sf_dir), path)
     return spark.read.csv(path, header=True, schema="feature string, importance double")
 
 
-@query("snk_input_hash")
+@query("snk_input_hash", """
+SELECT month, sum(strlen(line) + 1)::BIGINT AS length, sha256(string_agg(line || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM (
+  SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderkey || ';' || o_custkey || ';' || o_orderstatus || ';' || o_orderpriority AS line FROM orders)
+GROUP BY month""")
 def snk_input_hash(spark, sf_dir):
+    """Digests of text files, one file per month of orders."""
+    path = new_path(spark)
+    rows = T.table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", F.concat_ws(";", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("value"))
+    rows.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", "value").write.partitionBy("month").text(path)
+    found = RN.file_digests(spark, path)
+    return found.select(F.regexp_extract("file", "month=([^/]+)/", 1).alias("month"), "length", "sha256")
+
+
+@query("snk_input_hash_file")
+def snk_input_hash_file(spark, sf_dir):
+    """Digest of the files of a given table."""
     return RN.input_digests(spark, f"{sf_dir}/orders.parquet")

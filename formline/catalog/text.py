@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from formline import constants as K
 from formline.catalog import tables as T
 from formline.catalog.probability import _OUT, flat
-from formline.catalog.registry import query
+from formline.catalog.registry import ORACLES, query
 from formline.catalog.sql import CTES, DEPENDS, with_ctes
 from formline.functions import scores as S
 from formline.functions import text as X
 from formline.operators import entities as E
 from formline.operators.windows import points, team_rows
 from formline.operators.batching import assign_batches
+from formline.session import new_path
 from formline.sinks import history, reports as R
 from formline.sources import lines as L, matches as M, pages as P, reports as RP, standings as ST
 
@@ -571,9 +572,36 @@ SELECT strftime(date, '%d/%m/%Y') AS "Date", home AS "Home", away AS "Away", hg
 FROM matches WHERE odds_h IS NOT NULL
 UNION ALL SELECT "Date", "Home", "Away", "HG", "AG", NULL, "League" FROM fresh"""))
 def snk_append_new(spark, sf_dir):
+    """Two loads into a history, the second one repeated, and what is then read back."""
+    path = new_path(spark)
+    existing, incoming = _history(spark, sf_dir)
+    history.append_batch(spark, path, existing, "before")
+    for _ in range(2):
+        history.append_batch(spark, path, incoming, "reports")
+    return history.read_history(spark, path)
+
+
+@query("snk_append_sorted", ORACLES["snk_append_new"])
+def snk_append_sorted(spark, sf_dir):
+    """The whole history with the new rows, sorted by date."""
     return history.append_new(*_history(spark, sf_dir))
 
 
+@query("snk_append_loads", with_ctes(["fresh"], """
+SELECT 'before' AS batch, count(*) AS n_new, 0 AS n_files FROM matches WHERE odds_h IS NOT NULL
+UNION ALL SELECT 'reports', count(*), count(DISTINCT season) FROM fresh"""))
+def snk_append_loads(spark, sf_dir):
+    """What each load added; the repeated one added nothing."""
+    path = new_path(spark)
+    existing, incoming = _history(spark, sf_dir)
+    loads = (("before", existing), ("reports", incoming), ("reports", incoming))
+    added = [history.append_batch(spark, path, rows, name) for name, rows in loads]
+    if added[2]:
+        raise RuntimeError("a repeated load added rows")
+    done = [(d["batch"], d["n_new"], len(d["files"])) for d in history.commits(spark, path)]
+    return spark.createDataFrame(done, "batch string, n_new long, n_files int")
+
+
 @query("snk_append_files", with_ctes(["fresh"], "SELECT DISTINCT 'Resumen F' || season || '.pdf' AS source_file FROM fresh"))
 def snk_append_files(spark, sf_dir):
     return history.contributing_files(*_history(spark, sf_dir))

@@ -42,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return os.path.join(shared_folder(spark), f"out-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

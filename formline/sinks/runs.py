@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.operators.metrics import RECORD
+from formline.sources.files import file_digests
 
 OOF_SCHEMA = "pos long, fold int, y_true int, p_away double, p_draw double, p_home double"
 
@@ -38,6 +39,6 @@ def latest_run(runs: DataFrame, name: str) -> DataFrame:
 
 
 def input_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every input file, one task per file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """Name, length and SHA-256 of every input file, of any size."""
+    found = file_digests(spark, path)
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "length", "sha256")

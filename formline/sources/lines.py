@@ -1,23 +1,17 @@
 """Line-oriented feeds: glossaries, link lists, fixture lists.
 
-Each parser takes a frame of lines and returns rows; ``read_lines`` numbers the
-lines of text files. All parsing is native expressions.
+Each parser takes a frame of lines and returns rows; ``files.read_lines`` numbers the
+lines of text files of any size. All parsing is native expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions import text as T
 from formline.operators.entities import normalize_names
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of text files; each file is one small document, read as one row."""
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")))
-    return whole.select("file", "pos", F.col("col").alias("line"))
+from formline.sources.files import read_lines  # noqa: F401
 
 
 def _split_entry(line):
