@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,26 +40,41 @@ def _opening(states: pd.DataFrame) -> dict:
     return {t: (e, s) for t, e, s in zip(states["team"], states["elo"], states["season_no"])}
 
 
+def _codes(rows: pd.DataFrame, known) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Team names, and the rows' home and away teams as places in them."""
+    names, codes = np.unique(np.concatenate([np.array(list(known), object), rows["home"].to_numpy(object), rows["away"].to_numpy(object)]), return_inverse=True)
+    n = len(rows)
+    return list(names), codes[-2 * n:-n], codes[-n:]
+
+
 def _walk_batches(rows: pd.DataFrame, states: pd.DataFrame):
-    """Batch walk of one chunk: yields (batch, team, rating before) and ends with
-    the closing ratings. Deltas of a batch are summed, then applied."""
-    ratings = {t: e for t, (e, _) in _opening(states).items()}
-    before = []
+    """Batch walk of one chunk: (batch, team, rating before) columns, and the closing ratings.
+
+    A batch is a few vector operations: gains of its rows from the ratings before it, added up by team in row
+    order (home, then away), then applied.
+    """
+    opening = _opening(states)
     rows = rows.sort_values(["batch_ts", "home", "away", "res"], kind="stable")
-    for ts, batch in rows.groupby("batch_ts", sort=True):
-        change: dict[str, float] = {}
-        for home, away, res, n in zip(batch["home"], batch["away"], batch["res"], batch["n"]):
-            rh, ra = ratings.get(home, K.BASE_ELO), ratings.get(away, K.BASE_ELO)
-            gain = K.K_FACTOR * (res / 2.0 - _expected(rh, ra))
-            up = _bound(rh + gain, K.ELO_MIN, K.ELO_MAX) - rh
-            down = _bound(ra - gain, K.ELO_MIN, K.ELO_MAX) - ra
-            change[home] = change.get(home, 0.0) + n * up
-            change[away] = change.get(away, 0.0) + n * down
-        for team, delta in change.items():
-            old = ratings.get(team, K.BASE_ELO)
-            before.append((ts, team, old))
-            ratings[team] = _bound(old + delta, K.ELO_MIN, K.ELO_MAX)
-    return before, {t: (e, 0) for t, e in ratings.items()}
+    names, home, away = _codes(rows, opening)
+    ratings = np.array([opening[t][0] if t in opening else K.BASE_ELO for t in names])
+    stamps, batch = np.unique(rows["batch_ts"].to_numpy(), return_inverse=True)
+    edges = np.searchsorted(batch, np.arange(len(stamps) + 1))
+    score, count = rows["res"].to_numpy() / 2.0, rows["n"].to_numpy().astype(float)
+    teams = np.column_stack([home, away]).ravel()
+    pairs = np.unique(np.repeat(batch, 2) * len(names) + teams)
+    where, who = pairs // len(names), pairs % len(names)
+    parts, before = np.searchsorted(where, np.arange(len(stamps) + 1)), np.empty(len(pairs))
+    for i in range(len(stamps)):
+        at, part = slice(edges[i], edges[i + 1]), slice(parts[i], parts[i + 1])
+        rh, ra = ratings[home[at]], ratings[away[at]]
+        gain = K.K_FACTOR * (score[at] - 1.0 / (1.0 + 10.0 ** ((ra - rh - K.HOME_ADVANTAGE) / K.ELO_DIVISOR)))
+        moves = np.column_stack([np.clip(rh + gain, K.ELO_MIN, K.ELO_MAX) - rh, np.clip(ra - gain, K.ELO_MIN, K.ELO_MAX) - ra])
+        change = np.bincount(teams[2 * at.start:2 * at.stop], (moves * count[at, None]).ravel(), len(names))
+        here = who[part]
+        before[part] = ratings[here]
+        ratings[here] = np.clip(ratings[here] + change[here], K.ELO_MIN, K.ELO_MAX)
+    table = {"batch_ts": stamps[where], "team": np.array(names, object)[who], "elo": before}
+    return table, {t: (float(e), 0) for t, e in zip(names, ratings)}
 
 
 def _margin(goal_gap: int) -> float:
@@ -76,8 +92,8 @@ def _walk_matches(rows: pd.DataFrame, states: pd.DataFrame):
         return K.BASE_ELO + (elo - K.BASE_ELO) * keep ** (season - seen)
 
     rows = rows.sort_values("pos", kind="stable")
-    for match, home, away, hg, ag, season in zip(
-            rows["match_id"], rows["home"], rows["away"], rows["hg"], rows["ag"], rows["season_no"]):
+    columns = [rows[c].tolist() for c in ("match_id", "home", "away", "hg", "ag", "season_no")]
+    for match, home, away, hg, ag, season in zip(*columns):
         rh, ra = now(home, season), now(away, season)
         score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
         damp = 2.2 / (abs(rh + K.HOME_ADVANTAGE - ra) * 0.001 + 2.2)
@@ -121,24 +137,33 @@ def _opening_states(closing: DataFrame) -> DataFrame:
     ).filter(F.col("elo").isNotNull())
 
 
-def settle_openings(chunked: DataFrame, walk: Callable, tolerance: float = SETTLED) -> DataFrame:
-    """Opening ratings of all (league, chunk) groups, iterated until they stand still."""
+def settle_openings(chunked: DataFrame, walk: Callable, tolerance: float = SETTLED) -> tuple[DataFrame, DataFrame]:
+    """(opening, closing) ratings of all (league, chunk) groups, iterated until no opening moves.
+
+    A round walks only the chunks whose opening moved in the round before; the others close as they did.
+    """
     spark = chunked.sparkSession
-    opening = spark.createDataFrame([], STATE)
+    opening, closing, dirty = spark.createDataFrame([], STATE), None, None
     bounds = chunked.groupBy("league").agg((F.max("chunk") - F.min("chunk")).alias("n"))
     rounds = bounds.agg(F.max("n")).first()[0] or 0
-    for _ in range(rounds):
-        closing = chunked.groupBy("league", "chunk").cogroup(
-            opening.groupBy("league", "chunk")).applyInPandas(_closing(walk), STATE)
+    for _ in range(rounds + 1):
+        sides = (chunked, opening) if dirty is None else (t.join(dirty, ["league", "chunk"], "left_semi") for t in (chunked, opening))
+        rows, states = (t.groupBy("league", "chunk") for t in sides)
+        walked = rows.cogroup(states).applyInPandas(_closing(walk), STATE)
+        if not rounds:
+            return opening, walked
+        if dirty is not None:
+            walked = walked.unionByName(closing.join(dirty, ["league", "chunk"], "left_anti"))
+        closing = materialize(walked)
         fresh = materialize(_opening_states(closing))
         old = opening.select("league", "chunk", "team", F.col("elo").alias("was"))
         moved = fresh.join(old, ["league", "chunk", "team"], "left").filter(
             F.abs(F.col("elo") - F.coalesce(F.col("was"), F.lit(float("inf")))) > tolerance)
-        done = moved.isEmpty()
+        dirty = materialize(moved.select("league", "chunk").distinct())
         opening = fresh
-        if done:
+        if dirty.isEmpty():
             break
-    return opening
+    return opening, closing
 
 
 def _chunk_batches(edges: DataFrame, chunk_rows: int) -> DataFrame:
@@ -161,7 +186,7 @@ class EloWalk:
 
     def __init__(self, batched: DataFrame, chunk_rows: int = CHUNK_ROWS):
         self.edges = materialize(_chunk_batches(counted_results(batched), chunk_rows))
-        self.opening = settle_openings(self.edges, _walk_batches)
+        self.opening, self.closing = settle_openings(self.edges, _walk_batches)
 
     def _groups(self):
         return self.edges.groupBy("league", "chunk").cogroup(self.opening.groupBy("league", "chunk"))
@@ -174,8 +199,7 @@ class EloWalk:
 
     def final(self) -> DataFrame:
         """(league, team, elo): the rating after the team's last batch."""
-        closing = self._groups().applyInPandas(_closing(_walk_batches), STATE)
-        return closing.groupBy("league", "team").agg(F.max_by("elo", "chunk").alias("elo"))
+        return self.closing.groupBy("league", "team").agg(F.max_by("elo", "chunk").alias("elo"))
 
 
 def with_season_number(matches: DataFrame) -> DataFrame:
@@ -195,8 +219,8 @@ def margin_ratings(batched: DataFrame, chunk_rows: int = CHUNK_ROWS, row_id: str
     # Positions run league by league, so a fixed number of them makes a chunk and
     # chunk numbers rise inside every league.
     placed = with_ordinal(rows, ["league", "batch_ts", "match_id"], "pos")
-    chunked = materialize(placed.withColumn("chunk", F.floor(F.col("pos") / chunk_rows)).drop("batch_ts"))
-    opening = settle_openings(chunked, _walk_matches)
+    chunked = placed.withColumn("chunk", F.floor(F.col("pos") / chunk_rows)).drop("batch_ts")
+    opening, _ = settle_openings(chunked, _walk_matches)
     names = ["match_id", "home_before", "away_before", "home_after", "away_after"]
     schema = "league string, match_id long, " + ", ".join(f"{n} double" for n in names[1:])
     return chunked.groupBy("league", "chunk").cogroup(
