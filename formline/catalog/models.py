@@ -18,7 +18,7 @@ from formline.catalog.text import standings_rows
 from formline.functions import scores as S
 from formline.operators import compare as C, metrics as M, models as MD, splits as SP, windows as W
 from formline.operators.ratings import EloWalk
-from formline.plans.experiment import run_record
+from formline.plans.experiment import compare_runs, logged_run, run_record
 from formline.plans.predict import fixture_features, predict_fixtures
 from formline.session import materialize, new_path
 from formline.sinks import reports as R, runs as RN
@@ -484,6 +484,52 @@ def snk_runlog(spark, sf_dir):
                        F.size("folds").alias("n_folds"))
 
 
+def _run_log(spark, sf_dir) -> str:
+    """A log of two runs and one that fails."""
+    log = new_path(spark)
+    folds = goal_folds(spark, sf_dir)
+
+    def run(name: str, oof: DataFrame):
+        return lambda: (oof, run_record(name, oof, folds, 2, stamp=STAMP))
+
+    def fails():
+        raise ValueError("no features")
+
+    base, variant = _variant(spark, sf_dir)
+    logged_run(spark, log, "goals", run("goals", base))
+    logged_run(spark, log, "corrected", run("corrected", variant))
+    logged_run(spark, log, "broken", fails, stamp=STAMP)
+    return log
+
+
+@query("snk_runlog_folds", with_ctes(["folds", "oof", "dcoof"], f"""
+SELECT name, f.fold, f.low AS train_n, f.n AS val_n, t.since AS train_since, t.until AS train_until, f.since AS val_since, f.until AS val_until,
+  f.low AS first_index, f.high AS last_index, {r('l')} AS log_loss, (SELECT count(*) FROM matches) AS rows_eligible, false AS failed
+FROM (SELECT fold, min(pos) AS low, max(pos) AS high, count(*) AS n, min(date)::VARCHAR AS since, max(date)::VARCHAR AS until FROM folds WHERE fold >= 1 GROUP BY fold) f
+JOIN (SELECT s.fold, min(x.date)::VARCHAR AS since, max(x.date)::VARCHAR AS until FROM {_STARTS} s JOIN folds x ON x.pos < s.start GROUP BY s.fold) t ON t.fold = f.fold
+JOIN (SELECT 'goals' AS name, fold, avg(ll) AS l FROM oof GROUP BY fold UNION ALL SELECT 'corrected', fold, avg(ll) FROM dcoof GROUP BY fold) s ON s.fold = f.fold
+UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true"""))
+def snk_runlog_folds(spark, sf_dir):
+    """All records of a log, one row per fold; the failed run has none."""
+    runs = RN.read_runs(spark, f"{_run_log(spark, sf_dir)}/runs")
+    rows = runs.select("name", "error", "data.rows_eligible", F.explode_outer("folds").alias("f"))
+    return rows.select(
+        "name", "f.fold", "f.train_n", "f.val_n", F.col("f.train_date_range")[0].alias("train_since"), F.col("f.train_date_range")[1].alias("train_until"),
+        F.col("f.val_date_range")[0].alias("val_since"), F.col("f.val_date_range")[1].alias("val_until"), F.col("f.val_index_range")[0].alias("first_index"),
+        F.col("f.val_index_range")[1].alias("last_index"), F.round("f.log_loss", 6).alias("log_loss"), "rows_eligible", F.col("error").isNotNull().alias("failed"))
+
+
+@query("cmp_by_name", with_ctes(["dcoof"], f"""
+SELECT 'goals_20260101T000000Z' AS baseline, 'corrected_20260101T000000Z' AS variant, b.fold, count(*) AS n, {r('avg(v.ll - b.ll)')} AS ll_delta,
+  {r('avg(v.br - b.br)')} AS brier_delta FROM oof b JOIN dcoof v ON v.pos = b.pos GROUP BY b.fold"""))
+def cmp_by_name(spark, sf_dir):
+    """Two runs of a log compared by their names."""
+    deltas = compare_runs(spark, _run_log(spark, sf_dir), "goals", "corrected")
+    out = deltas.groupBy("baseline", "variant", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ll_delta").alias("ll_delta"), F.avg("brier_delta").alias("brier_delta"))
+    return rounded(out, "baseline", "variant", "fold", "n", ll_delta="ll_delta", brier_delta="brier_delta")
+
+
 @query("snk_importance")
 def snk_importance(spark, sf_dir):
     path = new_path(spark)

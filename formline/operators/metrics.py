@@ -125,10 +125,12 @@ def baselines(folds: DataFrame) -> DataFrame:
     return naive.join(market, "fold", "left")
 
 
-FOLD = "struct<fold:int,train_n:long,val_n:long,accuracy:double,log_loss:double>"
+FOLD = ("struct<fold:int,train_n:long,val_n:long,train_date_range:array<string>,val_date_range:array<string>,"
+        "val_index_range:array<long>,accuracy:double,log_loss:double>")
 RECORD = (
     "experiment_id string, name string, timestamp_utc string, notes string, "
     "config struct<model_type:string,n_features:int,n_splits:int,draw_sample_weight:double>, "
+    "data struct<rows_raw:long,rows_eligible:long>, "
     f"folds array<{FOLD}>, "
     "aggregate struct<oof_n:long,mean_accuracy:double,std_accuracy:double,mean_log_loss:double,"
     "std_log_loss:double,brier_multiclass:double,oof_accuracy:double>, error string, oof_file string"

@@ -76,15 +76,22 @@ def report_results(docs: DataFrame, pages: str = "pages", glossary: DataFrame |
     return parse_result_lines(rows.drop("lines", pages).filter(F.col("line").isNotNull()), glossary=glossary)
 
 
-def _pairs(text: Column, pattern: str, groups: list[tuple[str, int]]) -> Column:
-    """Array of structs with the named capture groups of every match.
+#: ``SQUAD_INLINE`` for Java's matcher, which recurses into groups that may give back: a run of names is taken whole,
+#: with its bracket if it has one (a run that fails at its end fails from any of its names). Runs without one are left out.
+INLINE_RUN = (K.SQUAD_INLINE.replace("]+(?:", "]++(?:").replace("]+)+)", "]++)++)")
+              .replace(r"\s*\(", r"(?:\s*+\(").replace(r"\)", r"\))?+"))
+
+
+def _pairs(text: Column, pattern: str, groups: list[tuple[str, int]], end: str = "") -> Column:
+    """Array of structs with the named capture groups of every match that ends with ``end``.
 
     The text is searched once; the groups come from the short matches.
     """
     def entry(hit: Column) -> Column:
         return F.struct(*[F.regexp_replace(F.regexp_extract(hit, pattern, g), r"^\s+|\s+$", "").alias(n) for n, g in groups])
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), entry)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(F.filter(hits, lambda h: F.endswith(h, F.lit(end))) if end else hits, entry)
 
 
 def squad_lists(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,7 +99,7 @@ def squad_lists(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.col(text)
     rows = docs.withColumns({
         "structured": _pairs(body, "(?iu)" + K.SQUAD_STRUCTURED, [("pos", 1), ("name", 2), ("club", 3)]),
-        "inline": _pairs(body, K.SQUAD_INLINE, [("name", 1), ("club", 2)]),
+        "inline": _pairs(body, INLINE_RUN, [("name", 1), ("club", 2)], ")"),
         "machine_readable": F.length(F.regexp_replace(body, r"^\s+|\s+$", "")) > 200,
     })
     n_s, n_i = F.size("structured"), F.size("inline")

@@ -266,3 +266,14 @@ def test_coverage_in_either_order(spark):
     ref = spark.createDataFrame([("B", "A", "1"), ("B", "A", "1")], "home string, away string, season string")
     got = {(r["level"], r["value"]): (r["matches"], r["covered"]) for r in Q.coverage(m, ref).collect()}
     assert got["overall", "all"] == (4, 2) and got["team", "C"] == (1, 0) and got["season", "1"] == (3, 2)
+
+
+def test_long_runs_of_names(spark):
+    docs = [(1, "Aa " * 60_000), (2, "Aa " * 20_000 + "(Club Name)"), (3, "Juan Perez Gomez (Boca) y Solo (X Y Z) Ana Paz ( a ) Eva Sol (ab) McDonald Lee(Foo)")]
+    got = {}
+    for r in RP.squad_entries(spark.createDataFrame(docs, "doc_id int, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["name"], r["club"]))
+    assert 1 not in got and len(got[2]) == 1 and got[2][0][1] == "Club Name" and len(got[2][0][0]) == 59_999
+    import re
+    from formline import constants as K
+    assert got[3] == [(m[1].strip(), m[2].strip()) for m in re.finditer(K.SQUAD_INLINE, docs[2][1])]
