@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text
-from formline.llm.units import fill, forget_long, merged, odd, slices, worker_store
+from formline.llm.units import fill, forget_long, merged, odd, slices, text_slices, worker_store
 from formline.session import materialize
 
 CAPACITY, END = 2048, 0
@@ -114,10 +114,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def cut(batches):
         held = worker_store("byte_encoders")
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             encoder = held.get(path) or held.setdefault(path, ByteEncoder(spec.value))
             rows: list[list[int]] = [[], [], [], [], []]
-            for i, ids in enumerate(encoder.ids(texts)):
+            encoded = (ids for _, _, texts in text_slices(batch.column(1)) for ids in encoder.ids(texts))
+            for i, ids in enumerate(encoded):
                 ids += end.to_bytes(4, "little")
                 total, view, start = len(ids) // 4, memoryview(ids), 0
                 stop, piece = total % capacity or capacity, 0
