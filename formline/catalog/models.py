@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import constants as K
@@ -19,6 +19,7 @@ from formline.functions import scores as S
 from formline.operators import compare as C, metrics as M, models as MD, splits as SP, windows as W
 from formline.operators.ratings import EloWalk
 from formline.plans.experiment import compare_runs, logged_run, run_record
+from formline.plans.training import train_production
 from formline.plans.predict import fixture_features, predict_fixtures
 from formline.session import materialize, new_path
 from formline.sinks import reports as R, runs as RN
@@ -107,6 +108,35 @@ def mdl_fit_oof(spark, sf_dir):
     return _oof_rounded(MD.cross_validate(feature_folds(spark, sf_dir), K.FEATURE_COLUMNS))
 
 
+_SEGMENTED = {
+    "seg": """SELECT date, season, CAST(sum(st) OVER (ORDER BY date, season) AS INTEGER) - 1 AS segment FROM (
+      SELECT *, CASE WHEN lag(date) OVER o IS NULL OR date - lag(date) OVER o > 21 OR season <> lag(season) OVER o THEN 1 ELSE 0 END AS st
+      FROM (SELECT DISTINCT date, season FROM matches) WINDOW o AS (ORDER BY date, season))""",
+    "sfolds": f"""SELECT pos, res, {_FOLD_OF} FROM (SELECT o.pos, o.res, g.segment, max(g.segment) OVER () + 1 AS s
+      FROM ordered o JOIN seg g ON g.date = o.date AND g.season = o.season)"""}
+
+
+@query("mdl_production", with_ctes(["ordered"], f"""
+SELECT t.fold, start - greatest(start // 10, 1) AS n_train, greatest(start // 10, 1) AS n_held, n AS n_tested, NULL AS p_home
+FROM (SELECT fold, min(pos) AS start, count(*) AS n FROM sfolds WHERE fold IS NOT NULL GROUP BY fold) t
+UNION ALL SELECT NULL, count(*), 0, 0, {r('avg(CASE WHEN res = 2 THEN 1.0 ELSE 0.0 END)')} FROM sfolds""", _SEGMENTED))
+def mdl_production(spark, sf_dir):
+    """Rows that each fit of the production training saw; the final model's mean probability is the share of home wins."""
+    rows = feature_table(spark, sf_dir)
+    model, _, lines = train_production(rows, ["batch_ts", "match_id"])
+    scored = model.with_probabilities(rows)
+    last = scored.agg(F.lit(None).cast("int").alias("fold"), F.count(F.lit(1)).alias("n_train"), F.lit(0).cast("long").alias("n_held"),
+                      F.lit(0).cast("long").alias("n_tested"), F.round(F.avg("p_home"), 6).alias("p_home"))
+    return lines.select("fold", "n_train", "n_held", "n_tested", F.lit(None).cast("double").alias("p_home")).unionByName(last)
+
+
+@query("mdl_production_scores")
+def mdl_production_scores(spark, sf_dir):
+    """Accuracy and log loss of the production training by fold."""
+    _, _, lines = train_production(feature_table(spark, sf_dir), ["batch_ts", "match_id"])
+    return rounded(lines, "fold", "n_tested", accuracy="accuracy", log_loss="log_loss")
+
+
 @query("mdl_weights", with_ctes(["matches"], "SELECT match_id, res, CASE WHEN res = 1 THEN 0.7 ELSE 1.0 END AS w, 1.0 AS w_uniform FROM matches"))
 def mdl_weights(spark, sf_dir):
     return T.matches(spark, sf_dir).select("match_id", "res", MD.class_weight(F.col("res")).alias("w"),
@@ -250,7 +280,8 @@ def _fixture_inputs(spark, sf_dir) -> DataFrame:
     rows = batched(spark, sf_dir)
     table = standings_rows(spark, sf_dir).groupBy("league", "team").agg(
         F.max("points").alias("points"), F.sum("goals_for").alias("goals_for"), F.sum("goals_against").alias("goals_against"))
-    table = table.withColumn("position", F.lit(1))
+    place = Window.partitionBy("league").orderBy(F.desc("points"), F.desc(F.col("goals_for") - F.col("goals_against")), F.desc("goals_for"), "team")
+    table = table.withColumn("position", F.row_number().over(place))
     means = MD.feature_means(feature_table(spark, sf_dir)).first().asDict()
     return fixture_features(upcoming(spark, sf_dir), EloWalk(rows).final(), W.latest_state(rows), means, table)
 

@@ -214,19 +214,29 @@ FROM rated r JOIN venue h ON h.match_id = r.match_id AND h.is_home JOIN venue a
 DEPENDS["biv"] = ["rated", "venue"]
 
 
-@query("prob_biv_lambda", with_ctes(["biv"], f"""
-SELECT match_id, {r('gap', P)} AS elo_diff, {r('tax', P)} AS travel_penalty,
-  {r('exp(0.15 + 0.0012 * gap + 0.45 * ln(greatest(0.2, hgf)) + 0.35 * ln(greatest(0.2, aga)))', P)} AS lambda_home,
-  {r('exp(-0.10 - 0.0012 * gap + 0.45 * ln(greatest(0.2, agf)) + 0.35 * ln(greatest(0.2, hga)) - tax)', P)} AS lambda_away FROM biv"""))
+CTES["bivl"] = f"""
+SELECT match_id, gap, tax, exp(0.15 + 0.0012 * gap + 0.45 * ln(greatest(0.2, hgf)) + 0.35 * ln(greatest(0.2, aga))) AS lam_h,
+  exp(-0.10 - 0.0012 * gap + 0.45 * ln(greatest(0.2, agf)) + 0.35 * ln(greatest(0.2, hga)) - tax) AS lam_a FROM biv"""
+DEPENDS["bivl"] = ["biv"]
+
+
+@query("prob_biv_lambda", with_ctes(["bivl"], f"""
+SELECT b.match_id, 1200.0 + b.match_id % 600 AS home_elo, 1200.0 + b.match_id * 7 % 600 AS away_elo, {r('gap', P)} AS elo_diff, {r('tax', P)} AS travel_penalty,
+  {r('lam_h', P)} AS lambda_home, {r('lam_a', P)} AS lambda_away, c.* EXCLUDE (match_id) FROM bivl b JOIN (
+    SELECT match_id, {_CLASS}, {r('sum(i * p)', P)} AS expected_home_goals, {r('sum(j * p)', P)} AS expected_away_goals FROM cells GROUP BY match_id) c
+  ON c.match_id = b.match_id""", {
+    "cells": cells_sql("bivl", "greatest(0.1, lam_h)", "greatest(0.1, lam_a)", tau_sql("i", "j", "lh", "la", "-0.06"), "0")}))
 def prob_biv_lambda(spark, sf_dir):
+    """All eleven values of the bivariate model."""
     key = F.col("match_id")
     rows = W.with_venue(batched(spark, sf_dir)).fillna(K.BASE_GOAL_RATE, [
         f"{s}_Venue_{k}" for s in ("Home", "Away") for k in ("GF", "GA")])
     rows = rows.withColumns({"elo_h": 1200.0 + key % 600, "elo_a": 1200.0 + key * 7 % 600})
-    out = S.with_bivariate_lambdas(rows, "elo_h", "elo_a", "Home_Venue_GF", "Home_Venue_GA", "Away_Venue_GF",
-                                   "Away_Venue_GA", (key % 2000).cast("double"))
-    return rounded(out, "match_id", digits=P, elo_diff="Biv_Elo_Diff", travel_penalty="Travel_Penalty",
-                   lambda_home="Lambda_Home", lambda_away="Lambda_Away")
+    out = S.with_bivariate_features(rows, "elo_h", "elo_a", "Home_Venue_GF", "Home_Venue_GA", "Away_Venue_GF",
+                                    "Away_Venue_GA", (key % 2000).cast("double"))
+    return rounded(out, "match_id", digits=P, home_elo="Home_Elo", away_elo="Away_Elo", elo_diff="Elo_Diff", travel_penalty="Travel_Penalty",
+                   lambda_home="Lambda_Home", lambda_away="Lambda_Away", p_home="Bivariate_P_Home", p_draw="Bivariate_P_Draw",
+                   p_away="Bivariate_P_Away", expected_home_goals="Expected_Home_Goals", expected_away_goals="Expected_Away_Goals")
 
 
 _PICK = """CASE WHEN ph >= pd AND ph >= pa THEN 2 WHEN pa >= pd AND pa >= ph THEN 0 ELSE 1 END"""

@@ -220,28 +220,50 @@ def prf_source_health(spark, sf_dir):
 
 _CANDIDATES = {"PPG5": "p5", "PPG10": "p10", "GD5": "g5", "GD10": "g10"}
 _EXISTING = {"Form8": "f8", "GD8": "g8", "EWMA_F2": "ef2", "EWMA_F4": "ef4", "EWMA_GD2": "eg2", "EWMA_GD4": "eg4"}
-_PAIRS = [(c, e) for c in _CANDIDATES for e in _EXISTING]
 
-
-@query("prf_feature_overlap", with_ctes(["trail5", "trail8", "trail10", "ewma"], f"""
-SELECT candidate, existing, round(v, 6) AS abs_r, CASE WHEN v >= 0.95 THEN 'redundant' WHEN v >= 0.85 THEN 'marginal' ELSE 'incremental' END AS band FROM (
-  {' UNION ALL '.join(f"SELECT '{c}' AS candidate, '{e}' AS existing, abs(corr({_CANDIDATES[c]}, {_EXISTING[e]})) AS v FROM w" for c, e in _PAIRS)})""", {
-    "w": """SELECT a.form AS p5, b.form AS p10, a.gf - a.ga AS g5, b.gf - b.ga AS g10, t.form AS f8, t.gf - t.ga AS g8,
+_SIDED = {
+    "w": """SELECT is_home, a.form AS p5, b.form AS p10, a.gf - a.ga AS g5, b.gf - b.ga AS g10, t.form AS f8, t.gf - t.ga AS g8,
       e.e2_Form AS ef2, e.e4_Form AS ef4, e.e2_GF - e.e2_GA AS eg2, e.e4_GF - e.e4_GA AS eg4
       FROM trail8 t JOIN trail5 a USING (match_id, is_home) JOIN trail10 b USING (match_id, is_home) JOIN ewma e USING (match_id, is_home)
-      WHERE is_home AND t.form IS NOT NULL"""}))
-def prf_feature_overlap(spark, sf_dir):
-    """How far rolling windows repeat the existing form signals (home side)."""
+      WHERE t.form IS NOT NULL""",
+    "rs": " UNION ALL ".join(
+        f"SELECT CASE WHEN is_home THEN 'home' ELSE 'away' END AS side, '{c}' AS candidate, '{o}' AS other, '{kind}' AS kind, abs(corr({x}, {y})) AS v FROM w GROUP BY is_home"
+        for c, x in _CANDIDATES.items() for kind, group in (("existing", _EXISTING), ("candidate", _CANDIDATES)) for o, y in group.items() if o != c),
+}
+_BAND = "CASE WHEN v >= 0.95 THEN 'redundant' WHEN v >= 0.85 THEN 'marginal' ELSE 'incremental' END"
+
+
+def _overlaps(spark, sf_dir) -> DataFrame:
+    """Correlations of rolling windows with the existing form signals and with each other, for both sides."""
     rows = batched(spark, sf_dir)
     state = W.trailing_state(W.team_rows(rows), 8, halflives=(2, 4), rolling=(5, 10))
     cols = {"form": "Form8", "avg_gd": "GD8", "ewma2_form": "EWMA_F2", "ewma4_form": "EWMA_F4", "roll5_form": "PPG5",
             "roll10_form": "PPG10", "roll5_gd": "GD5", "roll10_gd": "GD10"}
     state = state.withColumns({f"EWMA_GD{h}": F.col(f"ewma{h}_gf") - F.col(f"ewma{h}_ga") for h in (2, 4)})
-    home = cols | {"EWMA_GD2": "EWMA_GD2", "EWMA_GD4": "EWMA_GD4"}
-    part = state.select("league", F.col("team").alias("home"), "batch_ts", *[F.col(c).alias(n) for c, n in home.items()])
-    wide = rows.join(part, ["league", "home", "batch_ts"]).dropna(subset=["Form8"])
-    out = Q.feature_overlap(wide, list(_CANDIDATES), list(_EXISTING))
-    return out.select("candidate", "existing", F.round("abs_r", 6).alias("abs_r"), "band")
+    cols = cols | {"EWMA_GD2": "EWMA_GD2", "EWMA_GD4": "EWMA_GD4"}
+    out = None
+    for side in ("home", "away"):
+        part = state.select("league", F.col("team").alias(side), "batch_ts", *[F.col(c).alias(n) for c, n in cols.items()])
+        wide = rows.join(part, ["league", side, "batch_ts"]).dropna(subset=["Form8"])
+        found = Q.feature_correlations(wide, [*_CANDIDATES, *_EXISTING])
+        found = Q.overlap_report(found, list(_CANDIDATES), list(_EXISTING)).withColumn("side", F.lit(side))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("prf_feature_overlap", with_ctes(["trail5", "trail8", "trail10", "ewma"], f"""
+SELECT side, candidate, other, kind, round(v, 6) AS abs_r, {_BAND} AS band FROM rs""", _SIDED))
+def prf_feature_overlap(spark, sf_dir):
+    return _overlaps(spark, sf_dir).select("side", "candidate", "other", "kind", F.round("abs_r", 6).alias("abs_r"), "band")
+
+
+@query("prf_overlap_verdict", with_ctes(["trail5", "trail8", "trail10", "ewma"], f"""
+SELECT side, candidate, round(v, 6) AS max_r, other AS nearest, {_BAND} AS verdict FROM (
+  SELECT side, candidate, max(v) AS v, arg_max(other, v) AS other FROM rs WHERE kind = 'existing' GROUP BY side, candidate)""", _SIDED))
+def prf_overlap_verdict(spark, sf_dir):
+    """Per side and candidate, what it repeats most."""
+    out = Q.overlap_verdicts(_overlaps(spark, sf_dir), "side")
+    return out.select("side", "candidate", F.round("max_r", 6).alias("max_r"), "nearest", "verdict")
 
 
 # --- statistic tables -----------------------------------------------------------

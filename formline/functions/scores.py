@@ -286,26 +286,41 @@ def with_diagonal_grid(df: DataFrame, lam_h: str, lam_a: str, rho: float = K.DIA
     return sealed(df, list(names), (*_SHARES, "_w", "_d", "_l", "_t"))
 
 
+# Offsets, weights of rating gap, attack and defence, and the travel charge of the goal intensities.
+BIV_HOME, BIV_AWAY, BIV_GAP, BIV_ATTACK, BIV_DEFENCE, BIV_FLOOR = 0.15, -0.10, 0.0012, 0.45, 0.35, 0.2
+BIV_KM, BIV_PER_KM, BIV_MOST = 1500.0, 0.08, 0.15
+
+
 def with_bivariate_lambdas(df: DataFrame, elo_h: str, elo_a: str, h_gf: str, h_ga: str, a_gf: str,
                            a_ga: str, km: Column | float = 0.0) -> DataFrame:
     """Log-linear goal intensities from the rating gap and venue form."""
     km = km if isinstance(km, Column) else F.lit(float(km))
 
     def log_floor(c: str) -> Column:
-        return F.log(F.greatest(F.col(c).cast("double"), F.lit(0.2)))
+        return F.log(F.greatest(F.col(c).cast("double"), F.lit(BIV_FLOOR)))
 
     df = df.withColumns({
         "Biv_Elo_Diff": F.col(elo_h) + K.HOME_ADVANTAGE - F.col(elo_a),
-        "Travel_Penalty": clip(km / 1500.0 * 0.08, 0.0, 0.15),
+        "Travel_Penalty": clip(km / BIV_KM * BIV_PER_KM, 0.0, BIV_MOST),
     })
-    gap = F.col("Biv_Elo_Diff") * 0.0012
+    gap = F.col("Biv_Elo_Diff") * BIV_GAP
     return df.withColumns({
-        "Lambda_Home": F.exp(gap + 0.15 + log_floor(h_gf) * 0.45 + log_floor(a_ga) * 0.35),
-        "Lambda_Away": F.exp(-gap - 0.10 + log_floor(a_gf) * 0.45 + log_floor(h_ga) * 0.35
+        "Lambda_Home": F.exp(gap + BIV_HOME + log_floor(h_gf) * BIV_ATTACK + log_floor(a_ga) * BIV_DEFENCE),
+        "Lambda_Away": F.exp(-gap + BIV_AWAY + log_floor(a_gf) * BIV_ATTACK + log_floor(h_ga) * BIV_DEFENCE
                              - F.col("Travel_Penalty")),
     })
 
 
+def with_bivariate_features(df: DataFrame, elo_h: str, elo_a: str, h_gf: str, h_ga: str, a_gf: str,
+                            a_ga: str, km: Column | float = 0.0) -> DataFrame:
+    """The eleven values of the bivariate model: ratings and their gap, travel charge, intensities, and the
+    probabilities and expected goals of its score grid."""
+    df = with_bivariate_lambdas(df, elo_h, elo_a, h_gf, h_ga, a_gf, a_ga, km)
+    df = df.withColumns({"Home_Elo": F.col(elo_h), "Away_Elo": F.col(elo_a), "Elo_Diff": F.col("Biv_Elo_Diff")})
+    return with_dc_grid(df, "Lambda_Home", "Lambda_Away", K.BIVARIATE_RHO, 0.1, names=("Bivariate_P_Away", "Bivariate_P_Draw", "Bivariate_P_Home"),
+                        goals=("Expected_Home_Goals", "Expected_Away_Goals"))
+
+
 def with_scoreline(df: DataFrame, exp_h: str, exp_a: str, pred: str, p_h: str, p_d: str, p_a: str,
                    names=("Pred_Home_Goals", "Pred_Away_Goals")) -> DataFrame:
     """Whole-number score: goal modes bent towards the predicted class."""

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import constants as K
+from formline.operators import folded
 
 
 def _report(row: DataFrame, checks: list[tuple[str, str, Column, Column]], carry: tuple[str, ...] = ()) -> DataFrame:
@@ -240,6 +242,53 @@ def feature_overlap(df: DataFrame, candidates: list[str], existing: list[str]) -
     out = row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("candidate"), F.lit(e).alias("existing"), F.col(f"r{i}").alias("abs_r"))
         for i, (c, e) in enumerate(pairs)])))
-    band = (F.when(F.col("abs_r") >= 0.95, "redundant").when(F.col("abs_r") >= 0.85, "marginal")
-            .otherwise("incremental"))
-    return out.withColumn("band", band)
+    return out.withColumn("band", _overlap_band(F.col("abs_r")))
+
+
+def feature_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``a, b, n, r`` of every two columns, over the rows where both are present.
+
+    Tasks add up the products of their rows as matrices, about the first row found; the sums are reduced by cell, so
+    their size depends on the number of columns only. A column that does not vary has r null.
+    """
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    first = rows.first()
+    about = np.array([0.0 if v is None else v for v in (first["x"] if first else [0.0] * len(columns))])
+    k = len(columns)
+
+    def part(batch):
+        x = folded.matrix(batch.column("x")) - about
+        there = ~np.isnan(x)
+        x, m = np.where(there, x, 0.0), there.astype(float)
+        return np.concatenate([g.ravel() for g in (m.T @ m, x.T @ m, x.T @ x, (x * x).T @ m)])
+
+    n, s, xy, xx = folded.summed(rows, part, 4 * k * k).reshape(4, k, k)
+    out = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            if n[i, j]:
+                top = xy[i, j] - s[i, j] * s[j, i] / n[i, j]
+                left, right = xx[i, j] - s[i, j] ** 2 / n[i, j], xx[j, i] - s[j, i] ** 2 / n[i, j]
+                flat = left <= 1e-12 * max(xx[i, j], 1e-300) or right <= 1e-12 * max(xx[j, i], 1e-300)
+                out.append((columns[i], columns[j], int(n[i, j]), None if flat else float(top / np.sqrt(left * right))))
+    return df.sparkSession.createDataFrame(out, "a string, b string, n long, r double")
+
+
+def overlap_report(correlations: DataFrame, candidates: list[str], existing: list[str]) -> DataFrame:
+    """``candidate, other, kind, abs_r, band`` of every candidate with existing features and with other candidates."""
+    both = correlations.select("a", "b", "r").unionByName(correlations.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    kind = F.when(F.col("b").isin(existing), "existing").when(F.col("b").isin(candidates), "candidate")
+    out = both.where(F.col("a").isin(candidates)).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    out = out.select(F.col("a").alias("candidate"), F.col("b").alias("other"), "kind", F.abs("r").alias("abs_r"))
+    return out.withColumn("band", _overlap_band(F.col("abs_r")))
+
+
+def overlap_verdicts(report: DataFrame, *keys: str) -> DataFrame:
+    """The existing feature each candidate repeats most, and the verdict by that maximum."""
+    best = report.where((F.col("kind") == "existing") & F.col("abs_r").isNotNull()).groupBy(*keys, "candidate").agg(
+        F.max("abs_r").alias("max_r"), F.max_by("other", "abs_r").alias("nearest"))
+    return best.withColumn("verdict", _overlap_band(F.col("max_r")))
+
+
+def _overlap_band(r: Column) -> Column:
+    return F.when(r >= 0.95, "redundant").when(r >= 0.85, "marginal").otherwise("incremental")

@@ -39,13 +39,13 @@ def _segment_fold(segment: Column, n_segments: int, n_splits: int) -> Column | N
 
 def _fall_back(df: DataFrame, order_by, n_splits: int, found: int) -> DataFrame:
     warnings.warn(f"{found} segment(s) give fewer than two folds; using equal blocks", stacklevel=3)
-    rows = time_series_folds(df, order_by, n_splits).drop("pos")
+    rows = time_series_folds(df, order_by, n_splits)
     return rows.withColumns({"segment": F.lit(None).cast("int"), "fold": F.nullif("fold", F.lit(0))})
 
 
 def segment_folds(matches: DataFrame, order_by: list[str | Column], n_splits: int = K.N_SPLITS,
                   gap_days: int = K.SEGMENT_GAP_DAYS) -> DataFrame:
-    """Add ``segment`` and ``fold`` from season changes and date gaps."""
+    """Add ``pos``, ``segment`` and ``fold`` from season changes and date gaps."""
     segments = season_segments(matches, gap_days)
     found = (segments.agg(F.max("segment")).first()[0] or 0) + 1
     fold = _segment_fold(F.col("segment"), found, n_splits)
@@ -53,7 +53,7 @@ def segment_folds(matches: DataFrame, order_by: list[str | Column], n_splits: in
         return _fall_back(matches, order_by, n_splits, found)
     # Bounded by the calendar: one row per date and season.
     days = F.broadcast(segments.select("date", "season", "segment"))
-    return matches.join(days, ["date", "season"]).withColumn("fold", fold)
+    return with_ordinal(matches, order_by, "pos").join(days, ["date", "season"]).withColumn("fold", fold)
 
 
 def with_group_segments(df: DataFrame, order_by: list[str | Column], group: str) -> DataFrame:
@@ -77,13 +77,13 @@ def with_group_segments(df: DataFrame, order_by: list[str | Column], group: str)
 
 
 def group_folds(df: DataFrame, order_by: list[str | Column], group: str, n_splits: int = K.N_SPLITS) -> DataFrame:
-    """Add ``segment`` and ``fold`` from changes of an explicit group column."""
+    """Add ``pos``, ``segment`` and ``fold`` from changes of an explicit group column."""
     rows = with_group_segments(df, order_by, group)
     found = (rows.agg(F.max("segment")).first()[0] or 0) + 1
     fold = _segment_fold(F.col("segment"), found, n_splits)
     if fold is None:
         return _fall_back(df, order_by, n_splits, found)
-    return rows.withColumn("fold", fold).drop("pos")
+    return rows.withColumn("fold", fold)
 
 
 def early_stop_flag(train: DataFrame, n_train: Column, pos: str = "pos") -> DataFrame:
