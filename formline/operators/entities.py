@@ -8,7 +8,7 @@ the rows is matched once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions import text as T
@@ -35,35 +35,61 @@ def normalize_names(df: DataFrame, column: str, out: str, glossary: DataFrame |
     return df.withColumn(out, answer).drop("_canon", "_variant", "_target")
 
 
-def _substrings(c: str):
-    """All distinct non-empty substrings of a short text."""
-    size = F.length(c)
-    starts = F.sequence(F.lit(1), size)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col(c), i, n))))
-    return F.when(size > 0, F.array_distinct(parts))
+GRAM = 3
 
 
-def match_partial(df: DataFrame, column: str, glossary: DataFrame, out: str) -> DataFrame:
-    """Exact glossary hit, else the first entry (file order) whose key contains
-    the name or is contained in it, else the upper-cased name.
+def _grams(text: Column, q: int) -> Column:
+    """All distinct pieces of ``q`` characters of a text."""
+    def pieces(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(chars) - q)
+        return F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)])))
+
+    # The characters are bound once, so a long text is walked once.
+    bound = F.transform(F.array(F.split(text, "")), pieces)
+    return F.when(F.length(text) >= q, F.get(bound, F.lit(0)))
+
+
+def contained_in(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pattern, text`` of all pairs where the pattern occurs in the text; both sides distinct.
 
-    Containment is an equi-join on substrings: those of the name against the
-    keys, and the name against those of the keys.
+    A pattern is looked up by one anchor, its piece of up to three characters that the fewest texts have; texts are
+    indexed by all their pieces. Pairs that meet are verified. Work grows with the characters of the texts and
+    the pairs that share a rare piece, never with pairs of all.
     """
+    patterns = materialize(patterns.where(F.length("pattern") > 0))
+    # Three values at most.
+    widths = [r["q"] for r in patterns.select(F.least(F.length("pattern"), F.lit(GRAM)).alias("q")).distinct().collect()]
+    out = None
+    for q in sorted(widths):
+        mine = patterns.where(F.length("pattern") == q if q < GRAM else F.length("pattern") >= q)
+        index = materialize(texts.select("text", F.explode(_grams(F.col("text"), q)).alias("gram")))
+        counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        anchors = mine.select("pattern", F.explode(_grams(F.col("pattern"), q)).alias("gram"))
+        # A piece that no text has proves that its pattern occurs nowhere.
+        anchors = anchors.join(counts, "gram", "left").groupBy("pattern").agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+        anchors = anchors.where(F.col("best.n") > 0).select("pattern", F.col("best.gram").alias("gram"))
+        met = anchors.join(index, "gram").where(F.contains("text", "pattern")).select("pattern", "text")
+        out = met if out is None else out.unionByName(met)
+    return patterns.select("pattern", F.lit("").alias("text")).limit(0) if out is None else out
+
+
+def match_partial(df: DataFrame, column: str, glossary: DataFrame, out: str) -> DataFrame:
+    """Exact glossary hit, else the first entry (file order) whose key contains
+    the name or is contained in it, else the upper-cased name."""
     names = df.select(F.col(column).alias("_name")).filter(F.length(F.trim(column)) > 0).distinct()
-    names = names.withColumn("_up", F.upper(F.trim("_name")))
-    keys = glossary.select("variant", "target", "ord").filter(F.length("variant") > 0)
+    names = materialize(names.withColumn("_up", F.upper(F.trim("_name"))))
+    keys = materialize(glossary.select("variant", "target", "ord").filter(F.length("variant") > 0))
+    distinct_names, distinct_keys = names.select("_up").distinct(), keys.select("variant").distinct()
     exact = names.join(keys, F.col("_up") == F.col("variant")).select(
         "_name", F.lit(0).alias("_rank"), "ord", "target")
-    inside = (names.select("_name", F.explode(_substrings("_up")).alias("_piece"))
-              .join(keys, F.col("_piece") == F.col("variant"))
-              .select("_name", F.lit(1).alias("_rank"), "ord", "target"))
-    pieces = keys.select(F.explode(_substrings("variant")).alias("_piece"), "ord", "target")
-    around = (names.join(pieces.groupBy("_piece").agg(
-                  F.min(F.struct("ord", "target")).alias("_hit")), F.col("_up") == F.col("_piece"))
-              .select("_name", F.lit(1).alias("_rank"), "_hit.ord", "_hit.target"))
-    best = (exact.unionByName(inside).unionByName(around)
+    inside = contained_in(distinct_keys.select(F.col("variant").alias("pattern")), distinct_names.select(F.col("_up").alias("text")))
+    around = contained_in(distinct_names.select(F.col("_up").alias("pattern")), distinct_keys.select(F.col("variant").alias("text")))
+    pairs = inside.select(F.col("text").alias("_up"), F.col("pattern").alias("variant")).unionByName(
+        around.select(F.col("pattern").alias("_up"), F.col("text").alias("variant")))
+    first = pairs.join(keys, "variant").groupBy("_up").agg(F.min(F.struct("ord", "target")).alias("_hit"))
+    near = names.join(first, "_up").select("_name", F.lit(1).alias("_rank"), "_hit.ord", "_hit.target")
+    best = (exact.unionByName(near)
             .groupBy("_name").agg(F.min(F.struct("_rank", "ord", "target")).alias("_best"))
             .select("_name", F.col("_best.target").alias("_answer")))
     return _by_name(df, best, column, out, F.upper(F.trim(F.col(column))))

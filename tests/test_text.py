@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +278,21 @@ def test_long_runs_of_names(spark):
     import re
     from formline import constants as K
     assert got[3] == [(m[1].strip(), m[2].strip()) for m in re.finditer(K.SQUAD_INLINE, docs[2][1])]
+
+
+def test_containment_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda low, high: "".join(rng.choice("ABÑ ") for _ in range(rng.randint(low, high)))
+    patterns = {word(0, 6) for _ in range(120)} | {"A", "AB", "ZZZ", "B" * 40}
+    texts = {word(0, 25) for _ in range(80)} | {"B" * 39 + "A", "", "A" + "B" * 10_000}
+    got = E.contained_in(spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    found = [(r["pattern"], r["text"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(p, t) for p in patterns for t in texts if p and p in t}
+
+
+def test_partial_match_of_long_names_keeps_file_order(spark):
+    long = "X" * 5000 + " RACING CLUB " + "Y" * 5000
+    gloss = spark.createDataFrame([("CLUB", "second", 7), ("RACING", "first", 3), (long.upper() + " MORE", "third", 1)], "variant string, target string, ord int")
+    df = spark.createDataFrame([(long,), ("a racing b",), ("Y" * 400,)], "n string")
+    got = {r["n"]: r["t"] for r in E.match_partial(df, "n", gloss, "t").collect()}
+    assert got == {long: "third", "a racing b": "first", "Y" * 400: "third"}
