@@ -22,9 +22,10 @@ a worker remembers the distances of words.
 
 Defined cases: a null or empty text has no windows and gets the model's score for none;
 without labels of both kinds every score is the share of toxic rows (0 without rows);
-labels other than 0 and 1 are ignored, repeated label rows count each; a null id is
-not held out and has no label; repeated ids are kept as rows; an empty table gives an
-empty result; columns that are not named are ignored unless carried.
+labels other than 0 and 1 are ignored; repeated label rows count each in the share of toxic
+rows, while an id and label is fitted on once, with the shortest of its texts if the id repeats;
+a null id is not held out and has no label; repeated ids are kept as rows; an empty table
+gives an empty result; columns that are not named are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -233,18 +234,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = some if picked is None else picked.union(some)
     texts = id_and_text(docs, id_col, text_col)
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("at")
-    # At most max_toxic + max_ordinary rows of two numbers. Lengths first: long documents must not fill the driver.
-    sizes = texts.join(F.broadcast(picked), "doc_id").select("toxic", at, "doc_id", F.length("text").alias("n")).collect()
+    # At most max_toxic + max_ordinary rows of four numbers, as each id and label counts once, with its shortest text.
+    # Lengths first: long documents must not fill the driver.
+    known = [F.length("text").alias("n"), F.xxhash64("text").alias("h")]
+    sizes = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(*known)).alias("s"))
+    sizes = sizes.select("toxic", at, "doc_id", "s.n", "s.h").collect()
     held, chosen = {0: 0, 1: 0}, set()
     for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"], r["n"])):
         if held[r["toxic"]] + r["n"] <= max_chars or not held[r["toxic"]]:
             held[r["toxic"]] += r["n"]
-            chosen.add((r["doc_id"], r["toxic"], r["n"]))
+            chosen.add((r["doc_id"], r["toxic"], r["n"], r["h"]))
     if not chosen:
         return Model(b"", b"", (), n.get(1, 0) / sum(n.values()))
-    chosen = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, toxic int, n int")
-    rows = texts.withColumn("n", F.length("text")).join(F.broadcast(chosen), ["doc_id", "n"]).select(
-        "toxic", "text", at, "doc_id").toArrow().to_pylist()
+    chosen = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, toxic int, n int, h long")
+    rows = texts.withColumns({"n": known[0], "h": known[1]}).join(F.broadcast(chosen), ["doc_id", "n", "h"])
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", at, "doc_id").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"]))
     by_label = {k: [r["text"] for r in rows if r["toxic"] == k] for k in (0, 1)}
     return fit(by_label[1], by_label[0], n.get(1, 0) / sum(n.values()))

@@ -78,3 +78,13 @@ def test_given_documents(spark):
     out = [r for r in QUERIES["op6_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id] for r in out]) > 0.93
     assert np.mean([r.predicted for r in out if not truth[r.doc_id]]) < 0.03
+
+
+def test_repeated_ids_do_not_pass_the_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 400, f"text {i % 3} of {i % 400} " * 4) for i in range(8000)] + [(1, "short")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] * 2, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, share: seen.append((toxic, ordinary)))
+    toxicity.train(docs, labels, max_toxic=30, max_ordinary=40, max_chars=500)
+    for texts, most in zip(seen[0], (30, 40)):
+        assert 0 < len(texts) <= most and sum(map(len, texts)) <= 500
