@@ -14,13 +14,14 @@ from formline.session import stored_once
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model frame."""
-    return stored_once(spark, lambda: build_features(T.matches(spark, sf_dir)), sf_dir, "features")
+    return stored_once(spark, lambda: build_features(T.matches(spark, sf_dir)), sf_dir, "features", inputs=T.match_inputs(sf_dir))
 
 
 def feature_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible model rows with positions and time-series folds."""
     return stored_once(spark, lambda: time_series_folds(
-        eligible(feature_table(spark, sf_dir)), ["batch_ts", "match_id"]), sf_dir, "folds")
+        eligible(feature_table(spark, sf_dir)), ["batch_ts", "match_id"]), sf_dir, "folds",
+        inputs=T.match_inputs(sf_dir))
 
 
 def goal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def goal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"Poisson_Home_Win": "p_home", "Poisson_Draw": "p_draw", "Poisson_Away_Win": "p_away"})
         return time_series_folds(rows, ["batch_ts", "match_id"]).withColumn("y_true", F.col("res"))
 
-    return stored_once(spark, build, sf_dir, "goal folds")
+    return stored_once(spark, build, sf_dir, "goal folds", inputs=T.match_inputs(sf_dir))
 
 
 def goal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:

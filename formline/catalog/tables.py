@@ -20,11 +20,16 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop("n_nationkey"))
 
 
+def match_inputs(sf_dir: str) -> list[str]:
+    """The files the match table comes from."""
+    return [f"{sf_dir}/{name}.parquet" for name in ("orders", "customer", "nation")]
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match table, derived once and stored: most jobs scan it several times
     (days, states, matches) and each scan then reads only its own columns. It is
     written in even files, whatever the skew of the joins it comes from."""
-    return stored_once(spark, lambda: derive_matches(spark, sf_dir).hint("rebalance"), sf_dir, "matches")
+    return stored_once(spark, lambda: derive_matches(spark, sf_dir).hint("rebalance"), sf_dir, "matches", inputs=match_inputs(sf_dir))
 
 
 def derive_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

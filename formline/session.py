@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own_folders: dict[str, str] = {}
@@ -59,12 +60,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_stored: dict[tuple[str, ...], DataFrame] = {}
+_stored: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
-def stored_once(spark: SparkSession, build, *key: str) -> DataFrame:
-    """The table built by ``build()``, written on first use in this application."""
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _stored:
-        _stored[full] = materialize(build())
-    return _stored[full]
+def files_state(spark: SparkSession, *paths: str) -> tuple:
+    """Number of files under the paths and a hash of their names, times and sizes; reads no content."""
+    listed = spark.read.format("binaryFile").load(list(paths))
+    return tuple(listed.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(path, modificationTime, length))")).first())
+
+
+def stored_once(spark: SparkSession, build, *key: str, inputs: list[str]) -> DataFrame:
+    """The table built by ``build()`` from the files ``inputs``, written on first use in this
+    application, and again when those files have changed."""
+    full, state = (spark.sparkContext.applicationId, *key), files_state(spark, *inputs)
+    if full not in _stored or _stored[full][0] != state:
+        _stored[full] = (state, materialize(build()))
+    return _stored[full][1]

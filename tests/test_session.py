@@ -30,3 +30,17 @@ def test_materialized_rows_are_frozen(spark):
     from pyspark.sql import functions as F
     df = materialize(spark.range(100).withColumn("r", F.rand()))
     assert sorted(df.collect()) == sorted(df.collect()) and df.columns == ["id", "r"]
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from formline.session import stored_once
+    path = str(tmp_path / "t")
+    built = []
+
+    def get():
+        return stored_once(spark, lambda: (built.append(1), spark.read.parquet(path))[1], path, "t", inputs=[path]).count()
+
+    spark.range(3).write.parquet(path)
+    assert (get(), get(), len(built)) == (3, 3, 1)
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert (get(), get(), len(built)) == (5, 5, 2)
