@@ -403,22 +403,25 @@ _MARKS = ['<div class="match-row"><b>Boca Juniors (H)</b> 2 - 1 <i>River &amp; P
           "<p>Lanus FC&nbsp;3&nbsp;-&nbsp;0&nbsp;Banfield</p>", "<p>Tigre\u00a01 - 1&emsp;Colon SF</p> x < y"]
 
 
-@query("src_page_scores", with_ctes([], """
-SELECT * FROM boxed UNION ALL
-SELECT * FROM loose WHERE page_id NOT IN (SELECT page_id FROM boxed) AND length("Home") >= 3 AND length("Away") >= 3
-  AND NOT """ + _skip('"Home"') + " AND NOT " + _skip('"Away"'), {
+@query("src_page_scores", with_ctes(["gloss", "alias"], f"""
+SELECT f.* EXCLUDE (ch, ca), coalesce(g.target, a.club, ch) AS "Home_Team", coalesce(h.target, b.club, ca) AS "Away_Team"
+FROM (SELECT *, {canon('"Home"')} AS ch, {canon('"Away"')} AS ca FROM found) f
+LEFT JOIN gloss g ON g.variant = ch LEFT JOIN alias a ON a.alias = ch LEFT JOIN gloss h ON h.variant = ca LEFT JOIN alias b ON b.alias = ca""", {
     "marked": f"SELECT page_id, html || {choice('page_id % 4', [quoted(x) for x in _MARKS], quoted(''))} AS html FROM pages",
     "inner_": rf"""SELECT page_id, trim(regexp_replace({_decode("regexp_replace(x, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) AS t
       FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_BOX}', 1)) AS x FROM marked)""",
     "boxed": f"""SELECT * FROM ({_mention('inner_', 't', 'container')}) WHERE length("Home") >= 3 AND length("Away") >= 3""",
     "nodes": f"SELECT page_id, {_decode('x')} AS t FROM (SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]+>')) AS x FROM marked)",
-    "loose": _mention("nodes", "t", "text")}))
+    "loose": _mention("nodes", "t", "text"),
+    "found": """SELECT * FROM boxed UNION ALL
+      SELECT * FROM loose WHERE page_id NOT IN (SELECT page_id FROM boxed) AND length("Home") >= 3 AND length("Away") >= 3
+      AND NOT """ + _skip('"Home"') + " AND NOT " + _skip('"Away"')}))
 def src_page_scores(spark, sf_dir):
     """Score mentions in all pages; three of four pages also show one of the marks."""
     pages = T.table(spark, sf_dir, "pages")
     kind = F.col("page_id") % 4
     html = F.concat("html", F.when(kind == 0, _MARKS[0]).when(kind == 1, _MARKS[1]).when(kind == 2, _MARKS[2]).otherwise(""))
-    return P.page_scores(pages.withColumn("html", html))
+    return P.with_teams(P.page_scores(pages.withColumn("html", html)), glossary(spark, sf_dir))
 
 
 _SQUADS = ["''", "chr(10) || 'GK' || chr(9) || 'Franco Armani' || chr(9) || 'River Plate' || chr(10) || 'df  Lucas PEREZ  Boca'",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T_
 
 from formline import constants as K
 from formline.functions import text as T
+from formline.operators.entities import normalize_names
 
 # --- Fixed values: match containers and score mentions -------------------------
 CONTAINER_TAGS = {"div", "article", "section"}
@@ -121,6 +122,13 @@ def page_scores(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                        ).filter(F.col("source").isNotNull())
 
 
+def with_teams(scored: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
+    """Add ``Home_Team`` and ``Away_Team``: the names as a history spells them, by the glossary and the built-in aliases."""
+    for side in ("Home", "Away"):
+        scored = normalize_names(scored, side, f"{side}_Team", glossary)
+    return scored
+
+
 def blocked_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Per host: pages and those showing an access challenge."""
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1))

@@ -296,3 +296,10 @@ def test_partial_match_of_long_names_keeps_file_order(spark):
     df = spark.createDataFrame([(long,), ("a racing b",), ("Y" * 400,)], "n string")
     got = {r["n"]: r["t"] for r in E.match_partial(df, "n", gloss, "t").collect()}
     assert got == {long: "third", "a racing b": "first", "Y" * 400: "third"}
+
+
+def test_teams_of_page_scores(spark):
+    scored = P.page_scores(spark.createDataFrame([(1, "<p>Unión 3 - 1 n.o.b. SF</p>")], "page_id int, html string"))
+    gloss = L.parse_glossary(lines(spark, ["NOB SF -> ROSARIO X"]))
+    r = P.with_teams(scored, gloss).first()
+    assert (r["Home"], r["Home_Team"], r["Away_Team"]) == ("Unión", "UNION DE SANTA FE", "ROSARIO X")
