@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text, schema_of
-from formline.llm.units import slices, worker_store
+from formline.llm.units import give_back, slices, worker_store
 
 #: The sample of labelled rows that the classifier is fitted on.
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 40_000_000
@@ -195,7 +195,12 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"", (), share)
     cut = [max(1, len(texts) * 2 // 3) for texts in (toxic, ordinary)]
-    clean = [[{w.strip(SIGNS) for w in words_of(t)} for t in texts[:k]] for texts, k in zip((toxic, ordinary), cut)]
+    pool: dict[str, str] = {}  # one object per word, however many texts have it
+
+    def once(text: str) -> set[str]:
+        return {pool.setdefault(w, w) for w in (w.strip(SIGNS) for w in words_of(text))}
+
+    clean = [[once(t) for t in texts[:k]] for texts, k in zip((toxic, ordinary), cut)]
     counts = Counter(w for words in clean[1] for w in words if w)
     frequent = sorted(counts, key=lambda w: (-counts[w], w))[:FREQUENT_WORDS]
     base = spelled(" ".join(reversed(frequent)) + " ")
@@ -248,10 +253,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(b"", b"", (), n.get(1, 0) / sum(n.values()))
     chosen = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, toxic int, n int, h long")
     rows = texts.withColumns({"n": known[0], "h": known[1]}).join(F.broadcast(chosen), ["doc_id", "n", "h"])
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", at, "doc_id").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"]))
-    by_label = {k: [r["text"] for r in rows if r["toxic"] == k] for k in (0, 1)}
-    return fit(by_label[1], by_label[0], n.get(1, 0) / sum(n.values()))
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select(at, "doc_id", "text", "toxic").toArrow()
+    rows = sorted(zip(*(column.to_pylist() for column in rows.columns)))
+    by_label = {k: [text for _, _, text, toxic in rows if toxic == k] for k in (0, 1)}
+    model = fit(by_label[1], by_label[0], n.get(1, 0) / sum(n.values()))
+    del rows, by_label
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry=(),

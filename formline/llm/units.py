@@ -23,6 +23,14 @@ MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 SLICE_CHARS = 1_000_000
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def worker_store(name: str | None = None) -> dict:
     """A dictionary that lives as long as the Python worker, across tasks of the same operator.
 
@@ -34,10 +42,7 @@ def worker_store(name: str | None = None) -> dict:
     if set(stores) - {name}:
         for other in set(stores) - {name}:
             del stores[other]
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc: returns freed memory to the system
-        if trim is not None:
-            trim(0)
+        give_back()
     return stores.setdefault(name, {}) if name else {}
 
 
