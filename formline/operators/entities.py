@@ -109,8 +109,9 @@ def audit_names(names: DataFrame, column: str, glossary: DataFrame, raw_targets:
     closest targets (similarity at least 0.4, see ``similarity.MEASURES``)."""
     clean = (names.select(F.trim(column).alias("name"))
              .filter((F.col("name") != "") & ~F.col("name").startswith("#")).distinct())
+    glossary = materialize(glossary)
     norm = normalize_names(clean, "name", "normalized", glossary)
-    targets = raw_targets.select(F.col("target")).filter(F.col("target").isNotNull()).distinct()
+    targets = materialize(raw_targets.select(F.col("target")).filter(F.col("target").isNotNull()).distinct())
     known = (targets.select(F.col("target").alias("_known"))
              .unionByName(glossary.select(F.col("target").alias("_known"))).distinct())
     canon = targets.select(T.canonical(F.col("target")).alias("_canon")).distinct()

@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType
 from formline.session import materialize
 
 #: Ratios where bands end; the cutoff is the last.
-BANDS = (0.75, 0.55)
+BANDS = (0.6,)
 #: Tokens that prefixes are longer than they must be.
 EXTRA = 2
 _ROUNDING = 1e-9
