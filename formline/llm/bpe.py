@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from formline.llm.common import id_and_text, schema_of
-from formline.llm.units import fill, forget_long, slices, worker_store
+from formline.llm.units import Memo, one_thread, slices, worker_store
 
 WINDOW, CHUNK_BITS = 16, 8
 CHUNKS_KEPT, CHUNK_BYTES_KEPT = 40_000, 2048
@@ -73,78 +73,67 @@ class ChunkEncoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        one_thread()
         self.whole = Tokenizer.from_str(spec)
         self.whole.no_padding()
         self.whole.no_truncation()
         self.by_strings = self.whole.decoder is None
-        self.names = {i: t.encode() for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
-        self.ids: dict[bytes, bytes] = {b"": b""}
-        self.names_of: dict[bytes, bytes] = {b"": b""}
-        self.known: dict[bytes, tuple] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for e in self.whole.encode_batch([w.decode() for w in words], add_special_tokens=False):
+        self.tokens = {i: (b"%d" % i, t.encode()) for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
+        self.words, self.known, self.known_before = Memo(), {}, {}
+
+    def _encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        out, token = [], self.tokens.__getitem__
+        for e in self.whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
             ids = e.ids
-            self._names.append(b" ".join(map(self.names.__getitem__, ids)))
-            out.append(b" ".join(b"%d" % i for i in ids))
+            if len(ids) == 1:
+                out.append(token(ids[0]))
+            else:
+                pairs = [token(i) for i in ids]
+                out.append((b" ".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs])))
         return out
 
-    def _learn(self, words: set[bytes]) -> list[bytes]:
-        self._names: list[bytes] = []
-        before = len(self.ids)
-        missing = fill(self.ids, words, self._encode)
-        if len(self.ids) < before + len(missing):  # the memo was emptied
-            self.names_of.clear()
-        self.names_of.update(zip(missing, self._names))
-        return missing
-
     def texts(self, texts: list[str]):
         """``(ids, decoded)`` of each text, as bytes."""
         for a, b in slices(texts):
             yield from self._slice([t.encode("utf-8").replace(b"\n", b" ") for t in texts[a:b]])
 
     def _slice(self, texts: list[bytes]):
-        if len(self.known) > CHUNKS_KEPT:
-            self.known.clear()
-        known, fresh, words, plans = self.known, {}, {b""}, []
+        if len(self.known) >= CHUNKS_KEPT // 2:
+            self.known_before, self.known = self.known, {}
+        known, before, fresh, words, plans = self.known, self.known_before, {}, {b""}, []
         for parts in chunks(texts):
-            plan, pending = [], b""
+            plan, pending = [], []
             for chunk in parts:
                 entry = known.get(chunk) or fresh.get(chunk)
+                if entry is None and (entry := before.pop(chunk, None)) is not None:
+                    known[chunk] = entry
                 if entry is None:
                     i, j = chunk.find(b" "), chunk.rfind(b" ")
                     inner = chunk[i + 1:j].split(b" ") if 0 <= i < j else []
                     words.update(inner)
                     entry = fresh[chunk] = [chunk[:i] if i >= 0 else None, inner, chunk[j + 1:]]
                 if entry[0] is None:  # no space: the repair goes on
-                    pending += chunk
+                    pending.append(chunk)
                     continue
-                joined = pending + entry[0]
+                pending.append(entry[0])
+                joined = b"".join(pending)
                 words.add(joined)
                 plan += (joined, entry)
-                pending = entry[2]
-            words.add(pending)
-            plan.append(pending)
+                pending = [entry[2]]
+            joined = b"".join(pending)
+            words.add(joined)
+            plan.append(joined)
             plans.append(plan)
-        added = self._learn(words)
-        ids, names = self.ids.__getitem__, self.names_of.__getitem__
+        made = self.words.fill(words, self._encode)
+        pair = self.words.young.__getitem__
         for entry in fresh.values():
-            inner = [w for w in entry[1] if w]
-            entry[1] = (b" ".join(filter(None, map(ids, inner))), b" ".join(filter(None, map(names, inner))))
+            pairs = [pair(w) for w in entry[1] if w]
+            entry[1] = (b" ".join([p[0] for p in pairs if p[0]]), b" ".join([p[1] for p in pairs if p[1]]))
         for plan in plans:
-            numbers, strings = [], []
-            for part in plan:
-                if part.__class__ is bytes:
-                    numbers.append(ids(part))
-                    strings.append(names(part))
-                else:
-                    numbers.append(part[1][0])
-                    strings.append(part[1][1])
-            yield b" ".join(filter(None, numbers)), b" ".join(filter(None, strings))
+            pairs = [pair(part) if part.__class__ is bytes else part[1] for part in plan]
+            yield b" ".join([p[0] for p in pairs if p[0]]), b" ".join([p[1] for p in pairs if p[1]])
         known.update((c, e) for c, e in fresh.items() if len(c) <= CHUNK_BYTES_KEPT)
-        forget_long(self.ids, added)
-        forget_long(self.names_of, added)
+        self.words.forget_long(made)
 
     def decode(self, ids: bytes, strings: bytes) -> bytes:
         if self.by_strings:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text
-from formline.llm.units import fill, forget_long, merged, odd, slices, text_slices, worker_store
+from formline.llm.units import Memo, merged, odd, one_thread, slices, text_slices, worker_store
 from formline.session import materialize
 
 CAPACITY, END = 2048, 0
@@ -59,6 +59,7 @@ class ByteEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
+        one_thread()
         self.whole = Tokenizer.from_str(spec)
         self.whole.no_padding()
         self.whole.no_truncation()
@@ -67,8 +68,7 @@ class ByteEncoder:
         of = byte_symbols()
         ranks = {bytes(of[c] for c in token): i for token, i in known["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.first, self.after = Memo(), Memo()
 
     def _encode(self, pieces: list[str], before: str, without=lambda piece: False) -> list[bytes | None]:
         out, slow = [None] * len(pieces), []
@@ -80,7 +80,7 @@ class ByteEncoder:
             else:
                 slow.append(i)
         if slow:
-            for i, e in zip(slow, self.whole.encode_batch([before + pieces[i] for i in slow], add_special_tokens=False)):
+            for i, e in zip(slow, self.whole.encode_batch_fast([before + pieces[i] for i in slow], add_special_tokens=False)):
                 out[i] = array("I", e.ids).tobytes()
         return out
 
@@ -91,17 +91,17 @@ class ByteEncoder:
             first, after = {p[0] for p in split}, set()
             for p in split:
                 after.update(p[1:])
-            added = [(self.first, fill(self.first, first, lambda x: self._encode(x, "", odd))),
-                     (self.after, fill(self.after, after, lambda x: self._encode(x, " ", odd)))]
-            get = self.after.__getitem__
+            made = [(self.first, self.first.fill(first, lambda x: self._encode(x, "", odd))),
+                    (self.after, self.after.fill(after, lambda x: self._encode(x, " ", odd)))]
+            start, get = self.first.young, self.after.young.__getitem__
             for p in split:
                 try:
-                    yield self.first[p[0]] + b"".join(map(get, p[1:]))
+                    yield start[p[0]] + b"".join(map(get, p[1:]))
                 except TypeError:  # an odd piece has no ids of its own
                     p = merged(p)
                     yield b"".join(self._encode(p[:1], "") + self._encode(p[1:], " "))
-            for memo, new in added:
-                forget_long(memo, new)
+            for memo, new in made:
+                memo.forget_long(new)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import sys
 import types
 
@@ -88,18 +89,33 @@ def text_slices(column):
         start = stop
 
 
-def fill(memo: dict, wanted: set, make) -> list:
-    """Add what ``memo`` lacks of ``wanted``; ``make`` turns a list of pieces into values."""
-    missing = wanted - memo.keys()
-    if len(memo) + len(missing) > MEMO_ENTRIES:
-        memo.clear()
-        missing = wanted
-    missing = list(missing)
-    memo.update(zip(missing, make(missing)))
-    return missing
+class Memo:
+    """Values of pieces in two generations, about ``entries`` in all.
 
+    A full young generation becomes the old one; what is asked for again moves back,
+    so frequent pieces are never dropped.
+    """
 
-def forget_long(memo: dict, added: list) -> None:
-    for piece in added:
-        if len(piece) > MEMO_CHARS:
-            memo.pop(piece, None)
+    def __init__(self, entries: int = MEMO_ENTRIES):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def fill(self, wanted: set, make) -> list:
+        """Have all of ``wanted`` in ``young``; ``make`` turns a list of pieces into values. Returns what was made."""
+        if len(self.young) >= self.entries // 2:
+            self.old, self.young = self.young, {}
+        missing = wanted - self.young.keys()
+        back = missing & self.old.keys()
+        self.young.update((piece, self.old.pop(piece)) for piece in back)
+        made = list(missing - back)
+        self.young.update(zip(made, make(made)))
+        return made
+
+    def forget_long(self, made: list) -> None:
+        for piece in made:
+            if len(piece) > MEMO_CHARS:
+                self.young.pop(piece, None)
+
+
+def one_thread() -> None:
+    """Keeps ``tokenizers`` on the core of its task; by itself it starts a thread for every core of the machine."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -57,3 +57,26 @@ def test_rows(spark):
     full = bpe.encode(docs, path, carry=["ids"]).collect()
     assert sorted((str(r.doc_id), len(r.ids)) for r in full) == sorted(w[:2] for w in want)
     assert bpe.digests(docs.limit(0), path).count() == 0
+
+
+def test_memo_keeps_what_is_asked_for_again():
+    from formline.llm.units import Memo
+
+    memo, made = Memo(entries=8), []
+
+    def make(pieces):
+        made.extend(pieces)
+        return [p.upper() for p in pieces]
+
+    for i in range(50):
+        wanted = {"often", f"once{i}"}
+        memo.fill(wanted, make)
+        assert all(memo.young[w] == w.upper() for w in wanted)
+        assert len(memo.young) + len(memo.old) <= 12
+    assert made.count("often") == 1
+
+
+def test_long_texts_without_spaces():
+    for text in ("YWJj" * 100_000, "数据处理" * 20_000, "x" * 100_000 + " " + "y" * 50_000):
+        (ids, _), = ENCODER.texts([text])
+        assert [int(i) for i in ids.split()] == TOKENIZER.encode(text, add_special_tokens=False).ids
