@@ -11,13 +11,16 @@ over the start of the text as well.
   its longest proper suffix, by at least ``LEAST_DIVERGENCE`` nats a position and
   ``LEAST_EVIDENCE`` nats in all, or if it is the suffix of a retained one. It lists all
   symbols seen after it. So what is retained depends on evidence, not on the size of the
-  corpus, and the tree grows with it: it stays in tables that Spark joins by key.
+  corpus, and the tree grows with it. The runs are shuffled once by the last two bytes of
+  their contexts, and every such subtree is grown whole in a group. Where more than
+  ``GROUP_RUNS`` distinct runs share those bytes, they are split by one byte more, and so on.
+  Only the top above the groups passes through the driver (``Top``).
 * Smoothing: a context with ``n`` positions and ``d`` different next symbols gives
   ``(count + d p) / (n + d)``, ``p`` being its suffix's probability; symbols it does not
   list share the rest in proportion to ``p``. The root adds one to every byte.
 * Scoring: every byte is predicted in the longest retained suffix of what stands before
-  it. Documents are cut into blocks of bounded size; the distinct runs of every block are
-  joined with the tree, by buckets, and their logs go back to the block.
+  it. Documents are gathered in blocks of bounded size; the distinct runs of every block go
+  through the tree with those of the training documents, and their logs go back, by buckets.
 
 The base needs a count for every word of every document. Words with a share of at
 least ``WORD_SHARE`` of the training tokens, at most ``1 / WORD_SHARE`` of them, are
@@ -34,12 +37,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.llm.common import id_and_text
@@ -57,6 +60,8 @@ END_KEY = np.uint64(0x656E64)
 MERGE_AT, SEND_AT, CACHE_BITS = 1_500_000, 1_200_000, 21
 #: Bytes of text that are scored together, and training positions a bucket of runs.
 BLOCK_BYTES, BUCKET_PLACES = 32_000_000, 4_000_000
+#: Distinct training runs under one suffix that are taken together.
+GROUP_RUNS = 2_000_000
 U = np.uint64
 
 
@@ -77,11 +82,30 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return run[at], sizes
 
 
+def edges(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value starts."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Different keys in order; sorting is many times faster here than the hash table behind ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[edges(keys)]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    edge = edges(keys)
+    return keys[edge], np.diff(np.append(edge, len(keys)))
+
+
 def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    edge = edges(keys)
     return keys[edge], np.add.reduceat(counts, edge)
 
 
@@ -105,7 +129,7 @@ def count(docs: DataFrame) -> DataFrame:
                 words = [normal(t) for t in texts]
                 hashes = np.concatenate([word_hashes(words)[0], np.full(b - a, END_KEY, U)])
                 for kind, keys in ((WORD, hashes), (RUN, runs_of(words)[0])):
-                    held[kind].append(np.unique(keys, return_counts=True))
+                    held[kind].append(counted(keys))
                     size[kind] += len(held[kind][-1][0])
                     if size[kind] > MERGE_AT:
                         held[kind] = [tally(held[kind])]
@@ -147,17 +171,20 @@ class Words:
 
 @dataclass
 class Model(Words):
-    tables: list[DataFrame]
+    top: Top
+    tree: DataFrame
 
     @cached_property
     def levels(self) -> list[Level]:
         """The whole tree in memory: for small corpora only; scoring does not use it."""
-        out = []
-        for table in self.tables:
-            rows = table.where("own").select("context", "rest", "key", "p").toArrow().sort_by("key")
-            context, rest, key, p = (rows[c].to_numpy() for c in ("context", "rest", "key", "p"))
-            context, first = np.unique(context.view(U), return_index=True)
-            out.append(Level(context, np.log10(rest[first]), key.view(U), np.log10(p)))
+        root = self.top.levels[0]
+        out = [Level(np.zeros(1, U), np.zeros(1), root.keys, np.log10(root.p))]
+        rows = pa.concat_tables([self.tree.toArrow(), retained_rows(dict(enumerate(self.top.levels[1:], 1)))]).sort_by("key")
+        level, key, p, rest = (rows[c].to_numpy() for c in ("level", "key", "p", "rest"))
+        for k in range(1, DEPTH + 1):
+            keys = key[level == k].view(U)
+            context, first = np.unique(keys >> U(8), return_index=True)
+            out.append(Level(context, np.log10(rest[level == k][first]), keys, np.log10(p[level == k])))
         return out
 
 
@@ -169,48 +196,175 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def grow(runs: DataFrame) -> list[DataFrame]:
-    """The tree from ``key, n`` of runs of bytes, ``n`` being 0 for runs that are only to be scored.
+def mask(size: int) -> int:
+    return (1 << 8 * size) - 1
+
+
+class Rows:
+    """Counts of the symbols after the contexts of one length: sorted keys (context and symbol) and sums by context."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = tally([(keys, n)])
+        context = self.keys >> U(8)
+        self.first = edges(context)
+        self.context = context[self.first]
+        self.which = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.keys))))
+        self.total, self.kinds = self.sums(self.n), self.sums((self.n > 0).astype(np.int64))
 
-    A table per length with ``key`` (context and symbol), its ``context``, its probability ``p`` under the
-    longest retained suffix, whether the context is retained and lists the symbol (``own``), and the share
-    ``rest`` of the suffix's probability that a retained context leaves to other symbols. Everything is joined
-    by key or grouped by context, and a context has at most 256 symbols.
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first)
+
+    def shares(self) -> np.ndarray:
+        return self.n / np.maximum(self.total, 1)[self.which]
+
+    def test(self, share: np.ndarray, places: int) -> None:
+        """Which symbols are listed, and which contexts diverge from their suffix, where the symbols have ``share``."""
+        total = self.total[self.which]
+        self.listed = (self.n > 0) & (self.n >= SYMBOL_SHARE * places) & (total >= CONTEXT_SHARE * places)
+        n = np.where(self.listed, self.n, 0)
+        ratio = np.divide(self.n, total * share, out=np.ones(len(n)), where=self.listed)
+        evidence = self.sums(n * np.log(ratio))
+        self.retained = (evidence >= LEAST_EVIDENCE) & (evidence >= LEAST_DIVERGENCE * self.sums(n))
+
+    def retain(self, contexts: np.ndarray) -> None:
+        self.retained[np.searchsorted(self.context, contexts)] = True
+
+    def smooth(self, up: np.ndarray) -> None:
+        """Probabilities from those of the suffix."""
+        self.own = self.retained[self.which] & self.listed
+        kinds = self.kinds[self.which]
+        p = (self.n + kinds * up) / np.maximum(self.total[self.which] + kinds, 1)
+        others, others_up = (np.maximum(1 - self.sums(np.where(self.own, x, 0.0)), 1e-12) for x in (p, up))
+        self.rest = np.where(self.retained, others / others_up, 1.0)
+        self.p = np.where(self.own, p, self.rest[self.which] * up)
+
+
+@dataclass
+class Top:
+    """The root, the contexts of one byte, and longer ones under which there are too many runs for one group.
+
+    Every context has all 256 symbols. There are at most 256 contexts of one byte and, of every other
+    length, at most one for ``GROUP_RUNS`` distinct runs.
     """
-    places = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cut = [F.struct(F.lit(k).alias("level"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")) for k in range(1, DEPTH + 1)]
-    rows = runs.select("n", F.explode(F.array(*cut)).alias("r")).select("r.*", "n").groupBy("level", "key").agg(F.sum("n").alias("n"))
-    rows = rows.withColumn("context", F.shiftright("key", 8))
-    over = Window.partitionBy("level", "context")  # at most 256 rows
-    rows = rows.withColumn("total", F.sum("n").over(over)).withColumn("kinds", F.count(F.when(F.col("n") > 0, 1)).over(over).cast("int"))
-    rows = materialize(rows.select("level", "key", "n", "total", "kinds")).withColumn("context", F.shiftright("key", 8)).withColumn(
-        "parent", F.expr("key & (shiftleft(1L, 8 * level) - 1)")).withColumn(
-        "listed", (F.col("n") > 0) & (F.col("n") >= SYMBOL_SHARE * places) & (F.col("total") >= CONTEXT_SHARE * places))
-    bytes_ = runs.groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("id")).agg(F.sum("n").alias("n"))
-    bytes_ = materialize(runs.sparkSession.range(256).join(bytes_, "id", "left").select(
-        F.col("id").alias("key"), (F.coalesce("n", F.lit(0)) + 1).alias("n")))
-    root = bytes_.select((F.lit(1)).alias("level"), F.col("key").alias("parent"), (F.col("n") / (places + 256)).alias("share"))
-    shares = root.union(rows.where((F.col("n") > 0) & (F.col("level") < DEPTH)).select(F.col("level") + 1, "key", F.col("n") / F.col("total")))
-    tested = rows.where("listed").join(shares, ["level", "parent"]).groupBy("level", "context").agg(
-        F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("share"))).alias("evidence"), F.sum("n").alias("size"))
-    telling = tested.where((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("evidence") >= LEAST_DIVERGENCE * F.col("size")))
-    suffix = [F.struct(F.lit(k).alias("level"), F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context")) for k in range(1, DEPTH + 1)]
-    retained = telling.select(F.explode(F.slice(F.array(*suffix), F.lit(1), F.col("level"))).alias("r")).select("r.*").distinct()
-    retained = materialize(retained.withColumn("retained", F.lit(True)))
-    tables = [bytes_.select("key", F.lit(0).cast("long").alias("context"), (F.col("n") / (places + 256)).alias("p"),
-                            F.lit(True).alias("own"), F.lit(1.0).alias("rest"))]
-    over = Window.partitionBy("context")  # at most 256 rows
-    for k in range(1, DEPTH + 1):
-        level = rows.where(F.col("level") == k).join(tables[-1].select(F.col("key").alias("parent"), F.col("p").alias("up")), "parent")
-        level = level.join(retained.where(F.col("level") == k).drop("level"), "context", "left")
-        level = level.withColumn("retained", F.coalesce("retained", F.lit(False)))
-        level = level.withColumn("own", F.col("retained") & F.col("listed"))
-        level = level.withColumn("p", F.when(F.col("own"), (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))))
-        others, others_up = (F.greatest(1 - F.sum(F.when(F.col("own"), F.col(c))).over(over), F.lit(1e-12)) for c in ("p", "up"))
-        level = level.withColumn("rest", F.when(F.col("retained"), others / others_up).otherwise(1.0))
-        tables.append(materialize(level.select(
-            "key", "context", F.when(F.col("own"), F.col("p")).otherwise(F.col("rest") * F.col("up")).alias("p"), "own", "rest")))
-    return tables
+
+    places: int
+    levels: list[Rows]
+
+    def above(self, length: int, keys: np.ndarray) -> np.ndarray:
+        """Where the keys stand, without their oldest byte, in the rows of the length before."""
+        return np.searchsorted(self.levels[length - 1].keys, keys & U(mask(length)))
+
+    def shares(self, length: int) -> np.ndarray:
+        rows = self.levels[length]
+        return rows.shares() if length else rows.p
+
+    def suffixes(self, contexts: np.ndarray, length: int) -> None:
+        """Retain all suffixes of retained contexts of this length."""
+        for k in range(1, length):
+            self.levels[k].retain(contexts & U(mask(k)))
+
+
+def suffix(size: int) -> Column:
+    """The last bytes of the context of a run."""
+    return F.shiftright("key", 8).bitwiseAND(F.lit(mask(size)))
+
+
+def owner(top: Top) -> list[Column]:
+    """The group of a run: the shortest suffix of its context that is not in ``top``."""
+    length, last = F.lit(len(top.levels)), suffix(len(top.levels))
+    for k in range(len(top.levels) - 1, 1, -1):
+        inside = suffix(k).isin(top.levels[k].context.tolist())
+        length, last = F.when(inside, length).otherwise(k), F.when(inside, last).otherwise(suffix(k))
+    return [length.alias("length"), last.alias("suffix")]
+
+
+def subtree(group: pa.Table, length: int, top: Top) -> dict[int, Rows]:
+    """All contexts of a group with their tests."""
+    levels = {DEPTH: Rows(group["key"].to_numpy().view(U), group["n"].to_numpy())}
+    for k in range(DEPTH - 1, length - 1, -1):
+        levels[k] = Rows(levels[k + 1].keys & U(mask(k + 1)), levels[k + 1].n)
+    share = top.shares(length - 1)[top.above(length, levels[length].keys)]
+    for k in range(length, DEPTH + 1):
+        levels[k].test(share, top.places)
+        if k < DEPTH:
+            share = levels[k].shares()[np.searchsorted(levels[k].keys, levels[k + 1].keys & U(mask(k + 1)))]
+    for k in range(DEPTH, length, -1):
+        levels[k - 1].retain(levels[k].context[levels[k].retained] & U(mask(k - 1)))
+    return levels
+
+
+def grown(group: pa.Table, length: int, top: Top) -> dict[int, Rows]:
+    """All contexts of a group with their probabilities."""
+    levels = subtree(group, length, top)
+    up = top.levels[length - 1].p[top.above(length, levels[length].keys)]
+    for k in range(length, DEPTH + 1):
+        levels[k].smooth(up)
+        if k < DEPTH:
+            up = levels[k].p[np.searchsorted(levels[k].keys, levels[k + 1].keys & U(mask(k + 1)))]
+    return levels
+
+
+def top_of(runs: DataFrame) -> Top:
+    """The top of the tree from ``key, n`` of the runs of the training documents."""
+
+    def collected(rows: DataFrame, length: int, contexts) -> Rows:
+        told = rows.groupBy(F.col("key").bitwiseAND(F.lit(mask(length + 1))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        every = ((np.array(contexts, U) << U(8))[:, None] | np.arange(256, dtype=U)).ravel()
+        return Rows(np.concatenate([every, told["key"].to_numpy().view(U)]),
+                    np.concatenate([np.zeros(len(every), np.int64), told["n"].to_numpy()]))
+
+    levels = [Rows(np.arange(256, dtype=U), np.zeros(256, np.int64)), collected(runs, 1, range(256))]
+    levels[0].n = levels[1].n.reshape(256, 256).sum(axis=0)
+    inside = runs
+    for k in range(2, DEPTH):
+        large = [r[0] for r in inside.groupBy(suffix(k).alias("suffix")).count().where(F.col("count") > GROUP_RUNS).select("suffix").collect()]
+        if not large:
+            break
+        inside = inside.where(suffix(k).isin(large))
+        levels.append(collected(inside, k, large))
+    top = Top(int(levels[0].n.sum()), levels)
+    levels[0].p = (levels[0].n + 1) / (top.places + 256)
+    for k in range(1, len(levels)):
+        levels[k].test(top.shares(k - 1)[top.above(k, levels[k].keys)], top.places)
+    for k in range(len(levels) - 1, 1, -1):
+        top.suffixes(levels[k].context[levels[k].retained], k)
+    # Contexts that do not diverge themselves are retained for a longer one that does.
+    open_ = [suffix(k).isin(levels[k].context[~levels[k].retained].tolist()) for k in range(1, len(levels))]
+    sent = runs.sparkSession.sparkContext.broadcast(top)
+
+    def telling(key, group):
+        length = key[0].as_py()
+        kept = bool(subtree(group, length, sent.value)[length].retained.any())
+        return pa.table({"length": pa.array([length] * kept, pa.int32()), "suffix": pa.array([key[1].as_py()] * kept, pa.int64())})
+
+    asked = runs.where(reduce(Column.__or__, open_)).select("key", "n", *owner(top))
+    for length, last in asked.groupBy("length", "suffix").applyInArrow(telling, "length int, suffix long").collect():
+        top.suffixes(np.array([last], U), length)
+    for k in range(1, len(levels)):
+        levels[k].smooth(levels[k - 1].p[top.above(k, levels[k].keys)])
+    return top
+
+
+def grow(runs: DataFrame, top: Top, rows_of, ddl: str) -> DataFrame:
+    """Every subtree below ``top`` is grown in a group of its own, from ``key, n`` of runs of bytes (``n`` is 0
+    for runs that are only to be scored); ``rows_of`` makes a table of its levels."""
+    sent = runs.sparkSession.sparkContext.broadcast(top)
+
+    def made(key, group):
+        return rows_of(grown(group, key[0].as_py(), sent.value))
+
+    return runs.select("key", "n", *owner(top)).groupBy("length", "suffix").applyInArrow(made, ddl)
+
+
+def retained_rows(levels: dict[int, Rows]) -> pa.Table:
+    """``level, key, p, rest`` of what the retained contexts list."""
+    parts = [(np.full(int(r.own.sum()), k, np.int32), r.keys[r.own].view(np.int64), r.p[r.own], r.rest[r.which[r.own]]) for k, r in levels.items()]
+    return pa.table(dict(zip(("level", "key", "p", "rest"), map(np.concatenate, zip(*parts)))))
+
+
+def run_rows(levels: dict[int, Rows]) -> pa.Table:
+    """``key, log`` of whole runs."""
+    return pa.table({"key": levels[DEPTH].keys.view(np.int64), "log": np.log10(levels[DEPTH].p)})
 
 
 def frequent(counts: DataFrame) -> Words:
@@ -225,8 +379,10 @@ def frequent(counts: DataFrame) -> Words:
 
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     """The model from the counts of the training documents."""
-    words = frequent(counts)
-    return Model(words.words, words.counts, words.tokens, words.kinds, grow(counts.where(F.col("kind") == RUN).select("key", "n")))
+    words, runs = frequent(counts), counts.where(F.col("kind") == RUN).select("key", "n")
+    top = top_of(runs)
+    tree = grow(runs, top, retained_rows, "level int, key long, p double, rest double")
+    return Model(words.words, words.counts, words.tokens, words.kinds, top, tree)
 
 
 def run_logs(levels: list[Level], runs: np.ndarray) -> np.ndarray:
@@ -280,14 +436,14 @@ def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
 
     def run(batches):
         worker_store()
-        block, size, held, distinct = TaskContext.get().partitionId() << 32, 0, [], 0
+        block, size, held, n_held = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def close():
-            keys = np.unique(np.concatenate(held))
+            keys = distinct(np.concatenate(held))
             place = (bucket(keys.view(np.int64)) % buckets).astype(np.int64)
             order = np.argsort(place, kind="stable")
             keys, place = keys[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            first = edges(place)
             packed = [x.tobytes() for x in np.split(keys, first[1:])]
             for i in range(0, len(packed), 256):
                 n = len(packed[i:i + 256])
@@ -302,14 +458,14 @@ def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
                            held_out=batch.column("held_out").slice(a, b - a), n_tokens=pa.array(tokens.astype(np.int64)), known=pa.array(known),
                            total=pa.array(total), rare=pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
                            text=pa.array(normals, pa.binary()))
-                held.append(np.unique(runs_of(normals)[0]))
-                distinct += len(held[-1])
+                held.append(distinct(runs_of(normals)[0]))
+                n_held += len(held[-1])
                 size += sum(map(len, normals))
-                if distinct > MERGE_AT:
-                    held, distinct = [np.unique(np.concatenate(held))], 0
+                if n_held > MERGE_AT:
+                    held, n_held = [distinct(np.concatenate(held))], 0
                 if size > BLOCK_BYTES:
                     yield from close()
-                    block, size, held, distinct = block + 1, 0, [], 0
+                    block, size, held, n_held = block + 1, 0, [], 0
         if held:
             yield from close()
 
@@ -321,7 +477,7 @@ def unpacked(column, kind) -> np.ndarray:
 
 
 def distinct_runs(group: pa.Table) -> pa.Table:
-    return pa.table({"key": np.unique(unpacked(group["runs"], np.int64))})
+    return pa.table({"key": distinct(unpacked(group["runs"], np.int64))})
 
 
 def answered(asked: pa.Table, logs: pa.Table) -> pa.Table:
@@ -356,13 +512,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = materialize(count(docs.where(~F.col("held_out"))))
     model = frequent(counts)
     runs = counts.where(F.col("kind") == RUN).select("key", "n")
-    places = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(64, math.ceil(places / BUCKET_PLACES)) | 1  # grows with the input
+    top = top_of(runs)
+    buckets = max(64, math.ceil(top.places / BUCKET_PLACES)) | 1  # grows with the input
     part = materialize(parts(docs, model, buckets))
     asked, texts = part.where(F.col("bucket").isNotNull()).select("block", "bucket", "runs"), part.where(F.col("bucket").isNull())
-    wanted = asked.groupBy("bucket").applyInArrow(distinct_runs, "key long").join(runs, "key", "left")
-    tables = grow(materialize(wanted.select("key", F.coalesce("n", F.lit(0)).alias("n"))))
-    logs = tables[-1].select(F.pmod(bucket(F.col("key")), F.lit(buckets)).alias("bucket"), "key", F.log10("p").alias("log"))
+    wanted = runs.union(asked.groupBy("bucket").applyInArrow(distinct_runs, "key long").select("key", F.lit(0).cast("long")))
+    logs = grow(wanted, top, run_rows, "key long, log double")
+    logs = logs.select(F.pmod(bucket(F.col("key")), F.lit(buckets)).alias("bucket"), "key", "log")
     told = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answered, "block long, runs binary, logs binary")
     texts = texts.select("block", "doc_id", "held_out", "n_tokens", "known", "total", "rare", "text")
     found = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(

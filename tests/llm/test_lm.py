@@ -73,8 +73,9 @@ def log10_of(p, text):
     return sum(math.log10(p(s[i - lm.DEPTH:i], s[i])) for i in range(lm.DEPTH, len(s)))
 
 
-@pytest.mark.parametrize("context_share", [lm.CONTEXT_SHARE, 2e-3])
-def test_scores_against_plain_python(spark, monkeypatch, context_share):
+@pytest.mark.parametrize("context_share, group_runs", [(lm.CONTEXT_SHARE, lm.GROUP_RUNS), (2e-3, lm.GROUP_RUNS), (lm.CONTEXT_SHARE, 40)])
+def test_scores_against_plain_python(spark, monkeypatch, context_share, group_runs):
+    monkeypatch.setattr(lm, "GROUP_RUNS", group_runs)  # a small one splits groups down to long suffixes
     monkeypatch.setattr(lm, "CONTEXT_SHARE", context_share)
     monkeypatch.setattr(lm, "SYMBOL_SHARE", context_share / 16)
     monkeypatch.setattr(lm, "WORD_SHARE", 5e-3)  # so that some words are joined
