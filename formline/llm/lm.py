@@ -269,13 +269,13 @@ def suffix(size: int) -> Column:
     return F.shiftright("key", 8).bitwiseAND(F.lit(mask(size)))
 
 
-def owner(top: Top) -> list[Column]:
-    """The group of a run: the shortest suffix of its context that is not in ``top``."""
-    length, last = F.lit(len(top.levels)), suffix(len(top.levels))
+def owner(top: Top) -> Column:
+    """The group of a run: the shortest suffix of its context that is not in ``top``, with its length in the byte above."""
+    of = lambda k: suffix(k).bitwiseOR(F.lit(k << 8 * DEPTH))
+    group = of(len(top.levels))
     for k in range(len(top.levels) - 1, 1, -1):
-        inside = suffix(k).isin(top.levels[k].context.tolist())
-        length, last = F.when(inside, length).otherwise(k), F.when(inside, last).otherwise(suffix(k))
-    return [length.alias("length"), last.alias("suffix")]
+        group = F.when(suffix(k).isin(top.levels[k].context.tolist()), group).otherwise(of(k))
+    return group.alias("group")
 
 
 def subtree(group: pa.Table, length: int, top: Top) -> dict[int, Rows]:
@@ -333,13 +333,13 @@ def top_of(runs: DataFrame) -> Top:
     sent = runs.sparkSession.sparkContext.broadcast(top)
 
     def telling(key, group):
-        length = key[0].as_py()
+        length = key[0].as_py() >> 8 * DEPTH
         kept = bool(subtree(group, length, sent.value)[length].retained.any())
-        return pa.table({"length": pa.array([length] * kept, pa.int32()), "suffix": pa.array([key[1].as_py()] * kept, pa.int64())})
+        return pa.table({"group": pa.array([key[0].as_py()] * kept, pa.int64())})
 
-    asked = runs.where(reduce(Column.__or__, open_)).select("key", "n", *owner(top))
-    for length, last in asked.groupBy("length", "suffix").applyInArrow(telling, "length int, suffix long").collect():
-        top.suffixes(np.array([last], U), length)
+    asked = runs.where(reduce(Column.__or__, open_)).select("key", "n", owner(top))
+    for group, in asked.groupBy("group").applyInArrow(telling, "group long").collect():  # at most one for every group
+        top.suffixes(np.array([group & mask(DEPTH)], U), group >> 8 * DEPTH)
     for k in range(1, len(levels)):
         levels[k].smooth(levels[k - 1].p[top.above(k, levels[k].keys)])
     return top
@@ -351,9 +351,9 @@ def grow(runs: DataFrame, top: Top, rows_of, ddl: str) -> DataFrame:
     sent = runs.sparkSession.sparkContext.broadcast(top)
 
     def made(key, group):
-        return rows_of(grown(group, key[0].as_py(), sent.value))
+        return rows_of(grown(group, key[0].as_py() >> 8 * DEPTH, sent.value))
 
-    return runs.select("key", "n", *owner(top)).groupBy("length", "suffix").applyInArrow(made, ddl)
+    return runs.select("key", "n", owner(top)).groupBy("group").applyInArrow(made, ddl)
 
 
 def retained_rows(levels: dict[int, Rows]) -> pa.Table:
@@ -440,14 +440,12 @@ def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
 
         def close():
             keys = distinct(np.concatenate(held))
-            place = (bucket(keys.view(np.int64)) % buckets).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            keys, place = keys[order], place[order]
+            keys, place = by_bucket(keys, buckets)
             first = edges(place)
-            packed = [x.tobytes() for x in np.split(keys, first[1:])]
-            for i in range(0, len(packed), 256):
-                n = len(packed[i:i + 256])
-                yield made(n, block=pa.array(np.full(n, block)), bucket=pa.array(place[first[i:i + 256]]), runs=pa.array(packed[i:i + 256], pa.binary()))
+            asked = [packed(x) for x in np.split(keys, first[1:])]
+            for i in range(0, len(asked), 256):
+                n = len(asked[i:i + 256])
+                yield made(n, block=pa.array(np.full(n, block)), bucket=pa.array(place[first[i:i + 256]]), runs=pa.array(asked[i:i + 256], pa.binary()))
 
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
@@ -472,31 +470,50 @@ def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PART)
 
 
-def unpacked(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys, all first bytes before all second ones and so on: high bytes repeat and compress well."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def by_bucket(runs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs ordered by their bucket, and the buckets."""
+    place = (bucket(runs.view(np.int64)) % buckets).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    return runs[order], place[order]
 
 
 def distinct_runs(group: pa.Table) -> pa.Table:
-    return pa.table({"key": distinct(unpacked(group["runs"], np.int64))})
+    return pa.table({"key": distinct(np.concatenate([unpacked(r) for r in group["runs"].to_pylist()]))})
 
 
 def answered(asked: pa.Table, logs: pa.Table) -> pa.Table:
-    """The runs that the blocks ask for in one bucket, with their logs."""
+    """The logs of the runs that the blocks ask for in one bucket, in their order."""
     order = np.argsort(logs["key"].to_numpy())
     key, log = logs["key"].to_numpy()[order], logs["log"].to_numpy()[order]
-    found = [log[np.searchsorted(key, np.frombuffer(r, np.int64))].tobytes() for r in asked["runs"].to_pylist()]
-    return pa.table({"block": asked["block"], "runs": asked["runs"], "logs": pa.array(found, pa.binary())})
+    found = [log[np.searchsorted(key, unpacked(r))].tobytes() for r in asked["runs"].to_pylist()]
+    return pa.table({"block": asked["block"], "bucket": asked["bucket"], "logs": pa.array(found, pa.binary())})
 
 
-def block_scores(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """The documents of one block with the sums of their runs' logs."""
-    keys, logs = unpacked(told["runs"], U), unpacked(told["logs"], np.float64)
+def block_scores(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """The documents of one block with the sums of their runs' logs; its distinct runs are found as they were for asking."""
+    texts, held, n_held = docs["text"].combine_chunks(), [np.empty(0, U)], 0
+    for _, _, part in text_slices(texts):
+        held.append(distinct(runs_of(part)[0]))
+        n_held += len(held[-1])
+        if n_held > MERGE_AT:
+            held, n_held = [distinct(np.concatenate(held))], 0
+    keys, _ = by_bucket(distinct(np.concatenate(held)), buckets)
+    logs = np.frombuffer(b"".join(told.sort_by("bucket")["logs"].to_pylist()), np.float64)
     order = np.argsort(keys)
     keys, logs = keys[order], logs[order]
     slot = lambda runs: ((runs * U(0x9E3779B97F4A7C15)) >> U(64 - CACHE_BITS)).astype(np.int64)
     quick = np.zeros(1 << CACHE_BITS, np.int64)  # a place to look at before searching
     quick[slot(keys)] = np.arange(len(keys))
-    scores, texts = [], docs["text"].combine_chunks()
+    scores = []
     for _, _, part in text_slices(texts):
         runs, sizes = runs_of(part)
         at = quick[slot(runs)]
@@ -519,10 +536,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wanted = runs.union(asked.groupBy("bucket").applyInArrow(distinct_runs, "key long").select("key", F.lit(0).cast("long")))
     logs = grow(wanted, top, run_rows, "key long, log double")
     logs = logs.select(F.pmod(bucket(F.col("key")), F.lit(buckets)).alias("bucket"), "key", "log")
-    told = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answered, "block long, runs binary, logs binary")
+    told = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answered, "block long, bucket long, logs binary")
     texts = texts.select("block", "doc_id", "held_out", "n_tokens", "known", "total", "rare", "text")
     found = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        block_scores, "doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, score double")
+        lambda docs, told: block_scores(docs, told, buckets), "doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, score double")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()))
     rare = found.select("row", F.explode("rare").alias("key")).join(
         counts.where((F.col("kind") == WORD) & (F.col("n") < WORD_SHARE * model.tokens)).select("key", "n"), "key")
