@@ -48,11 +48,17 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def plain(text: str) -> bool:
+    """ASCII without a special token."""
+    return text.isascii() and "<|" not in text
+
+
 class ByteEncoder:
     """Ids of a byte-level BPE file as ``tokenizers`` gives them, as little-endian bytes.
 
-    Pieces of plain ASCII go through ``tiktoken`` with the ranks of the same file;
-    whatever may hold a special token or other characters goes through ``tokenizers``.
+    Texts of plain ASCII go through ``tiktoken`` whole, with the ranks of the same file, which is
+    faster than looking up their words. Other texts are cut into pieces, whose ids are remembered;
+    pieces that may hold a special token or other characters go through ``tokenizers``.
     """
 
     def __init__(self, spec: str):
@@ -75,7 +81,7 @@ class ByteEncoder:
         for i, piece in enumerate(pieces):
             if without(piece):
                 continue
-            if piece.isascii() and "<|" not in piece:
+            if plain(piece):
                 out[i] = array("I", self.fast.encode_ordinary(before + piece)).tobytes()
             else:
                 slow.append(i)
@@ -87,14 +93,17 @@ class ByteEncoder:
     def ids(self, texts: list[str]):
         """The ids of each text, four bytes each."""
         for a, b in slices(texts):
-            split = [t.split(" ") for t in texts[a:b]]
-            first, after = {p[0] for p in split}, set()
-            for p in split:
+            split = [None if plain(t) else t.split(" ") for t in texts[a:b]]
+            first, after = {p[0] for p in split if p}, set()
+            for p in filter(None, split):
                 after.update(p[1:])
             made = [(self.first, self.first.fill(first, lambda x: self._encode(x, "", odd))),
                     (self.after, self.after.fill(after, lambda x: self._encode(x, " ", odd)))]
             start, get = self.first.young, self.after.young.__getitem__
-            for p in split:
+            for text, p in zip(texts[a:b], split):
+                if p is None:
+                    yield array("I", self.fast.encode_ordinary(text)).tobytes()
+                    continue
                 try:
                     yield start[p[0]] + b"".join(map(get, p[1:]))
                 except TypeError:  # an odd piece has no ids of its own
