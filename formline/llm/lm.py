@@ -41,6 +41,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ FOLDS, HELD_OUT = 7, 2
 WORD, RUN = 0, 1
 END_KEY = np.uint64(0x656E64)
 MERGE_AT, SEND_AT, CACHE_BITS = 1_500_000, 1_200_000, 21
-#: Bytes of text that are scored together, and training positions a bucket of runs.
+#: Bytes of text that are scored together, and bytes of all text for a bucket of keys.
 BLOCK_BYTES, BUCKET_PLACES = 32_000_000, 4_000_000
 #: Distinct training runs under one suffix that are taken together.
 GROUP_RUNS = 2_000_000
@@ -109,16 +110,53 @@ def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[edge], np.add.reduceat(counts, edge)
 
 
-def count(docs: DataFrame) -> DataFrame:
+def bucket(key):
+    """A number that spreads runs, of an array or of a column of them."""
+    shift, xor = (F.shiftright, Column.bitwiseXOR) if isinstance(key, Column) else (np.right_shift, np.bitwise_xor)
+    return xor(xor(key, shift(key, 21)), shift(key, 39))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, all first bytes before all second ones and so on: the high bytes of sorted runs repeat."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def by_bucket(runs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs ordered by their bucket, and the buckets."""
+    place = (bucket(runs.view(np.int64)) % buckets).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    return runs[order], place[order]
+
+
+def buckets_of(docs: DataFrame) -> int:
+    """Buckets for keys, in proportion to all text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    return max(64, math.ceil(size / BUCKET_PLACES)) | 1
+
+
+def merged(group: pa.Table) -> pa.Table:
+    keys, n = tally([tuple(np.concatenate([unpacked(x) for x in group[c].to_pylist()]) for c in ("key", "n"))])
+    return pa.table({"kind": pa.array(np.full(len(keys), group["kind"][0].as_py(), np.int32)), "key": keys, "n": n})
+
+
+def count(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``kind, key, n``: counts of words and of runs of bytes."""
+    buckets = buckets or buckets_of(docs)
 
     def sent(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]):
         keys, n = tally(parts)
-        for i in range(0, len(keys), 100_000):
-            part = keys[i:i + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[i:i + 100_000].astype(np.int64))],
-                ["kind", "key", "n"])
+        place = (bucket(keys.view(np.int64)) % buckets).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        keys, n, place = keys[order], n[order].astype(np.int64), place[order]
+        first = edges(place)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(first), kind, np.int32)), pa.array(place[first]),
+             *(pa.array([packed(x) for x in np.split(values, first[1:])], pa.binary()) for values in (keys, n))],
+            ["kind", "bucket", "key", "n"])
 
     def run(batches):
         worker_store()
@@ -141,8 +179,8 @@ def count(docs: DataFrame) -> DataFrame:
             if held[kind]:
                 yield from sent(kind, held[kind])
 
-    parts = docs.select("text").mapInArrow(run, "kind int, key long, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    parts = docs.select("text").mapInArrow(run, "kind int, bucket long, key binary, n binary")
+    return parts.groupBy("kind", "bucket").applyInArrow(merged, "kind int, key long, n long")
 
 
 @dataclass
@@ -416,12 +454,6 @@ def base(model: Words, texts: list[bytes]):
     return counts + 1, known, total, hashes[~there], which[~there]
 
 
-def bucket(key):
-    """A number that spreads runs, of an array or of a column of them."""
-    shift, xor = (F.shiftright, Column.bitwiseXOR) if isinstance(key, Column) else (np.right_shift, np.bitwise_xor)
-    return xor(xor(key, shift(key, 21)), shift(key, 39))
-
-
 PART = "block long, doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, text binary, bucket long, runs binary"
 
 
@@ -470,22 +502,6 @@ def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PART)
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys, all first bytes before all second ones and so on: high bytes repeat and compress well."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
-def by_bucket(runs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs ordered by their bucket, and the buckets."""
-    place = (bucket(runs.view(np.int64)) % buckets).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    return runs[order], place[order]
-
-
 def distinct_runs(group: pa.Table) -> pa.Table:
     return pa.table({"key": distinct(np.concatenate([unpacked(r) for r in group["runs"].to_pylist()]))})
 
@@ -526,11 +542,11 @@ def block_scores(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row per row of ``docs``."""
     docs = id_and_text(docs, id_col, text_col).withColumn("held_out", held_out())
-    counts = materialize(count(docs.where(~F.col("held_out"))))
+    buckets = buckets_of(docs)
+    counts = materialize(count(docs.where(~F.col("held_out")), buckets))
     model = frequent(counts)
     runs = counts.where(F.col("kind") == RUN).select("key", "n")
     top = top_of(runs)
-    buckets = max(64, math.ceil(top.places / BUCKET_PLACES)) | 1  # grows with the input
     part = materialize(parts(docs, model, buckets))
     asked, texts = part.where(F.col("bucket").isNotNull()).select("block", "bucket", "runs"), part.where(F.col("bucket").isNull())
     wanted = runs.union(asked.groupBy("bucket").applyInArrow(distinct_runs, "key long").select("key", F.lit(0).cast("long")))
