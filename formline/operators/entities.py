@@ -78,7 +78,7 @@ def match_partial(df: DataFrame, column: str, glossary: DataFrame, out: str) ->
     """Exact glossary hit, else the first entry (file order) whose key contains
     the name or is contained in it, else the upper-cased name."""
     names = df.select(F.col(column).alias("_name")).filter(F.length(F.trim(column)) > 0).distinct()
-    names = materialize(names.withColumn("_up", F.upper(F.trim("_name"))))
+    names = materialize(names.withColumn("_up", T.upper(F.trim("_name"))))
     keys = materialize(glossary.select("variant", "target", "ord").filter(F.length("variant") > 0))
     distinct_names, distinct_keys = names.select("_up").distinct(), keys.select("variant").distinct()
     exact = names.join(keys, F.col("_up") == F.col("variant")).select(
@@ -92,7 +92,7 @@ def match_partial(df: DataFrame, column: str, glossary: DataFrame, out: str) ->
     best = (exact.unionByName(near)
             .groupBy("_name").agg(F.min(F.struct("_rank", "ord", "target")).alias("_best"))
             .select("_name", F.col("_best.target").alias("_answer")))
-    return _by_name(df, best, column, out, F.upper(F.trim(F.col(column))))
+    return _by_name(df, best, column, out, T.upper(F.trim(F.col(column))))
 
 
 def match_feed_label(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import constants as K
+from formline.functions import text as T
 from formline.operators import folded
 
 
@@ -38,7 +39,7 @@ def validate_glossary(glossary: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.coalesce(key, F.lit("")) == "").alias("bad_key"),
         F.count_if(F.coalesce(value, F.lit("")) == "").alias("bad_value"),
-        F.count_if(F.trim(F.upper(key)) == F.trim(F.upper(value))).alias("self"))
+        F.count_if(F.trim(T.upper(key)) == F.trim(T.upper(value))).alias("self"))
     return _report(row, [
         ("empty", "error", (F.col("total") == 0).cast("int"), F.lit("glossary is empty")),
         ("bad_key", "error", F.col("bad_key"), F.lit("invalid keys")),
@@ -87,7 +88,7 @@ def validate_fixtures(fixtures: DataFrame, home: str = "home", away: str = "away
     row = fixtures.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col(home).isNull()).alias("no_home"),
         F.count_if(F.col(away).isNull()).alias("no_away"),
-        F.count_if(F.upper(F.col(home)) == F.upper(F.col(away))).alias("same"))
+        F.count_if(T.upper(F.col(home)) == T.upper(F.col(away))).alias("same"))
     return _report(row, [
         ("empty", "warning", (F.col("total") == 0).cast("int"), F.lit("no fixtures")),
         ("null_home", "error", F.col("no_home"), F.lit("fixtures without home team")),

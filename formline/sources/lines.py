@@ -35,7 +35,7 @@ def parse_glossary(lines: DataFrame, ord_col: str = "pos", plain: bool = False)
     sep, key, target = _split_entry(F.col("line"))
     rows = rows.select("ord", sep.alias("sep"), key.alias("key"), target.alias("target")).filter(F.col("sep").isNotNull())
     if plain:
-        rows = rows.select("ord", F.upper("key").alias("variant"), F.upper("target").alias("target"))
+        rows = rows.select("ord", T.upper(F.col("key")).alias("variant"), T.upper(F.col("target")).alias("target"))
     else:
         bare = F.trim(F.substring_index("target", "#", 1))
         rows = rows.select("ord", T.canonical(F.col("key")).alias("variant"), T.canonical(bare).alias("target"))

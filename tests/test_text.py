@@ -303,3 +303,15 @@ def test_teams_of_page_scores(spark):
     gloss = L.parse_glossary(lines(spark, ["NOB SF -> ROSARIO X"]))
     r = P.with_teams(scored, gloss).first()
     assert (r["Home"], r["Home_Team"], r["Away_Team"]) == ("Unión", "UNION DE SANTA FE", "ROSARIO X")
+
+
+def test_upper_case_keeps_the_length_of_a_text(spark):
+    texts = ["Große Straße", "ŉ ǰ ﬁ ᾀ ᾈ ΰ և", "Ñandú xß", "plain", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.upper(F.col("t")).alias("u"), X.canonical(F.col("t")).alias("c"))
+    got = {r["t"]: (r["u"], r["c"]) for r in rows.collect()}
+    assert got["Große Straße"] == ("GROẞE STRAẞE", "GROẞE STRAẞE")
+    assert got["ŉ ǰ ﬁ ᾀ ᾈ ΰ և"][0] == "ŉ ǰ ﬁ ᾈ ᾈ ΰ և"
+    assert got["Ñandú xß"] == ("ÑANDÚ Xẞ", "NANDU Xẞ")
+    assert got["plain"] == ("PLAIN", "PLAIN") and got[""] == ("", "") and got[None] == (None, "")
+    scored = P.with_teams(P.page_scores(spark.createDataFrame([(1, "<p>Straße FC 3 - 1 Weiß SF</p>")], "page_id int, html string")))
+    assert [(r["Home_Team"], r["Away_Team"]) for r in scored.collect()] == [("STRAẞE FC", "WEIẞ SF")]
