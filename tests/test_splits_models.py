@@ -147,6 +147,19 @@ def test_bootstrap_buckets_hold_every_row_once(spark):
     assert got["ll_delta"].sum() == pytest.approx(sum(i % 7 - 3.0 for i in range(50_000)))
 
 
+def test_bootstrap_resamples_single_rows(spark):
+    """More rows than any fixed number of groups: every row has weights of its own."""
+    n, draws = 6000, 200
+    delta = np.random.default_rng(5).normal(0.01, 0.3, n)
+    pos = np.arange(n) * 2 + 2 ** 31 - 5000
+    df = spark.createDataFrame([(int(p), float(d), float(2 * d)) for p, d in zip(pos, delta)], "pos long, ll_delta double, brier_delta double")
+    w = plain_bootstrap_weights(pos, np.arange(draws))
+    low, high = np.percentile(delta @ w / w.sum(axis=0), [2.5, 97.5])
+    got = {r["measure"]: (r["ci_low"], r["ci_high"]) for r in C.bootstrap_ci(df, draws).collect()}
+    assert got["ll_delta"] == pytest.approx((low, high), abs=1e-12)
+    assert got["brier_delta"] == pytest.approx((2 * low, 2 * high), abs=1e-12)
+
+
 def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([(i, 1, 0, float(i % 7 - 3), 0.0) for i in range(100)],
                                "pos long, fold int, y_true int, ll_delta double, brier_delta double")
