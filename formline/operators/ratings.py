@@ -85,15 +85,15 @@ def _walk_matches(rows: pd.DataFrame, states: pd.DataFrame):
     """Match-by-match walk with margin multiplier and season pull to the base."""
     ratings = _opening(states)
     keep = 1.0 - K.MOV_REVERSION
-    out = []
 
     def now(team: str, season: int) -> float:
         elo, seen = ratings.get(team, (K.BASE_ELO, season))
         return K.BASE_ELO + (elo - K.BASE_ELO) * keep ** (season - seen)
 
     rows = rows.sort_values("pos", kind="stable")
-    columns = [rows[c].tolist() for c in ("match_id", "home", "away", "hg", "ag", "season_no")]
-    for match, home, away, hg, ag, season in zip(*columns):
+    around = np.empty((len(rows), 4))
+    columns = [rows[c].array for c in ("home", "away", "hg", "ag", "season_no")]
+    for i, (home, away, hg, ag, season) in enumerate(zip(*columns)):
         rh, ra = now(home, season), now(away, season)
         score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
         damp = 2.2 / (abs(rh + K.HOME_ADVANTAGE - ra) * 0.001 + 2.2)
@@ -101,8 +101,9 @@ def _walk_matches(rows: pd.DataFrame, states: pd.DataFrame):
         new_h = _bound(rh + gain, K.MOV_MIN, K.MOV_MAX)
         new_a = _bound(ra - gain, K.MOV_MIN, K.MOV_MAX)
         ratings[home], ratings[away] = (new_h, season), (new_a, season)
-        out.append((match, rh, ra, new_h, new_a))
-    return out, ratings
+        around[i] = rh, ra, new_h, new_a
+    names = ("home_before", "away_before", "home_after", "away_after")
+    return {"match_id": rows["match_id"].to_numpy()} | dict(zip(names, around.T)), ratings
 
 
 def _closing(walk: Callable):

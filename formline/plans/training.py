@@ -18,7 +18,9 @@ def train_production(features: DataFrame, order_by: list, names: list[str] = K.F
     Draws are not weighed down. Each fold holds back the last tenth of its training rows to stop early; the final
     model, of all rows, holds nothing back. Lines have ``fold, n_train, n_held, n_tested, accuracy, log_loss``.
     """
-    folds = materialize(segment_folds(features, order_by, n_splits))
+    if all(isinstance(c, str) for c in order_by):
+        features = features.select(*dict.fromkeys([*order_by, "date", "season", "res", *names]))
+    folds = segment_folds(features, order_by, n_splits)
     fits, rows, parts = models.fit_outcome_folds(folds, names, early_stopping=True, final=True)
     oof = materialize(models.score_folds(rows, fits))
     used = [(f, int(p.held), int(p.end - p.held)) for f, p in zip(fits, parts["problems"]) if f is not None]

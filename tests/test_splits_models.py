@@ -285,3 +285,12 @@ def test_poisson_fit_settles_from_a_bad_start_and_reports_when_it_does_not(spark
 def test_cross_validation_without_tested_rows(spark):
     folds = spark.createDataFrame([(0, 0, 1, 1.0)], "pos long, fold int, res int, x double")
     assert MD.cross_validate(folds, ["x"]).count() == 0
+
+
+def test_folds_of_placed_rows_are_those_of_sorted_rows(spark):
+    rows = spark.range(103).selectExpr("(id * 37) % 103 AS k", "IF(id % 10 = 3, NULL, id) AS x")
+    placed = rows.withColumn("ordinal", F.col("k"))
+    for kept in (placed, placed.dropna(subset=["x"])):
+        want = {tuple(r) for r in SP.time_series_folds(kept.drop("ordinal"), ["k"]).select("k", "pos", "fold").collect()}
+        got = SP.placed_folds(placed, kept, ["k"])
+        assert {tuple(r) for r in got.select("k", "pos", "fold").collect()} == want and "ordinal" not in got.columns
