@@ -89,15 +89,27 @@ class Multinomial:
         return float((w * (top + np.log(np.exp(eta - top[:, None]).sum(axis=1)) - eta[np.arange(len(y)), y.astype(int)])).sum())
 
     def slopes(self, z, y, w, beta):
-        p = softmax(z @ beta.reshape(CLASSES, -1).T)
+        return self.step(z, y, w, beta)[1:]
+
+    def step(self, z, y, w, beta):
+        """Loss, gradient and curvature. Shares add up to one, so the blocks of two different classes give those of one."""
+        eta = z @ beta.reshape(CLASSES, -1).T
+        top = eta.max(axis=1)
+        mass = np.exp(eta - top[:, None])
+        whole = mass.sum(axis=1)
+        loss = float((w * (top + np.log(whole) - eta[np.arange(len(y)), y.astype(int)])).sum())
+        p = mass / whole[:, None]
         off = p - (y[:, None] == np.arange(CLASSES))
         wide = z.shape[1]
-        curve = np.empty((CLASSES, wide, CLASSES, wide))
+        curve = np.zeros((CLASSES, wide, CLASSES, wide))
         for a in range(CLASSES):
-            for b in range(CLASSES):
-                share = w * p[:, a] * ((a == b) - p[:, b])
-                curve[a, :, b] = (z * share[:, None]).T @ z
-        return ((off * w[:, None]).T @ z).ravel(), curve.reshape(CLASSES * wide, -1)
+            for b in range(a):
+                block = (z * (w * p[:, a] * p[:, b])[:, None]).T @ z
+                curve[a, :, b] -= block
+                curve[b, :, a] -= block
+                curve[a, :, a] += block
+                curve[b, :, b] += block
+        return loss, ((off * w[:, None]).T @ z).ravel(), curve.reshape(CLASSES * wide, -1)
 
     def free(self, size: int) -> np.ndarray:
         """Coefficients without penalty."""
@@ -116,14 +128,25 @@ class LogRate:
             return float((w * (np.exp(eta) - y * eta)).sum())
 
     def slopes(self, z, y, w, beta):
+        return self.step(z, y, w, beta)[1:]
+
+    def step(self, z, y, w, beta):
+        eta = z @ beta
         with np.errstate(over="ignore"):
-            mu = np.exp(z @ beta)
-        return (w * (mu - y)) @ z, (z * (w * mu)[:, None]).T @ z
+            mu = np.exp(eta)
+        return float((w * (mu - y * eta)).sum()), (w * (mu - y)) @ z, (z * (w * mu)[:, None]).T @ z
 
     def free(self, size: int) -> np.ndarray:
         return np.arange(size) == 0
 
 
+def taken(own: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The own rows of the arrays; rows come in order of their positions, so mostly all or none are, and nothing is copied."""
+    if own.all():
+        return arrays
+    return tuple(a[own] if own.any() else a[:0] for a in arrays)
+
+
 def _read(batch, problem: Problem):
     y = batch.column(problem.label).to_numpy(zero_copy_only=False).astype(float)
     w = batch.column(problem.weight).to_numpy(zero_copy_only=False).astype(float) if problem.weight else np.ones(len(y))
@@ -206,10 +229,10 @@ def newton(rows: DataFrame, family, problems: list[Problem], penalty: float, sta
                 p = problems[i]
                 pos, x, y, w = _read(batch, p)
                 own, held = (pos < p.end) & (pos < p.held), (pos < p.end) & (pos >= p.held)
-                z = p.design(x[own])
-                gradient, curve = family.slopes(z, y[own], w[own], betas[i])
+                x_own, y_own, w_own = taken(own, x, y, w)
+                loss, gradient, curve = family.step(p.design(x_own), y_own, w_own, betas[i])
                 aside = family.loss(p.design(x[held]), y[held], w[held], betas[i]) if held.any() else 0.0
-                out += [[w[own].sum(), family.loss(z, y[own], w[own], betas[i]), w[held].sum(), aside], gradient, curve.ravel()]
+                out += [[w_own.sum(), loss, w[held].sum(), aside], gradient, curve.ravel()]
             return np.concatenate(out)
 
         sums, at = summed(rows, part, sum(widths)), 0
