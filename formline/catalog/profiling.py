@@ -19,6 +19,7 @@ from formline.catalog.sql import CTES, DEPENDS, r, with_ctes
 from formline.catalog.text import cust, glossary
 from formline.catalog.shared import feature_table
 from formline.operators import quality as Q, stat_tables as ST, windows as W
+from formline.session import materialize
 
 
 def check(source: str, rows: list[tuple[str, str, str, str]]) -> str:
@@ -241,6 +242,7 @@ def _overlaps(spark, sf_dir) -> DataFrame:
             "roll10_form": "PPG10", "roll5_gd": "GD5", "roll10_gd": "GD10"}
     state = state.withColumns({f"EWMA_GD{h}": F.col(f"ewma{h}_gf") - F.col(f"ewma{h}_ga") for h in (2, 4)})
     cols = cols | {"EWMA_GD2": "EWMA_GD2", "EWMA_GD4": "EWMA_GD4"}
+    state = materialize(state.select(*W.STATE_KEY, *cols))  # each side reads it more than once
     out = None
     for side in ("home", "away"):
         part = state.select("league", F.col("team").alias(side), "batch_ts", *[F.col(c).alias(n) for c, n in cols.items()])
