@@ -19,8 +19,9 @@ over the start of the text as well.
   ``(count + d p) / (n + d)``, ``p`` being its suffix's probability; symbols it does not
   list share the rest in proportion to ``p``. The root adds one to every byte.
 * Scoring: every byte is predicted in the longest retained suffix of what stands before
-  it. Documents are gathered in blocks of bounded size; the distinct runs of every block go
-  through the tree with those of the training documents, and their logs go back, by buckets.
+  it. Documents are dealt to blocks of bounded size and sent there once, compressed; the distinct
+  runs of every block go packed to the groups in which the subtrees are grown, and the logs go back
+  packed: in the order of their suffixes, runs predicted alike stand together and are sent once.
 
 The base needs a count for every word of every document. Words with a share of at
 least ``WORD_SHARE`` of the training tokens, at most ``1 / WORD_SHARE`` of them, are
@@ -60,7 +61,7 @@ WORD, RUN = 0, 1
 END_KEY = np.uint64(0x656E64)
 MERGE_AT, SEND_AT, CACHE_BITS = 1_500_000, 1_200_000, 21
 #: Bytes of text that are scored together, and bytes of all text for a bucket of keys.
-BLOCK_BYTES, BUCKET_PLACES = 32_000_000, 4_000_000
+BLOCK_BYTES, BUCKET_PLACES = 24_000_000, 4_000_000
 #: Distinct training runs under one suffix that are taken together.
 GROUP_RUNS = 2_000_000
 U = np.uint64
@@ -125,16 +126,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def by_bucket(runs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs ordered by their bucket, and the buckets."""
-    place = (bucket(runs.view(np.int64)) % buckets).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    return runs[order], place[order]
+def text_size(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
 
 
-def buckets_of(docs: DataFrame) -> int:
+def buckets_of(size: int) -> int:
     """Buckets for keys, in proportion to all text."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     return max(64, math.ceil(size / BUCKET_PLACES)) | 1
 
 
@@ -145,7 +142,7 @@ def merged(group: pa.Table) -> pa.Table:
 
 def count(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``kind, key, n``: counts of words and of runs of bytes."""
-    buckets = buckets or buckets_of(docs)
+    buckets = buckets or buckets_of(text_size(docs))
 
     def sent(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]):
         keys, n = tally(parts)
@@ -400,11 +397,6 @@ def retained_rows(levels: dict[int, Rows]) -> pa.Table:
     return pa.table(dict(zip(("level", "key", "p", "rest"), map(np.concatenate, zip(*parts)))))
 
 
-def run_rows(levels: dict[int, Rows]) -> pa.Table:
-    """``key, log`` of whole runs."""
-    return pa.table({"key": levels[DEPTH].keys.view(np.int64), "log": np.log10(levels[DEPTH].p)})
-
-
 def frequent(counts: DataFrame) -> Words:
     """The base from the counts of the training documents."""
     words = counts.where(F.col("kind") == WORD)
@@ -454,108 +446,156 @@ def base(model: Words, texts: list[bytes]):
     return counts + 1, known, total, hashes[~there], which[~there]
 
 
-PART = "block long, doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, text binary, bucket long, runs binary"
+def turned(runs: np.ndarray) -> np.ndarray:
+    """Runs with the last two bytes of the context first, then the symbol, then the other bytes backwards: in this order
+    runs that are predicted in the same suffix stand together, and groups come in parts."""
+    return ((runs >> U(8) & U(mask(2))) << U(48)) | ((runs & U(255)) << U(40)) | (runs.byteswap() & U(mask(5)))
 
 
-def parts(docs: DataFrame, words: Words, buckets: int) -> DataFrame:
-    """Documents in blocks of about ``BLOCK_BYTES``, with what the base knows of each, and the distinct runs of every block by bucket."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    fields = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-                        ("total", pa.float64()), ("rare", pa.list_(pa.int64())), ("text", pa.binary()), ("bucket", pa.int64()), ("runs", pa.binary())])
+def turned_back(runs: np.ndarray) -> np.ndarray:
+    return (runs & U(mask(5))).byteswap() | (runs >> U(48) << U(8)) | (runs >> U(40) & U(255))
 
-    def made(n: int, **columns):
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=fields)
 
-    def run(batches):
-        worker_store()
-        block, size, held, n_held = TaskContext.get().partitionId() << 32, 0, [], 0
+def owners(runs: np.ndarray, top: Top) -> np.ndarray:
+    """``owner`` of an array of runs."""
+    context = runs >> U(8)
+    of = lambda k: (context & U(mask(k))) | U(k << 8 * DEPTH)
+    group = of(2)
+    for k in range(2, len(top.levels)):
+        group = np.where(find(top.levels[k].context, context & U(mask(k)))[1], of(k + 1), group)
+    return group.view(np.int64)
+
+
+def sealed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-        def close():
-            keys = distinct(np.concatenate(held))
-            keys, place = by_bucket(keys, buckets)
-            first = edges(place)
-            asked = [packed(x) for x in np.split(keys, first[1:])]
-            for i in range(0, len(asked), 256):
-                n = len(asked[i:i + 256])
-                yield made(n, block=pa.array(np.full(n, block)), bucket=pa.array(place[first[i:i + 256]]), runs=pa.array(asked[i:i + 256], pa.binary()))
 
+def parts(docs: DataFrame, words: Words, blocks: int) -> DataFrame:
+    """``block, data``: slices of the documents, compressed, with what the base knows of each, dealt to the blocks in turn."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        worker_store()
+        block = TaskContext.get().partitionId() * 7919 % blocks
         for batch in batches:
             for a, b, texts in text_slices(batch.column("text")):
                 normals = [normal(t) for t in texts]
                 tokens, known, total, rare, which = base(sent.value, normals)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=b - a))]).astype(np.int32)
-                yield made(b - a, block=pa.array(np.full(b - a, block)), doc_id=batch.column("doc_id").slice(a, b - a),
-                           held_out=batch.column("held_out").slice(a, b - a), n_tokens=pa.array(tokens.astype(np.int64)), known=pa.array(known),
-                           total=pa.array(total), rare=pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))),
-                           text=pa.array(normals, pa.binary()))
-                held.append(distinct(runs_of(normals)[0]))
-                n_held += len(held[-1])
-                size += sum(map(len, normals))
-                if n_held > MERGE_AT:
-                    held, n_held = [distinct(np.concatenate(held))], 0
-                if size > BLOCK_BYTES:
-                    yield from close()
-                    block, size, held, n_held = block + 1, 0, [], 0
-        if held:
-            yield from close()
+                data = sealed(pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(a, b - a), "held_out": batch.column("held_out").slice(a, b - a),
+                    "n_tokens": pa.array(tokens.astype(np.int64)), "known": pa.array(known), "total": pa.array(total),
+                    "rare": pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))), "text": pa.array(normals, pa.binary())}))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
+                block = (block + 1) % blocks
 
-    return docs.mapInArrow(run, PART)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "block long, data binary")
 
 
-def distinct_runs(group: pa.Table) -> pa.Table:
-    return pa.table({"key": distinct(np.concatenate([unpacked(r) for r in group["runs"].to_pylist()]))})
+def runs_of_block(group: pa.Table) -> np.ndarray:
+    """The distinct runs of a block, turned."""
+    held, n_held = [np.empty(0, U)], 0
+    for data in group["data"]:
+        for _, _, part in text_slices(opened(data.as_buffer())["text"].combine_chunks()):
+            held.append(distinct(turned(runs_of(part)[0])))
+            n_held += len(held[-1])
+            if n_held > MERGE_AT:
+                held, n_held = [distinct(np.concatenate(held))], 0
+    return distinct(np.concatenate(held))
 
 
-def answered(asked: pa.Table, logs: pa.Table) -> pa.Table:
-    """The logs of the runs that the blocks ask for in one bucket, in their order."""
-    order = np.argsort(logs["key"].to_numpy())
-    key, log = logs["key"].to_numpy()[order], logs["log"].to_numpy()[order]
-    found = [log[np.searchsorted(key, unpacked(r))].tobytes() for r in asked["runs"].to_pylist()]
-    return pa.table({"block": asked["block"], "bucket": asked["bucket"], "logs": pa.array(found, pa.binary())})
+def by_owner(runs: np.ndarray, top: Top) -> tuple[np.ndarray, np.ndarray]:
+    """The order of turned runs by their group, and the groups in that order."""
+    group = owners(turned_back(runs), top)
+    order = np.argsort(group, kind="stable")
+    return order, group[order]
 
 
-def block_scores(docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+def asked_by(block: int, group: pa.Table, top: Top) -> pa.Table:
+    """The distinct runs of a block by group."""
+    keys = runs_of_block(group)
+    order, group_of = by_owner(keys, top)
+    first = edges(group_of)
+    asked = [packed(x) for x in np.split(keys[order], first[1:])]
+    return pa.table({"block": np.full(len(asked), block, np.int64), "group": group_of[first], "runs": pa.array(asked, pa.binary())})
+
+
+def answered(group: int, asked: pa.Table, runs: pa.Table, top: Top) -> pa.Table:
+    """The logs of the runs that the blocks ask for in one group, in their order: every change and how often it holds.
+
+    The asked runs are unpacked block by block.
+    """
+    pieces, wanted, n_wanted = asked["runs"].to_pylist(), [np.empty(0, U)], 0
+    for piece in pieces:
+        wanted.append(unpacked(piece).view(U))
+        n_wanted += len(wanted[-1])
+        if n_wanted > MERGE_AT:
+            wanted, n_wanted = [distinct(np.concatenate(wanted))], 0
+    logs, times = [], []
+    if pieces:
+        keys = turned_back(distinct(np.concatenate(wanted)))
+        whole = pa.table({"key": np.concatenate([runs["key"].to_numpy(), keys.view(np.int64)]),
+                          "n": np.concatenate([runs["n"].to_numpy(), np.zeros(len(keys), np.int64)])})
+        rows = grown(whole, group >> 8 * DEPTH, top)[DEPTH]
+        log = np.log10(rows.p)
+        for piece in pieces:
+            found = log[np.searchsorted(rows.keys, turned_back(unpacked(piece).view(U)))]
+            first = edges(found)
+            logs.append(packed(found[first].view(np.int64)))
+            times.append(packed(np.diff(np.append(first, len(found)))))
+    return pa.table({"block": asked["block"], "group": pa.array(np.full(len(pieces), group, np.int64)),
+                     "logs": pa.array(logs, pa.binary()), "times": pa.array(times, pa.binary())})
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, score double"
+
+
+def block_scores(docs: pa.Table, told: pa.Table, top: Top) -> pa.Table:
     """The documents of one block with the sums of their runs' logs; its distinct runs are found as they were for asking."""
-    texts, held, n_held = docs["text"].combine_chunks(), [np.empty(0, U)], 0
-    for _, _, part in text_slices(texts):
-        held.append(distinct(runs_of(part)[0]))
-        n_held += len(held[-1])
-        if n_held > MERGE_AT:
-            held, n_held = [distinct(np.concatenate(held))], 0
-    keys, _ = by_bucket(distinct(np.concatenate(held)), buckets)
-    logs = np.frombuffer(b"".join(told.sort_by("bucket")["logs"].to_pylist()), np.float64)
-    order = np.argsort(keys)
-    keys, logs = keys[order], logs[order]
+    keys = runs_of_block(docs)
+    order, _ = by_owner(keys, top)
+    told = told.sort_by("group")
+    answers = [np.repeat(unpacked(x).view(np.float64), unpacked(n)) for x, n in zip(told["logs"].to_pylist(), told["times"].to_pylist())]
+    logs = np.empty(len(keys))
+    logs[order] = np.concatenate(answers)  # fails if not every run was answered
     slot = lambda runs: ((runs * U(0x9E3779B97F4A7C15)) >> U(64 - CACHE_BITS)).astype(np.int64)
     quick = np.zeros(1 << CACHE_BITS, np.int64)  # a place to look at before searching
     quick[slot(keys)] = np.arange(len(keys))
-    scores = []
-    for _, _, part in text_slices(texts):
-        runs, sizes = runs_of(part)
-        at = quick[slot(runs)]
-        miss = np.flatnonzero(keys[at] != runs)
-        at[miss] = np.searchsorted(keys, runs[miss])
-        scores.append(np.add.reduceat(logs[at], np.cumsum(sizes) - sizes))
-    return docs.drop_columns(["text", "block"]).append_column("score", pa.array(np.concatenate(scores)))
+    out = []
+    for data in docs["data"]:
+        part, scores = opened(data.as_buffer()), []
+        for _, _, texts in text_slices(part["text"].combine_chunks()):
+            runs, sizes = runs_of(texts)
+            runs = turned(runs)
+            at = quick[slot(runs)]
+            miss = np.flatnonzero(keys[at] != runs)
+            at[miss] = np.searchsorted(keys, runs[miss])
+            scores.append(np.add.reduceat(logs[at], np.cumsum(sizes) - sizes))
+        out.append(part.drop_columns(["text"]).append_column("score", pa.array(np.concatenate(scores))))
+    return pa.concat_tables(out)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row per row of ``docs``."""
     docs = id_and_text(docs, id_col, text_col).withColumn("held_out", held_out())
-    buckets = buckets_of(docs)
-    counts = materialize(count(docs.where(~F.col("held_out")), buckets))
+    size = text_size(docs)
+    counts = materialize(count(docs.where(~F.col("held_out")), buckets_of(size)))
     model = frequent(counts)
     runs = counts.where(F.col("kind") == RUN).select("key", "n")
     top = top_of(runs)
-    part = materialize(parts(docs, model, buckets))
-    asked, texts = part.where(F.col("bucket").isNotNull()).select("block", "bucket", "runs"), part.where(F.col("bucket").isNull())
-    wanted = runs.union(asked.groupBy("bucket").applyInArrow(distinct_runs, "key long").select("key", F.lit(0).cast("long")))
-    logs = grow(wanted, top, run_rows, "key long, log double")
-    logs = logs.select(F.pmod(bucket(F.col("key")), F.lit(buckets)).alias("bucket"), "key", "log")
-    told = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answered, "block long, bucket long, logs binary")
-    texts = texts.select("block", "doc_id", "held_out", "n_tokens", "known", "total", "rare", "text")
-    found = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        lambda docs, told: block_scores(docs, told, buckets), "doc_id long, held_out boolean, n_tokens long, known long, total double, rare array<long>, score double")
+    sent = docs.sparkSession.sparkContext.broadcast(top)
+    blocks = parts(docs, model, max(1, math.ceil(size / BLOCK_BYTES))).groupBy("block")
+    asked = blocks.applyInArrow(lambda key, group: asked_by(key[0].as_py(), group, sent.value), "block long, group long, runs binary")
+    told = asked.groupBy("group").cogroup(runs.select("key", "n", owner(top)).groupBy("group")).applyInArrow(
+        lambda key, asked, runs: answered(key[0].as_py(), asked, runs, sent.value), "block long, group long, logs binary, times binary")
+    found = blocks.cogroup(told.groupBy("block")).applyInArrow(lambda docs, told: block_scores(docs, told, sent.value), SCORED)
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()))
     rare = found.select("row", F.explode("rare").alias("key")).join(
         counts.where((F.col("kind") == WORD) & (F.col("n") < WORD_SHARE * model.tokens)).select("key", "n"), "key")
