@@ -20,17 +20,17 @@ def team_states(batched: DataFrame, elo: EloWalk, window: int = K.TRAILING_WINDO
     return trailing_state(team_rows(batched), window, **variants).join(elo.before(), STATE_KEY, "left")
 
 
-def goal_features(matches: DataFrame) -> DataFrame:
-    """Ratings, form, goal model and balances: all features but the market's."""
-    batched = assign_batches(matches)
-    states = team_states(batched, EloWalk(batched)).fillna({"elo": K.BASE_ELO})
+def goal_features(matches: DataFrame, elo: EloWalk | None = None) -> DataFrame:
+    """Ratings (``elo``, if they have been walked before), form, goal model and balances: all features but the market's."""
+    batched = matches if {"batch_ts", "whole_day"} <= set(matches.columns) else assign_batches(matches)
+    states = team_states(batched, elo or EloWalk(batched)).fillna({"elo": K.BASE_ELO})
     joined = attach_state(batched, states, *both_sides(TRAILING_NAMES | {"elo": "Elo"}))
     return scores.with_balances(scores.with_poisson_features(impute_trailing(joined)))
 
 
-def build_features(matches: DataFrame) -> DataFrame:
+def build_features(matches: DataFrame, elo: EloWalk | None = None) -> DataFrame:
     """All 24 features next to the match columns."""
-    return scores.with_shin(goal_features(matches)).drop("shin_z")
+    return scores.with_shin(goal_features(matches, elo)).drop("shin_z")
 
 
 def eligible(features: DataFrame, base=K.FEATURE_COLUMNS, variant=()) -> DataFrame:
