@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from formline import constants as K
 from formline.catalog import tables as T
+from formline.catalog.form import batched
 from formline.catalog.probability import _OUT, flat
 from formline.catalog.registry import ORACLES, query
 from formline.catalog.sql import CTES, DEPENDS, with_ctes
@@ -19,7 +20,6 @@ from formline.functions import scores as S
 from formline.functions import text as X
 from formline.operators import entities as E
 from formline.operators.windows import points, team_rows
-from formline.operators.batching import assign_batches
 from formline.session import new_path
 from formline.sinks import history, reports as R
 from formline.sources import lines as L, matches as M, pages as P, reports as RP, standings as ST
@@ -467,9 +467,7 @@ DEPENDS["table_"] = ["long"]
 
 def standings_rows(spark, sf_dir) -> DataFrame:
     """Final table rows per league and season."""
-    rows = T.matches(spark, sf_dir)
-    long = team_rows(assign_batches(rows)).withColumn("pts", points())
-    long = long.join(rows.select(F.col("match_id").alias("row_id"), "season"), "row_id")
+    long = team_rows(batched(spark, sf_dir), keep=("season",)).withColumn("pts", points())
     return long.groupBy("league", "season", "team").agg(
         F.count(F.lit(1)).alias("played"), F.sum("pts").alias("points"), F.count_if(F.col("pts") == 3).alias("won"),
         F.count_if(F.col("pts") == 1).alias("drawn"), F.count_if(F.col("pts") == 0).alias("lost"),
